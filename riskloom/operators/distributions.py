@@ -43,43 +43,49 @@ def bin_rows(df: DataFrame, edges: dict[str, Sequence[float]]) -> DataFrame:
     return literal_rows(df.sparkSession, rows, BIN_SCHEMA)
 
 
-def histogram(df: DataFrame, edges: dict[str, Sequence[float]], closed: bool) -> DataFrame:
-    """Count every feature into its bins in one scan; empty bins are listed with 0."""
+def bucket_counts(df: DataFrame, edges: dict[str, Sequence[float]], closed: bool) -> DataFrame:
+    """Rows per (feature, bucket) in one scan; the null bucket holds what belongs nowhere."""
     entries = [
         F.struct(F.lit(f).alias("feature"), bucket_of(F.col(f).cast("double"), e, closed).alias("bucket"))
         for f, e in edges.items()
     ]
-    counted = (
-        df.select(F.inline(F.array(*entries)))
-        .where(F.col("bucket").isNotNull())
-        .groupBy("feature", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return df.select(F.inline(F.array(*entries))).groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def histogram(counts: DataFrame, bins: DataFrame) -> DataFrame:
+    """Counts beside their bins, empty bins with 0, with the share of the feature's total."""
     total = F.sum("n").over(W.partitionBy("feature"))  # bins of one feature
     return (
-        bin_rows(df, edges)
-        .join(counted, ["feature", "bucket"], "left")
+        bins.join(counts, ["feature", "bucket"], "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("total", total)
         .withColumn("share", F.coalesce(F.col("n") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)))
     )
 
 
+def _counted(df: DataFrame, edges: dict[str, Sequence[float]], closed: bool) -> list[tuple]:
+    """(feature, bucket, lo, hi, n, total) of every bin, on the driver: bins x features rows."""
+    found = {(r["feature"], r["bucket"]): r["n"] for r in bucket_counts(df, edges, closed).collect()}
+    out = []
+    for f, e in edges.items():
+        counts = [found.get((f, i), 0) for i in range(len(e) - 1)]
+        out += [(f, i, e[i], e[i + 1], n, sum(counts)) for i, n in enumerate(counts)]
+    return out
+
+
 def baseline_deciles_pct(df: DataFrame, features: Sequence[str], direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Decile bins with closed ends; shares in percent."""
-    found = column_quantiles(df, features, DECILES, direct_rows)
+    values = _projection(df, features)
+    found = column_quantiles(values, features, DECILES, direct_rows)
     edges = {f: _distinct(q) for f, q in found.items() if q}
-    flat = [f for f, e in edges.items() if len(e) < 2]
-    for f in flat:  # one value only: a single bin, as wide as 0
+    for f in [f for f, e in edges.items() if len(e) < 2]:  # one value only: a single bin, as wide as 0
         edges[f] = edges[f] * 2
-    return histogram(df, edges, closed=True).select(
-        "feature",
-        "bucket",
-        F.round("lo", 6).alias("lo"),
-        F.round("hi", 6).alias("hi"),
-        F.round(F.col("share") * 100, 6).alias("share"),
-        F.col("total").alias("n"),
-    )
+    rows = [
+        (f, i, round(lo, 6), round(hi, 6), round(n / total * 100, 6) if total else 0.0, total)
+        for f, i, lo, hi, n, total in _counted(values, edges, closed=True)
+    ]
+    values.unpersist()
+    return literal_rows(df.sparkSession, rows, f"{BIN_SCHEMA}, share double, n long")
 
 
 def baseline_deciles_open(df: DataFrame, features: Sequence[str], direct_rows: int = DIRECT_ROWS) -> DataFrame:
@@ -87,40 +93,39 @@ def baseline_deciles_open(df: DataFrame, features: Sequence[str], direct_rows: i
 
     A feature with fewer than three distinct edges has one row without a bucket and a warning.
     """
-    found = column_quantiles(df, features, DECILES, direct_rows)
+    values = _projection(df, features)
+    found = column_quantiles(values, features, DECILES, direct_rows)
     edges = {f: _distinct(q) for f, q in found.items() if q}
     usable = {f: e for f, e in edges.items() if len(e) >= 3}
-    stats = literal_rows(df.sparkSession, _summary(df, features, found), _SUMMARY_SCHEMA)
-    if usable:
-        width = {f: len(e) - 2 for f, e in usable.items()}
-        last = F.create_map(*[F.lit(x) for pair in width.items() for x in pair])[F.col("feature")]
-        bins = histogram(df, usable, closed=False).select(
-            "feature",
-            "bucket",
-            F.when(F.col("bucket") > 0, F.col("lo")).alias("lo"),
-            F.when(F.col("bucket") < last, F.col("hi")).alias("hi"),
-            "share",
-        )
-    else:
-        bins = literal_rows(df.sparkSession, [], BIN_SCHEMA + ", share double")
-    return stats.join(bins, "feature", "left").withColumn(
-        "warning", F.when(F.col("bucket").isNull(), "insufficient variance")
-    )
-
-
-_SUMMARY_SCHEMA = "feature string, n long, mean double, sd double, median double, null_pct double"
-
-
-def _summary(df: DataFrame, features: Sequence[str], quantiles: dict) -> list[tuple]:
+    counted = _counted(values, usable, closed=False) if usable else []
+    stats = _summary(values, features, found)
+    values.unpersist()
+    rows = []
+    for f in features:
+        if f not in usable:
+            rows.append((f, None, None, None, None, *stats[f], "insufficient variance"))
+        for _, i, lo, hi, n, total in (c for c in counted if c[0] == f):
+            limits = (None if i == 0 else lo, None if i == len(usable[f]) - 2 else hi)
+            rows.append((f, i, *limits, n / total, *stats[f], None))
+    schema = f"{BIN_SCHEMA}, share double, n long, mean double, sd double, median double, null_pct double, warning string"
+    return literal_rows(df.sparkSession, rows, schema)
+
+
+def _projection(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The features only, kept while several passes read them (spilling to disk as needed)."""
+    return df.select(*[F.col(f).cast("double").alias(f) for f in features]).persist()
+
+
+def _summary(df: DataFrame, features: Sequence[str], quantiles: dict) -> dict[str, tuple]:
+    """Per feature: n, mean, sd, median, share of nulls."""
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(f).alias(f"n_{f}") for f in features],
         *[F.avg(f).alias(f"m_{f}") for f in features],
         *[F.stddev_samp(f).alias(f"s_{f}") for f in features],
     ).first()
-    return [
-        (
-            f,
+    return {
+        f: (
             row[f"n_{f}"],
             row[f"m_{f}"],
             row[f"s_{f}"],
@@ -128,20 +133,20 @@ def _summary(df: DataFrame, features: Sequence[str], quantiles: dict) -> list[tu
             1 - row[f"n_{f}"] / row["rows"] if row["rows"] else None,
         )
         for f in features
-    ]
+    }
 
 
 def baseline_mixed(df: DataFrame, categorical: Sequence[str], continuous: Sequence[str], bins: int = 10) -> DataFrame:
     """Value shares of categorical columns and equal-width bins of continuous ones."""
-    row = df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in continuous for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    limits = [f(c).cast("double").alias(f"{n}_{c}") for c in continuous for n, f in (("lo", F.min), ("hi", F.max))]
+    row = df.agg(*limits).first()
     edges = {c: _linear(row[f"lo_{c}"], row[f"hi_{c}"], bins) for c in continuous if row[f"lo_{c}"] is not None}
-    widths = histogram(df, edges, closed=True).select(
+    widths = histogram(bucket_counts(df, edges, closed=True), bin_rows(df, edges)).select(
         "feature", F.lit("continuous").alias("type"), "bucket", "lo", "hi", "share", "n"
     )
     entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("lo")) for c in categorical]
-    counts = (
-        df.select(F.inline(F.array(*entries))).where(F.col("lo").isNotNull()).groupBy("feature", "lo").agg(F.count(F.lit(1)).alias("n"))
-    )
+    found = df.select(F.inline(F.array(*entries))).where(F.col("lo").isNotNull())
+    counts = found.groupBy("feature", "lo").agg(F.count(F.lit(1)).alias("n"))
     per_feature = W.partitionBy("feature")  # distinct codes of one column
     values = counts.select(
         "feature",
@@ -167,7 +172,8 @@ def edges_of(baseline: DataFrame) -> dict[str, list]:
 def edge_histogram(df: DataFrame, baseline: DataFrame, closed: bool = True) -> DataFrame:
     """Current values counted into the bins of a baseline."""
     edges = {f: _usable_edges(e, closed) for f, e in edges_of(baseline).items() if f in df.columns}
-    return histogram(df, edges, closed).select("feature", "bucket", "n", "share", "total")
+    counted = histogram(bucket_counts(df, edges, closed), bin_rows(df, edges))
+    return counted.select("feature", "bucket", "n", "share", "total")
 
 
 def psi_percent(baseline: DataFrame, current: DataFrame, round_to: int = 6) -> DataFrame:
@@ -179,7 +185,7 @@ def psi_percent(baseline: DataFrame, current: DataFrame, round_to: int = 6) -> D
     edges = {f: _distinct(e) for f, e in edges_of(baseline).items() if f in current.columns}
     listed = literal_rows(current.sparkSession, [(f,) for f in edges], "feature string")
     edges = {f: e for f, e in edges.items() if len(e) >= 2}
-    now = histogram(current, edges, closed=True)
+    now = histogram(bucket_counts(current, edges, closed=True), bin_rows(current, edges))
     floored = lambda c: F.when(c < FLOOR_PERCENT, FLOOR_PERCENT).otherwise(c)
     base, share = floored(F.col("base")), floored(F.col("share") * 100)
     parts = now.join(baseline.select("feature", "bucket", F.col("share").alias("base")), ["feature", "bucket"])
@@ -217,7 +223,8 @@ def psi_fraction(
         for i, f in enumerate(known)
     ]
     listed = literal_rows(spark, reasons, "feature string, position int, reason string")
-    now = histogram(current, present, closed=False)
+    counts = bucket_counts(current, present, closed=False)
+    now = histogram(counts, bin_rows(current, present))
     base, share = F.col("base"), F.col("share")
     term = (share - base) * F.ln((share + EPS_FRACTION) / (base + EPS_FRACTION))
     parts = now.join(
@@ -228,11 +235,8 @@ def psi_fraction(
     scored = parts.groupBy("feature").agg(
         F.sum(term).alias("raw"), F.max("total").alias("prod_samples"), vectors.alias("v")
     )
-    nulls = current.agg(
-        *[F.avg(F.col(f).isNull().cast("int")).alias(f) for f in present], F.count(F.lit(1)).alias("__rows")
-    ).select(
-        F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("prod_null_pct")) for f in present]))
-    )
+    missing = F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))), F.lit(0))
+    nulls = counts.groupBy("feature").agg((missing / F.sum("n")).alias("prod_null_pct"))
     valid = F.col("prod_samples") > 0
     return (
         listed.join(scored, "feature", "left")

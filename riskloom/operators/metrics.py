@@ -64,11 +64,13 @@ def with_rates(cells: DataFrame) -> DataFrame:
 def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Precision, recall, f1 and support per class."""
     pairs = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    hit = F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(F.lit(0))
-    sides = F.array(
-        F.struct(F.col("a").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), hit.alias("hits")),
-        F.struct(F.col("p"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")),
-    )
+    none, n = F.lit(0).cast("long"), F.col("n")
+
+    def side(label: str, support: Column, said: Column, hits: Column) -> Column:
+        return F.struct(F.col(label).alias("label"), support.alias("support"), said.alias("said"), hits.alias("hits"))
+
+    hit = F.when(F.col("a") == F.col("p"), n).otherwise(none)
+    sides = F.array(side("a", n, none, hit), side("p", none, n, none))
     per_class = pairs.select(F.inline(sides)).groupBy("label").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum("hits").alias("hits"))
     precision, recall = ratio_or_zero(F.col("hits"), F.col("said")), ratio_or_zero(F.col("hits"), F.col("support"))
     return per_class.select(

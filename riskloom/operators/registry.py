@@ -125,8 +125,13 @@ def promotion_rules(challengers: DataFrame, champion: DataFrame) -> DataFrame:
 
 def audit_events(audits: DataFrame, started: Column, finished: Column, success: Column, error: Column) -> DataFrame:
     """Two events per training: PENDING when it starts, its result when it ends."""
-    pending = F.struct(F.lit(0).alias("phase"), F.lit("PENDING").alias("status"), started.alias("at"), F.lit(None).cast("string").alias("error"))
-    result = F.struct(F.lit(1), F.when(success, "SUCCESS").otherwise("ERROR"), finished, F.when(~success, error))
+
+    def event(phase: int, status: Column, at: Column, message: Column) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), status.alias("status"), at.alias("at"), message.alias("error"))
+
+    nothing = F.lit(None).cast("string")
+    pending = event(0, F.lit("PENDING"), F.col("__start"), nothing)
+    result = event(1, F.when(success, F.lit("SUCCESS")).otherwise(F.lit("ERROR")), finished, F.when(~success, error))
     return audits.withColumn("__start", started).select("*", F.inline(F.array(pending, result))).drop("__start")
 
 

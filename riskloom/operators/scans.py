@@ -67,10 +67,13 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str] | int) -> DataFrame:
 def dataset_gate(df: DataFrame, label: str, min_rows: int = 100) -> DataFrame:
     """One row per check: how many rows it saw and whether the data may be used."""
     facts = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label) == 1).alias("positives"))
+    def check(name: str, n: str, passed: Column) -> Column:
+        return F.struct(F.lit(name).alias("check"), F.col(n).alias("n"), passed.alias("passed"))
+
     checks = F.array(
-        F.struct(F.lit("not_empty").alias("check"), F.col("rows").alias("n"), (F.col("rows") > 0).alias("passed")),
-        F.struct(F.lit("enough_rows"), F.col("rows"), F.col("rows") >= min_rows),
-        F.struct(F.lit("has_positives"), F.col("positives"), F.col("positives") >= 1),
+        check("not_empty", "rows", F.col("rows") > 0),
+        check("enough_rows", "rows", F.col("rows") >= min_rows),
+        check("has_positives", "positives", F.col("positives") >= 1),
     )
     return facts.select(F.inline(checks))
 
