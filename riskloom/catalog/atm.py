@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskloom.catalog.base import bins_sql, counts_sql, frames, query, rounded, values_sql
@@ -23,6 +25,8 @@ from riskloom.operators.joins import actual_vs_prediction, fill_missing, predict
 from riskloom.operators.metrics import asymmetric_loss, monitor_error, regression_metrics, residual_interval
 from riskloom.operators.sampling import allocate_ids, temporal_split, time_series_folds
 from riskloom.operators.scans import active_withdrawals, batch_lookback, drop_incomplete, latest_batch, trailing_days, weather_by_date
+from riskloom.session import shared_folder
+from riskloom.sources.sinks import append
 from riskloom.streaming.batches import (
     batch_run_summary,
     daily_atm_history,
@@ -34,6 +38,10 @@ from riskloom.streaming.batches import (
 RELOAD = 500_000.0
 LIMITS = atm.DriftLimits(warn=0.10, critical=0.25, critical_share=0.30, warning_share=0.50)
 MODEL = 1
+STORED_SCHEMA = (
+    "id_transaction long, day_of_month int, day_of_week int, month int, reference_date date, "
+    "withdrawal_amount_day double, dynamic_features string"
+)
 
 
 def withdrawals(spark, folder):
@@ -448,8 +456,15 @@ BASELINE = f"""{FEATURES}, {UNPACKED}, last60 AS ({RECENT.format(n=60)}), last30
     baseline AS (SELECT *, n / sum(n) OVER (PARTITION BY feature) AS share FROM counted)"""
 
 
+def stored_documents(spark, folder):
+    """Feature documents as monitoring finds them: rows of a stored table."""
+    path = f"{shared_folder(spark)}/atm_features-{uuid.uuid4().hex}"
+    append(documents(spark, folder), path)
+    return spark.read.schema(STORED_SCHEMA).parquet(path)
+
+
 def stored_parts(spark, folder):
-    fields = unpack_features(documents(spark, folder))
+    fields = unpack_features(stored_documents(spark, folder))
     return trailing_days(fields, "reference_date", 60), trailing_days(fields, "reference_date", 30)
 
 
@@ -571,6 +586,8 @@ def sync_query(spark, folder):
 def cycle_query(spark, folder):
     """The monitoring cycle of the newest batch; features of earlier days are the stored ones."""
     tx, atms, weathers, predictions = frames(spark, folder, "atm_tx", "atms", "weathers", "withdrawal_prediction")
-    stored = documents(spark, folder).where(F.col("reference_date") < batch_lookback(tx, tx))
-    baseline = baseline_deciles_open(stored_parts(spark, folder)[0], atm.MONITORED)
+    history = stored_documents(spark, folder)
+    stored = history.where(F.col("reference_date") < batch_lookback(tx, tx))
+    last60 = trailing_days(unpack_features(history), "reference_date", 60)
+    baseline = baseline_deciles_open(last60, atm.MONITORED)
     return atm.monitor_cycle(tx, atms, tx, weathers, predictions, stored, baseline, MODEL, 1500.0, formula_scorer, LIMITS)

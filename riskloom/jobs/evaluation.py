@@ -13,6 +13,7 @@ def classifier_metrics(
     scored: DataFrame, label: str, score: str = "score", weight: str | None = None, search_threshold: bool = False
 ) -> dict[str, float]:
     """Metrics of a scored test set, at the likelier class or at the best threshold that keeps recall 0.95."""
+    scored = scored.select(*dict.fromkeys(c for c in (label, score, weight) if c)).persist()  # read by three passes
     if search_threshold:
         threshold = optimal_threshold(scored, label, score).first()["threshold"]
         said = (F.col(score) >= threshold).cast("int")
@@ -21,6 +22,7 @@ def classifier_metrics(
         said = (F.col(score) > threshold).cast("int")
     rates = confusion(scored, F.col(label), said, F.col(weight) if weight else None).first()
     area = roc_auc(scored, label, score, weight).first()["auc"]
+    scored.unpersist()
     return {
         "auc_roc": area,
         "threshold": threshold,

@@ -18,6 +18,7 @@ from riskloom.operators.models import FRAUD_SPACE, batch_score, best_trial, fit_
 from riskloom.operators.registry import fraud_rule
 from riskloom.operators.sampling import stratified_split, undersample
 from riskloom.operators.scans import between_dates, date_range_gate, trailing_months
+from riskloom.session import cut_lineage
 
 CATEGORIES = ["category", "gender", "job"]
 SCALED = ["amt", "city_pop", "age", "distance_km", "hour"]
@@ -57,8 +58,10 @@ def balanced_rows(extracted: DataFrame, ratio: int = 4, seed: int = 42) -> DataF
 def training_set(balanced: DataFrame, recent_months: int = 6, seed: int = 42) -> DataFrame:
     """Encoded, split, scaled rows with an anomaly score from the recent period.
 
-    Codes are fitted before the split, the scaler on the training part only.
+    Codes are fitted before the split, the scaler on the training part only.  The
+    balanced rows are few next to the extract; they are stored once and read by every step.
     """
+    balanced = cut_lineage(balanced)
     coded = label_encode(balanced, label_codes(balanced, CATEGORIES))
     parts = stratified_split(coded, "is_fraud", "id_transaction", [("test", 0.2)], seed)
     scaler = robust_scaler(parts.where(F.col("split") == "train"), SCALED)
@@ -84,7 +87,7 @@ def train(
     seed: int = 42,
 ) -> DataFrame:
     """Search on F1, final fit, best threshold at recall 0.95, weighted metrics and the promotion decision."""
-    balanced = balanced_rows(extract(tables, end, start, half_life_days, max_history_days), ratio, seed).persist()
+    balanced = balanced_rows(extract(tables, end, start, half_life_days, max_history_days), ratio, seed)
     rows = training_set(balanced, seed=seed).persist()
     features = [*MODEL_FEATURES, "anomaly_score"]
     fit_rows, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
@@ -114,7 +117,6 @@ def train(
     )
     promoted = fraud_rule(F.col("f1_score"), F.col("recall"), F.col("champion_f1"), F.col("champion_recall"))
     rows.unpersist()
-    balanced.unpersist()
     return out.withColumn("promotion_status", F.when(promoted, "PROMOTED").otherwise("REJECTED"))
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from riskloom.functions.dates import completed_years, iso_weekday, week_ending_monday
 from riskloom.functions.geo import haversine_km
 from riskloom.functions.numeric import smoothed_ratio
+from riskloom.functions.rows import literal_rows
 from riskloom.plans.quantiles import column_quantiles
 
-MAX_ARRAY = 100_000
+LOCAL_CODES = 1_000
 
 # Spellings of the binary gender column, and the kept geography vocabulary.
 GENDER_CODES = {"male": 1, "hombre": 1, "female": 0, "mujer": 0}
@@ -104,17 +105,23 @@ def unpack_features(stored: DataFrame, schema: str = DOCUMENT_SCHEMA) -> DataFra
     return parsed.select(*[c for c in stored.columns if c != "dynamic_features"], "__doc.*")
 
 
-def label_codes(df: DataFrame, columns: Sequence[str], array_limit: int = MAX_ARRAY) -> dict[str, DataFrame]:
-    """Alphabetical codes 0.. of each column's distinct texts, as (value, code) tables."""
+def label_codes(df: DataFrame, columns: Sequence[str], local_limit: int = LOCAL_CODES) -> dict[str, DataFrame]:
+    """Alphabetical codes 0.. of each column's distinct texts, as (value, code) tables.
+
+    One job finds the values of all columns.  Few values become a table of constants;
+    otherwise they are sorted and numbered in ranges.
+    """
+    entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns]
+    values = df.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull()).distinct()
+    found = values.limit(local_limit + 1).collect()  # bounded
     codes = {}
     for c in columns:
-        values = df.select(F.col(c).cast("string").alias(c)).where(F.col(c).isNotNull()).distinct()
-        if values.count() <= array_limit:
-            vocabulary = values.agg(F.sort_array(F.collect_list(c)).alias("v"))  # checked: at most array_limit
-            codes[c] = vocabulary.select(F.posexplode("v").alias(f"{c}_code", c))
+        if len(found) <= local_limit:
+            numbered = list(enumerate(sorted(r["value"] for r in found if r["feature"] == c)))
+            codes[c] = literal_rows(df.sparkSession, numbered, f"{c}_code int, {c} string")
         else:
-            numbered = values.orderBy(c).rdd.map(lambda r: r[0]).zipWithIndex()  # sorted in ranges, numbered per task
-            codes[c] = df.sparkSession.createDataFrame(numbered, f"{c} string, {c}_code long")
+            texts = values.where(F.col("feature") == c).orderBy("value").rdd.map(lambda r: r["value"])
+            codes[c] = df.sparkSession.createDataFrame(texts.zipWithIndex(), f"{c} string, {c}_code long")
     return codes
 
 

@@ -124,38 +124,25 @@ def roc_auc(
 
 def ks_statistic(df: DataFrame, label: str, score: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Largest gap between the class score distributions, and Gini from the area under the curve."""
-    totals = score_totals(df, label, score, None, block_rows).withColumns(
-        {"upto_pos": F.col("pos_below") + F.col("pos"), "upto_neg": F.col("neg_below") + F.col("neg")}
-    )
-    p, q = _class_sizes(df, label, score)
-    gap = F.abs(F.col("upto_pos") / F.nullif(p, F.lit(0.0)) - F.col("upto_neg") / F.nullif(q, F.lit(0.0)))
+    p, q = (F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in ("pos_all", "neg_all"))
+    gap = F.abs((F.col("pos_below") + F.col("pos")) / p - (F.col("neg_below") + F.col("neg")) / q)
     pairs = F.col("pos").cast("decimal(19,0)") * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(19,0)")
-    return totals.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"), F.sum(pairs).cast("double").alias("pairs")).select(
-        "ks", (2 * (F.col("pairs") / F.nullif(2 * p * q, F.lit(0.0))) - 1).alias("gini")
+    facts = score_totals(df, label, score, None, block_rows).agg(
+        F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"),
+        F.sum(pairs).cast("double").alias("pairs"),
+        F.max(p * q).alias("all_pairs"),
     )
-
-
-def _class_sizes(df: DataFrame, label: str, score: str) -> tuple[Column, Column]:
-    """Number of positives and negatives that have a score, as scalar subqueries."""
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    sizes = rows.agg(
-        F.struct(
-            F.count_if(F.col(label) == 1).cast("double").alias("p"),
-            F.count_if(F.col(label) == 0).cast("double").alias("q"),
-        )
-    ).scalar()
-    return sizes.getField("p"), sizes.getField("q")
+    return facts.select("ks", (2 * (F.col("pairs") / (2 * F.col("all_pairs"))) - 1).alias("gini"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Precision and recall of `score >= threshold` at every distinct score."""
     totals = score_totals(df, label, score, None, block_rows)
-    p, q = _class_sizes(df, label, score)
-    hits, misses = p - F.col("pos_below"), q - F.col("neg_below")
+    hits, misses = F.col("pos_all") - F.col("pos_below"), F.col("neg_all") - F.col("neg_below")
     return totals.select(
         F.col("score").alias("threshold"),
         ratio_or_zero(hits, hits + misses).alias("precision"),
-        ratio_or_zero(hits, p).alias("recall"),
+        ratio_or_zero(hits, F.col("pos_all")).alias("recall"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.sampling import class_counts
-from riskloom.plans.cuts import first_n
+from riskloom.plans.cuts import HashOrder
 
 BOX_POINTS = 2_000
 SAMPLE = 20_000
@@ -114,8 +114,9 @@ def nearest(points: DataFrame, k: int, box_points: int = BOX_POINTS) -> DataFram
         shares = F.create_map(*[F.lit(x) for b, n in load.items() for x in (b, -(-n // TASK_QUERIES))])
         share = F.coalesce(shares[F.col("box")], F.lit(0))
         held = placed.where(share > 0).withColumn("part", F.explode(F.sequence(F.lit(1), share)))
-        spread = asked.withColumn("part", (F.pmod(F.xxhash64("id"), share.cast("long")) + 1).cast("int"))
-        return held.groupBy("box", "part").cogroup(spread.groupBy("box", "part")).applyInPandas(search, _FOUND)
+        part = (F.pmod(F.xxhash64("id"), share.cast("long")) + 1).cast("int")
+        spread = asked.select(F.col("id").alias("id"), F.col("v").alias("v"), F.col("box").alias("at"), part.alias("of"))
+        return held.groupBy("box", "part").cogroup(spread.groupBy("at", "of")).applyInPandas(search, _FOUND)
 
     own = look(placed)
     if len(nodes) == 1:
@@ -179,14 +180,14 @@ def smote_oversample(
     )
     if lacking == 0 or counts[minority] < 2:
         return real
-    rows = df.where(F.col(label) == minority).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
+    rows = df.where(F.col(label) == minority).select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("class"), vector.alias("v"))
     distinct = rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     found = nearest(distinct, k + 1, box_points)
     # each base row makes `each` synthetic rows, and the first `extra` by hash one more
     each, extra = divmod(lacking, counts[minority])
-    more = first_n(rows, "id", F.lit(1), {1: extra}, seed).cast("int")
+    (more,) = HashOrder(rows, "id", "class", seed).first({minority: extra})
     bases = (
-        rows.withColumn("times", F.lit(each) + more)
+        rows.withColumn("times", F.lit(each) + more.cast("int"))
         .where(F.col("times") > 0)
         .join(distinct.select("v", F.col("id").alias("spot")), "v")
         .join(found.withColumnRenamed("id", "spot"), "spot")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.dates import days_before
 from riskloom.operators.scans import latest
-from riskloom.plans.cuts import first_n
+from riskloom.plans.cuts import HashOrder
 from riskloom.plans.ordered import BLOCK_ROWS, global_position
 
 
@@ -23,11 +23,11 @@ def undersample(df: DataFrame, label: str, id_col: str, ratio: int = 4, seed: in
 
     The choice is a filter on a hash of the id: one scan, no sort, no union.
     """
-    counts = class_counts(df, label)
-    positives = counts.get(1, 0)
+    order = HashOrder(df, id_col, label, seed)
+    positives = order.counts.get(1, 0)
     if positives == 0:
         raise ValueError("no positives in the period")
-    keep = first_n(df, id_col, F.col(label), {0: min(positives * ratio, counts.get(0, 0))}, seed)
+    (keep,) = order.first({0: min(positives * ratio, order.counts.get(0, 0))})
     return df.where((F.col(label) == 1) | keep)
 
 
@@ -35,14 +35,15 @@ def stratified_split(
     df: DataFrame, label: str, id_col: str, fractions: Sequence[tuple[str, float]], seed: int = 42
 ) -> DataFrame:
     """Add a `split` column; each class gives round(n x fraction) rows to each named part, the rest to `train`."""
-    counts = class_counts(df, label)
-    split, taken = F.lit("train"), dict.fromkeys(counts, 0)
-    marks = []
-    for name, fraction in fractions:
-        taken = {c: taken[c] + round(n * fraction) for c, n in counts.items()}
-        marks.append((name, first_n(df, id_col, F.col(label), taken, seed)))
-    for name, upto in reversed(marks):
-        split = F.when(upto, F.lit(name)).otherwise(split)
+    order = HashOrder(df, id_col, label, seed)
+    upto, targets = dict.fromkeys(order.counts, 0), []
+    for _, fraction in fractions:
+        upto = {c: upto[c] + round(n * fraction) for c, n in order.counts.items()}
+        targets.append(upto)
+    marks = zip([name for name, _ in fractions], order.first(*targets))
+    split = F.lit("train")
+    for name, inside in reversed(list(marks)):
+        split = F.when(inside, F.lit(name)).otherwise(split)
     return df.withColumn("split", split)
 
 

@@ -63,7 +63,7 @@ def running_total(
     sums: dict[str, str],
     limits: Sequence[float],
 ) -> DataFrame:
-    """Add, for each value of `order`, the sums over all smaller values.
+    """Add, for each value of `order`, the sums over all smaller values and, as <column>_all, over all values.
 
     `df` holds one row per value of `order`; `sums` maps column -> output column;
     `limits` are cut points of `order`.
@@ -71,7 +71,12 @@ def running_total(
     blocked = with_block(df, order, limits, "__block")
     totals = blocked.groupBy("__block").agg(*[F.sum(c).alias(c) for c in sums])
     before = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)  # at most MAX_BLOCKS rows
-    offsets = totals.select("__block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__off_{c}") for c in sums])
+    whole = W.orderBy("__block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    offsets = totals.select(
+        "__block",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__off_{c}") for c in sums],
+        *[F.sum(c).over(whole).alias(f"{c}_all") for c in sums],
+    )
     inside = W.partitionBy("__block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     out = blocked.join(F.broadcast(offsets), "__block")  # bounded: one row per block
     for column, name in sums.items():
