@@ -45,6 +45,8 @@ def bin_rows(df: DataFrame, edges: dict[str, Sequence[float]]) -> DataFrame:
 
 def bucket_counts(df: DataFrame, edges: dict[str, Sequence[float]], closed: bool) -> DataFrame:
     """Rows per (feature, bucket) in one scan; the null bucket holds what belongs nowhere."""
+    if not edges:
+        return literal_rows(df.sparkSession, [], "feature string, bucket int, n long")
     entries = [
         F.struct(F.lit(f).alias("feature"), bucket_of(F.col(f).cast("double"), e, closed).alias("bucket"))
         for f, e in edges.items()
