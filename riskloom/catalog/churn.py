@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from riskloom.catalog.base import bins_sql, counts_sql, frames, query, rounded, values_sql
 from riskloom.functions.dates import timestamp_ntz
+from riskloom.jobs import churn
 from riskloom.operators.distributions import baseline_deciles_open, baseline_mixed, baseline_of_champion, pack_baseline
 from riskloom.operators.features import churn_features, scale, standard_scaler
 from riskloom.operators.joins import churn_extract, matured_feedback
-from riskloom.operators.metrics import dataset_profile, feedback_monitor, weight_summary
+from riskloom.operators.metrics import dataset_profile, weight_summary
 from riskloom.operators.scans import (
     coerce_numeric,
     column_catalog,
@@ -135,7 +136,20 @@ def null_query(spark, folder):
     return rounded(null_profile(rows, ["is_churn", "churn_probability", "id_customer"]), 9)
 
 
-@query("column_catalog")
+CATALOG = {
+    "limit_bal": "DOUBLE", "age": "INT", "pay_0": "INT", "pay_2": "INT", "pay_3": "INT", "bill_amt1": "DOUBLE",
+    "utilization_rate": "DOUBLE", LABEL: "INT",
+}
+
+
+@query(
+    "column_catalog",
+    " UNION ALL ".join(
+        f"SELECT '{c.upper()}' AS name, '{t}' AS data_type, '{'TARGET' if c == LABEL else 'FEATURE'}' AS rol, count(*) > count({c}) AS is_nullable FROM delinquency"
+        for c, t in CATALOG.items()
+    )
+    + " UNION ALL SELECT 'SAMPLE_WEIGHT', 'DOUBLE', 'WEIGHT', false",
+)
 def catalog_query(spark, folder):
     (rows,) = frames(spark, folder, "delinquency")
     return column_catalog(rows.drop("id_row", "monthly_period").withColumn("sample_weight", F.lit(1.0)), LABEL, "sample_weight")
@@ -190,7 +204,8 @@ def feedback_query(spark, folder):
             CASE WHEN r >= 0.70 THEN 'healthy' ELSE 'degraded' END AS status FROM m""",
 )
 def monitor_query(spark, folder):
-    return feedback_monitor(feedback(spark, folder))
+    predictions, accounts = frames(spark, folder, "churn_predictions", "churn_accounts")
+    return churn.monitor(predictions, accounts, timestamp_ntz("2024-01-26"))
 
 
 CONTINUOUS = ["limit_bal", "bill_amt1", "utilization_rate"]

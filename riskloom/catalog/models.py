@@ -186,14 +186,14 @@ def churn_train_query(spark, folder):
 @query("atm_train")
 def atm_train_query(spark, folder):
     space = {**SMALL_SPACE, "n_estimators": ("int", 2, 3)}
-    return atm.train(atm_rows(spark, folder), champion_mape=0.5, trials=1, space=space, folds=2)
+    return atm.train(atm_rows(spark, folder), trials=1, space=space, folds=2)
 
 
 @query("delinquency_train")
 def delinquency_train_query(spark, folder):
     return delinquency.train(
         delinquency_rows(spark, folder), DELINQUENCY_FEATURES, LABEL, "sample_weight", "id_row",
-        champion_auc=0.5, trials=4, spaces=(SMALL_SPACE, SMALL_LEAF_SPACE), forest_trees=10,
+        trials=4, spaces=(SMALL_SPACE, SMALL_LEAF_SPACE), forest_trees=10,
     )
 
 

@@ -40,6 +40,11 @@ def mean_of_present(*values: Column) -> Column:
     return ratio(total, count)
 
 
-def exact_sum(value: Column, scale: int = 2) -> Column:
-    """Order-independent sum of money amounts, as double."""
-    return F.sum(value.cast(f"decimal(20,{scale})")).cast("double")
+def cents(value: Column) -> Column:
+    """A money amount in whole cents."""
+    return F.rint(value * 100).cast("long")
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of money amounts that does not depend on the order of the rows, as double."""
+    return F.sum(cents(value)) / 100

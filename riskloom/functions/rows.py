@@ -1,17 +1,24 @@
-"""Small literal tables."""
+"""Small tables of constants."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+ARROW_TYPES = {
+    "string": pa.string(),
+    "int": pa.int32(),
+    "long": pa.int64(),
+    "double": pa.float64(),
+    "boolean": pa.bool_(),
+}
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
-    """A frame of constants that stays inside the plan (no Python scan)."""
+    """A frame of constants held in the plan; its size is known, so Spark broadcasts it on its own."""
     fields = [part.strip().split(" ", 1) for part in schema.split(",")]
-    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r, fields)]) for r in rows]
-    if not structs:
-        return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in fields])
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    arrays = [pa.array(list(c), type=ARROW_TYPES[kind]) for c, (_, kind) in zip(columns, fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=[name for name, _ in fields]))

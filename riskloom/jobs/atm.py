@@ -23,7 +23,9 @@ from riskloom.operators.models import (
     best_trial,
     fit_regressor,
     fold_mape,
+    load_and_score,
     param_search,
+    save_model,
 )
 from riskloom.operators.registry import atm_rule
 from riskloom.operators.sampling import allocate_ids, temporal_split, time_series_folds
@@ -161,17 +163,19 @@ def training_rows(tx: DataFrame, atms: DataFrame, weathers: DataFrame) -> DataFr
 
 def train(
     rows: DataFrame,
-    champion_mape: float | None = None,
+    champion_path: str | None = None,
     trials: int = 50,
     space: dict | None = None,
     test_days: int = 60,
     val_days: int = 15,
     folds: int = 5,
     seed: int = 42,
+    save_to: str | None = None,
 ) -> DataFrame:
     """Search over time folds, final fit with early stopping, error in real scale and the promotion decision; one row.
 
     As in the trained service, the search uses the asymmetric loss and the final fit squared error.
+    The stored champion, if any, is scored on the same test rows.
     """
     clean = drop_incomplete(rows, ["retiro", *MODEL_FEATURES])
     split = temporal_split(clean, "transaction_date", test_days, val_days).persist()
@@ -192,6 +196,12 @@ def train(
     model = fit_regressor(marked, MODEL_FEATURES, "retiro", params, "is_val", seed)
     scored = batch_score(model, test, "predicted_log").withColumn("predicted", F.expm1("predicted_log"))
     errors = regression_metrics(scored, "retiro", "predicted_log").first()
+    if save_to:
+        save_model(model, save_to)
+    champion_mape = None
+    if champion_path:
+        theirs = load_and_score(champion_path, test, "predicted_log")
+        champion_mape = regression_metrics(theirs, "retiro", "predicted_log").first()["mape"]
     interval = residual_interval(scored, "retiro", "predicted").first()
     sizes = split_sizes(split)
     out = result_row(

@@ -1,16 +1,20 @@
-"""Account churn: training."""
+"""Account churn: training and monitoring."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.dates import days_before
 from riskloom.jobs.evaluation import classifier_metrics, result_row, split_sizes
 from riskloom.operators.features import CHURN_FEATURES, GEOGRAPHIES, churn_features, scale, standard_scaler
+from riskloom.operators.joins import matured_feedback
+from riskloom.operators.metrics import feedback_monitor
 from riskloom.operators.models import CHURN_SPACE, batch_score, best_trial, fit_booster, param_search
 from riskloom.operators.neighbours import smote_oversample
 from riskloom.operators.registry import churn_rule, churn_score_gain
 from riskloom.operators.sampling import stratified_split
+from riskloom.sources.sinks import append
 
 
 def feature_names(vocabulary: tuple[str, ...] = GEOGRAPHIES) -> list[str]:
@@ -62,3 +66,20 @@ def train(
             "promotion_status": F.when(churn_rule(own, theirs), "PROMOTED").otherwise("REJECTED"),
         }
     )
+
+
+def monitor(
+    predictions: DataFrame,
+    accounts: DataFrame,
+    today: Column,
+    maturation_days: int = 1,
+    min_recall: float = 0.70,
+    min_samples: int = 10,
+    folder: str | None = None,
+) -> DataFrame:
+    """Judge the model in production by its matured predictions; with a folder, a real verdict is recorded."""
+    feedback = matured_feedback(predictions, accounts, days_before(today, maturation_days))
+    verdict = feedback_monitor(feedback, min_recall, min_samples)
+    if folder:
+        append(verdict.where(F.col("status") != "insufficient_data"), f"{folder}/churn_training_history")
+    return verdict

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,25 +17,40 @@ from riskloom.operators.models import (
     fit_booster,
     fit_forest,
     param_search,
+    save_model,
     soft_vote,
 )
 from riskloom.operators.registry import delinquency_rule
 from riskloom.operators.sampling import class_counts, stratified_split
 
 
+VOTERS = ("booster_a", "booster_b", "forest")
+
+
+def vote(models: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
+    """Each model's probability and the weighted vote."""
+    for name in VOTERS:
+        rows = batch_score(models[name], rows, name)
+    return soft_vote(rows, VOTERS)
+
+
 def train(
     rows: DataFrame,
     features: Sequence[str],
     label: str,
     weight: str,
     id_col: str,
-    champion_auc: float | None = None,
+    champion_folder: str | None = None,
     trials: int = 30,
     spaces: tuple[dict, dict] = (DELINQUENCY_SPACE, DELINQUENCY_LEAF_SPACE),
     forest_trees: int = 80,
     seed: int = 42,
+    save_to: str | None = None,
 ) -> DataFrame:
-    """Half the trials per booster, both stopped early; then boosters and a forest vote 2:1:1; one row."""
+    """Half the trials per booster, both stopped early; then boosters and a forest vote 2:1:1; one row.
+
+    The stored champion, if any, is scored on the same test rows.
+    """
     split = stratified_split(rows, label, id_col, [("test", 0.2), ("val", 0.2)], seed).persist()
     known, test = split.where(F.col("split") != "test"), split.where(F.col("split") == "test")
     counts = class_counts(known, label)
@@ -53,14 +69,19 @@ def train(
     first_trials = max(trials // 2, 2)
     first, first_auc = search(spaces[0], first_trials)
     second, second_auc = search(spaces[1], max(trials - first_trials, 2))
-    scored = test
-    for name, model in (
-        ("booster_a", fit_booster(known, features, label, first, seed=seed)),
-        ("booster_b", fit_booster(known, features, label, second, seed=seed)),
-        ("forest", fit_forest(known, features, label, forest_trees, seed=seed)),
-    ):
-        scored = batch_score(model, scored, name)
-    voted = soft_vote(scored, ["booster_a", "booster_b", "forest"]).persist()
+    models = {
+        "booster_a": fit_booster(known, features, label, first, seed=seed),
+        "booster_b": fit_booster(known, features, label, second, seed=seed),
+        "forest": fit_forest(known, features, label, forest_trees, seed=seed),
+    }
+    if save_to:
+        for name, model in models.items():
+            save_model(model, f"{save_to}/{name}")
+    voted = vote(models, test).persist()
+    champion_auc = None
+    if champion_folder:
+        theirs = vote({name: PipelineModel.load(f"{champion_folder}/{name}") for name in VOTERS}, test)
+        champion_auc = classifier_metrics(theirs, label, "probability", weight)["auc_roc"]
     metrics = classifier_metrics(voted, label, "probability", weight)
     metrics |= {**separation(voted, label, "probability"), "gini": 2 * metrics["auc_roc"] - 1}  # weighted, as the area is
     sizes = split_sizes(split)

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import iso_weekday, week_ending_monday
-from riskloom.functions.numeric import exact_sum, mean_of_present, ratio_or_zero
+from riskloom.functions.numeric import cents, exact_sum, mean_of_present, ratio_or_zero
 from riskloom.operators.features import calendar_features
 from riskloom.plans.series import SERIES_ROWS, Series, as_series, last_before
 
@@ -77,17 +77,14 @@ def prev_week_lookup(series: Series, weekly: DataFrame, tx: DataFrame) -> Series
 
 def _window_mean() -> Column:
     whole = W.partitionBy("id_atm")
-    total = F.sum(F.col("amount").cast("decimal(20,2)")).over(whole).cast("double")
-    return total / F.count("amount").over(whole)
+    return F.sum(cents(F.col("amount"))).over(whole) / 100 / F.count("amount").over(whole)
 
 
 def prev_weekday_amount(series: Series, iso_weekday_fix: bool = False) -> Series:
     """Last amount on each of two weekdays, strictly before the row."""
     days = PREVIOUS_DAYS_FIXED if iso_weekday_fix else PREVIOUS_DAYS
-    for name, day in days.items():
-        on_day = F.when(iso_weekday(F.col("transaction_date")) == day, F.col("amount"))
-        series = last_before(series, on_day, name)
-    return series
+    weekday = iso_weekday(F.col("transaction_date"))
+    return last_before(series, {name: F.when(weekday == day, F.col("amount")) for name, day in days.items()})
 
 
 def low_sunday(series: Series, tx: DataFrame, iso_weekday_fix: bool = False) -> Series:

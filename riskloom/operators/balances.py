@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.numeric import cents
 from riskloom.plans.series import SERIES_ROWS, largest_key, series_position
 
 RELOAD = 100_000.0
@@ -41,8 +42,8 @@ def balance_replay(
     """Balance after each row, in (day, type, id) order per ATM; an unknown opening balance stays null until a reload."""
     cap = round(reload * CENTS)
     rows = tx.select("id_transaction", "id_atm", "transaction_date", "transaction_type", "amount")
-    rows = rows.withColumn("__cents", F.round(F.col("amount") * CENTS).cast("long"))
-    opening = state.select("id_atm", F.round(F.col("current_balance") * CENTS).cast("long").alias("__open"))
+    rows = rows.withColumn("__cents", cents(F.col("amount")))
+    opening = state.select("id_atm", cents(F.col("current_balance")).alias("__open"))
     if largest_key(tx, "id_atm") <= series_rows:
         ready = rows.join(opening, "id_atm", "left").withColumn("__block", F.lit(0).cast("long"))
     else:
@@ -66,17 +67,17 @@ def _replay(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]
     for batch in batches:
         after, reloaded = [], []
         opened = [None if pd.isna(v) else int(v) for v in batch["__open"]]
-        for atm, blk, kind, cents, start in zip(
+        for atm, blk, kind, amount, start in zip(
             batch["id_atm"], batch["__block"], batch["transaction_type"], batch["__cents"], opened
         ):
             if (atm, blk) != key:
                 key, balance = (atm, blk), start
             refill = False
             if kind == "WITHDRAWAL":
-                refill = balance is None or balance <= cents
-                balance = cap if refill else balance - cents
+                refill = balance is None or balance <= amount
+                balance = cap if refill else balance - amount
             elif kind == "DEPOSIT" and balance is not None:
-                balance = min(balance + cents, cap)
+                balance = min(balance + amount, cap)
             after.append(None if balance is None else balance / CENTS)
             reloaded.append(refill)
         out = batch[["id_transaction", "id_atm", "transaction_date", "transaction_type", "amount"]].copy()
@@ -111,32 +112,32 @@ class Transfer:
         members.append(self.sets)
         return self.sets
 
-    def step(self, kind: str, cents: int) -> None:
+    def step(self, kind: str, amount: int) -> None:
         if kind not in ("WITHDRAWAL", "DEPOSIT"):
             return
         taken = kind == "WITHDRAWAL"
         moved: dict[int, list[int]] = {}
         at_cap: list[int] = []
         for balance, members in self.known.items():
-            now = balance - cents if taken else balance + cents
+            now = balance - amount if taken else balance + amount
             if (taken and now <= 0) or (not taken and now >= self.cap):
                 at_cap.extend(members)
             else:
                 moved.setdefault(now, []).extend(members)
         if taken:
-            limit = cents - self.shift
+            limit = amount - self.shift
             if limit > self.low and self.low < self.high:
                 self.low = limit
                 self.limits.append((True, limit, self._new_set(at_cap)))
             if self.unknown is None:
                 self.unknown = self._new_set(at_cap)
-            self.shift -= cents
+            self.shift -= amount
         else:
-            limit = self.cap - cents - self.shift
+            limit = self.cap - amount - self.shift
             if limit < self.high and self.low < self.high:
                 self.high = limit
                 self.limits.append((False, limit, self._new_set(at_cap)))
-            self.shift += cents
+            self.shift += amount
         if at_cap:
             moved.setdefault(self.cap, []).extend(at_cap)
         self.known = moved
@@ -163,12 +164,12 @@ def _transfers(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFra
     key, transfer = None, None
     for batch in batches:
         done = []
-        for atm, blk, kind, cents in zip(batch["id_atm"], batch["__block"], batch["transaction_type"], batch["__cents"]):
+        for atm, blk, kind, amount in zip(batch["id_atm"], batch["__block"], batch["transaction_type"], batch["__cents"]):
             if (atm, blk) != key:
                 if transfer is not None:
                     done.append(transfer.row(*key))
                 key, transfer = (atm, blk), Transfer(cap)
-            transfer.step(kind, cents)
+            transfer.step(kind, amount)
         if done:
             yield frame(done)
     if transfer is not None:

@@ -84,26 +84,22 @@ def series_position(df: DataFrame, key: str, day: str, ties: list[str], out: str
     )
 
 
-def last_before(series: Series, value: Column, out: str) -> Series:
-    """The last non-null `value` strictly before each row, however far back."""
-    df = series.df.withColumn("__v", value)
+def last_before(series: Series, values: dict[str, Column]) -> Series:
+    """For each name, the last non-null value strictly before each row, however far back."""
+    held = {name: f"__v_{name}" for name in values}
+    df = series.df.withColumns({held[name]: value for name, value in values.items()})
     before = series.window.rowsBetween(W.unboundedPreceding, -1)
-    found = df.withColumn(out, F.last("__v", ignorenulls=True).over(before))
+    found = df.withColumns({name: F.last(v, ignorenulls=True).over(before) for name, v in held.items()})
     if series.blocked:
         # what earlier blocks hand over: one row per block
-        closing = (
-            df.where(~F.col("__overlap") & F.col("__v").isNotNull())
-            .groupBy(*series.keys)
-            .agg(F.max(F.struct("__pos", "__v"))["__v"].alias("__v"))
+        own = df.where(~F.col("__overlap"))
+        closing = own.groupBy(*series.keys).agg(
+            *[F.max(F.when(F.col(v).isNotNull(), F.struct("__pos", v)))[v].alias(v) for v in held.values()]
         )
-        every = df.select(*series.keys).distinct()
-        order = W.partitionBy(series.key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-        carried = every.join(closing, series.keys, "left").select(
-            *series.keys, F.last("__v", ignorenulls=True).over(order).alias("__carry")
+        earlier = W.partitionBy(series.key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+        carried = closing.select(
+            *series.keys, *[F.last(v, ignorenulls=True).over(earlier).alias(f"__carry_{name}") for name, v in held.items()]
         )
-        found = (
-            found.join(carried, series.keys, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.col("__carry")))
-            .drop("__carry")
-        )
-    return Series(found.drop("__v"), series.key, series.order, series.blocked)
+        found = found.join(carried, series.keys, "left").withColumns({name: F.coalesce(name, f"__carry_{name}") for name in values})
+        found = found.drop(*[f"__carry_{name}" for name in values])
+    return Series(found.drop(*held.values()), series.key, series.order, series.blocked)

@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 
 
 def append(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Add rows to a table.  Rows of one partition value are spread over many files by hash, not sent to one task."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    """Add rows to a table."""
+    if partition:
+        _gathered(df, partition).write.mode("append").partitionBy(partition).parquet(path)
+    else:
+        df.write.mode("append").parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
     """Replace only the partitions present in `df`."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    rows = _gathered(df, partition)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def _gathered(df: DataFrame, partition: str) -> DataFrame:
+    """Few files per partition value, while adaptive execution splits a value that holds many rows."""
+    return df.hint("rebalance", partition)
 
 
 def publish_snapshot(df: DataFrame, path: str, version: int) -> None:

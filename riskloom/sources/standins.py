@@ -17,12 +17,12 @@ TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "eve
 STAND_INS = {
     "atm_tx": """
         SELECT l_suppkey * 100000 + (UNIX_DATE(d) - 9131) * 2 + CASE WHEN t = 'DEPOSIT' THEN 1 ELSE 0 END AS id_transaction,
-               l_suppkey AS id_atm, d AS transaction_date, t AS transaction_type, CAST(a AS DOUBLE) AS amount,
+               l_suppkey AS id_atm, d AS transaction_date, t AS transaction_type, CAST(a AS DOUBLE) / 100 AS amount,
                CAST(floor((UNIX_DATE(d) - 9131) / 30.0) AS BIGINT) AS id_sync,
                CAST(1 + (UNIX_DATE(d) - 9131) % 3 AS INT) AS id_weather
         FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d,
                      CASE WHEN l_returnflag = 'R' THEN 'DEPOSIT' ELSE 'WITHDRAWAL' END AS t,
-                     SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS a
+                     SUM(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS a
               FROM {lineitem} GROUP BY 1, 2, 3) x""",
     "atms": """
         SELECT s_suppkey AS id_atm, (s_suppkey % 10) <> 0 AS active, CAST(1 + s_nationkey % 3 AS INT) AS id_location_type

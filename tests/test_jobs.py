@@ -42,3 +42,46 @@ def test_search_is_repeatable():
     for _, p, v in first:
         assert 0.01 <= p["learning_rate"] <= 0.3 and 3 <= p["max_depth"] <= 8 and v == p["learning_rate"]
         assert booster_params(p)["minInstancesPerNode"] == p["min_child_weight"]
+
+
+def test_training_records(spark, tmp_path):
+    from datetime import datetime
+
+    from riskloom.functions.rows import literal_rows
+    from riskloom.jobs.records import log_failure, log_result, log_start, trainings
+
+    root, t = str(tmp_path), datetime
+    for name in ("a", "b", "c"):
+        log_start(spark, root, name, t(2024, 1, 1))
+    log_result(literal_rows(spark, [(0.9,)], "auc double"), root, "a", t(2024, 1, 1, 0, 5))
+    log_failure(spark, root, "b", t(2024, 1, 1, 0, 1), "no data")
+    seen = {r["id_audit"]: (r["status"], r["training_duration_seconds"], r["error_message"]) for r in trainings(spark, root).collect()}
+    assert seen == {"a": ("SUCCESS", 300, None), "b": ("ERROR", 60, "no data"), "c": ("PENDING", None, None)}
+
+
+def test_champion_is_scored_on_the_same_rows(spark, folder, tmp_path):
+    from riskloom.catalog import models as m
+    from riskloom.jobs import delinquency
+
+    def train(**more):
+        return delinquency.train(
+            m.delinquency_rows(spark, folder), m.DELINQUENCY_FEATURES, m.LABEL, "sample_weight", "id_row",
+            trials=2, spaces=(m.SMALL_SPACE, m.SMALL_LEAF_SPACE), forest_trees=3, **more,
+        ).first()
+
+    first = train(save_to=str(tmp_path))
+    assert first["champion_auc"] is None and first["deployment_status"] == "NEW_CHAMPION"
+    second = train(champion_folder=str(tmp_path))
+    assert second["champion_auc"] == pytest.approx(first["auc_roc"], abs=1e-4)
+    assert second["deployment_status"] == "KEEP_CHAMPION"
+
+
+def test_churn_monitor_records_real_verdicts_only(spark, folder, tmp_path):
+    from riskloom.functions.dates import timestamp_ntz
+    from riskloom.jobs import churn
+
+    predictions, accounts = frames(spark, folder, "churn_predictions", "churn_accounts")
+    churn.monitor(predictions, accounts, timestamp_ntz("1990-01-01"), folder=str(tmp_path))
+    churn.monitor(predictions, accounts, timestamp_ntz("2024-01-26"), folder=str(tmp_path))
+    rows = spark.read.parquet(f"{tmp_path}/churn_training_history").collect()
+    assert [r["status"] for r in rows] in (["healthy"], ["degraded"])
