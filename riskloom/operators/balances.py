@@ -2,9 +2,9 @@
 
 A withdrawal that the balance does not cover (or just empties it) sets the balance
 to the reload amount; a deposit never lifts it above that amount.  The step is not
-associative, so no window or aggregate expresses it.  A series is replayed row by
-row inside Arrow batches.  A series too long for one task is cut into blocks, and
-each block is first reduced to its transfer function, which is small:
+associative, so no window or aggregate expresses it; whole series are replayed in
+groups of about SHELF_ROWS rows.  A series too long for one task is cut into blocks,
+and each block is first reduced to its transfer function, which is small:
 
 * while no reload and no cap has happened the balance is the opening balance plus
   a known shift, and that holds for one interval of opening balances;
@@ -19,17 +19,23 @@ series never changes a result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import cents
-from riskloom.plans.series import SERIES_ROWS, largest_key, series_position
+from riskloom.plans.series import SERIES_ROWS, key_sizes, series_position
 
 RELOAD = 100_000.0
 CENTS = 100
+SHELF_ROWS = 50_000
+ORDER = ["id_atm", "__block", "__day", "transaction_type", "id_transaction"]
+OUTPUT = (
+    "id_transaction long, id_atm long, transaction_date date, transaction_type string, amount double, "
+    "balance_after double, reload_flag boolean"
+)
+SUMMARY = "id_atm long, __block long, shift long, is_low array<boolean>, limits array<long>, ends array<long>, unknown_end long"
 
 
 def balance_replay(
@@ -41,55 +47,55 @@ def balance_replay(
 ) -> DataFrame:
     """Balance after each row, in (day, type, id) order per ATM; an unknown opening balance stays null until a reload."""
     cap = round(reload * CENTS)
-    rows = tx.select("id_transaction", "id_atm", "transaction_date", "transaction_type", "amount")
-    rows = rows.withColumn("__cents", cents(F.col("amount")))
+    rows = tx.select("id_transaction", "id_atm", "transaction_date", "transaction_type", "amount").withColumns(
+        {"__cents": cents(F.col("amount")), "__day": F.unix_date("transaction_date")}
+    )
     opening = state.select("id_atm", cents(F.col("current_balance")).alias("__open"))
-    if largest_key(tx, "id_atm") <= series_rows:
+    largest, total = key_sizes(tx, "id_atm")
+    shelves = max(1, total // SHELF_ROWS)
+    if largest <= series_rows:
         ready = rows.join(opening, "id_atm", "left").withColumn("__block", F.lit(0).cast("long"))
     else:
         size = block or series_rows
         ties = ["transaction_type", "id_transaction"]
-        placed = series_position(rows, "id_atm", "transaction_date", ties).withColumn("__block", F.floor(F.col("__pos") / size))
-        openings = _block_openings(placed.drop("__pos"), opening, cap)
-        ready = placed.drop("__pos").join(openings, ["id_atm", "__block"])
-    schema = "id_transaction long, id_atm long, transaction_date date, transaction_type string, amount double, balance_after double, reload_flag boolean"
-    return _in_order(ready).mapInPandas(lambda batches: _replay(batches, cap), schema)
+        placed = series_position(rows, "id_atm", "transaction_date", ties)
+        placed = placed.withColumn("__block", F.floor(F.col("__pos") / size)).drop("__pos")
+        ready = placed.join(_block_openings(placed, opening, cap, shelves), ["id_atm", "__block"])
+    return _by_shelf(ready, shelves).applyInPandas(lambda pdf: _replay(pdf, cap), OUTPUT)
 
 
-def _in_order(df: DataFrame) -> DataFrame:
-    return df.repartition("id_atm", "__block").sortWithinPartitions(
-        "id_atm", "__block", "transaction_date", "transaction_type", "id_transaction"
-    )
+def _by_shelf(df: DataFrame, shelves: int):
+    """Groups that hold whole blocks, many small ones together."""
+    return df.groupBy(F.pmod(F.xxhash64("id_atm", "__block"), F.lit(shelves)).alias("__shelf"))
 
 
-def _replay(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
+def _replay(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
+    pdf = pdf.sort_values(ORDER)
     key, balance = None, None
-    for batch in batches:
-        after, reloaded = [], []
-        opened = [None if pd.isna(v) else int(v) for v in batch["__open"]]
-        for atm, blk, kind, amount, start in zip(
-            batch["id_atm"], batch["__block"], batch["transaction_type"], batch["__cents"], opened
-        ):
-            if (atm, blk) != key:
-                key, balance = (atm, blk), start
-            refill = False
-            if kind == "WITHDRAWAL":
-                refill = balance is None or balance <= amount
-                balance = cap if refill else balance - amount
-            elif kind == "DEPOSIT" and balance is not None:
-                balance = min(balance + amount, cap)
-            after.append(None if balance is None else balance / CENTS)
-            reloaded.append(refill)
-        out = batch[["id_transaction", "id_atm", "transaction_date", "transaction_type", "amount"]].copy()
-        out["balance_after"] = pd.array(after, dtype="Float64")
-        out["reload_flag"] = reloaded
-        yield out
-
-
-def _block_openings(placed: DataFrame, opening: DataFrame, cap: int) -> DataFrame:
+    after, reloaded = [], []
+    opened = [None if pd.isna(v) else int(v) for v in pdf["__open"]]
+    for atm, blk, kind, amount, start in zip(
+        pdf["id_atm"], pdf["__block"], pdf["transaction_type"], pdf["__cents"].tolist(), opened
+    ):
+        if (atm, blk) != key:
+            key, balance = (atm, blk), start
+        refill = False
+        if kind == "WITHDRAWAL":
+            refill = balance is None or balance <= amount
+            balance = cap if refill else balance - amount
+        elif kind == "DEPOSIT" and balance is not None:
+            balance = min(balance + amount, cap)
+        after.append(None if balance is None else balance / CENTS)
+        reloaded.append(refill)
+    out = pdf[["id_transaction", "id_atm", "transaction_date", "transaction_type", "amount"]].copy()
+    out["balance_after"] = pd.array(after, dtype="Float64")
+    out["reload_flag"] = reloaded
+    return out
+
+
+def _block_openings(placed: DataFrame, opening: DataFrame, cap: int, shelves: int) -> DataFrame:
     """Opening balance of every block: transfer functions in parallel, then one short chain per ATM."""
-    summary = "id_atm long, __block long, shift long, is_low array<boolean>, limits array<long>, ends array<long>, unknown_end long"
-    functions = _in_order(placed).mapInPandas(lambda batches: _transfers(batches, cap), summary)
+    functions = _by_shelf(placed, shelves).applyInPandas(lambda pdf: _transfers(pdf, cap), SUMMARY)
     chained = "id_atm long, __block long, __open long"
     return functions.join(opening, "id_atm", "left").groupBy("id_atm").applyInPandas(_chain, chained)  # one row per block
 
@@ -155,25 +161,15 @@ class Transfer:
         )
 
 
-def _transfers(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
+def _transfers(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
     columns = ["id_atm", "__block", "shift", "is_low", "limits", "ends", "unknown_end"]
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=columns).astype({"unknown_end": "Int64"})
-
-    key, transfer = None, None
-    for batch in batches:
-        done = []
-        for atm, blk, kind, amount in zip(batch["id_atm"], batch["__block"], batch["transaction_type"], batch["__cents"]):
-            if (atm, blk) != key:
-                if transfer is not None:
-                    done.append(transfer.row(*key))
-                key, transfer = (atm, blk), Transfer(cap)
+    done = []
+    for (atm, blk), rows in pdf.sort_values(ORDER).groupby(["id_atm", "__block"], sort=False):
+        transfer = Transfer(cap)
+        for kind, amount in zip(rows["transaction_type"], rows["__cents"].tolist()):
             transfer.step(kind, amount)
-        if done:
-            yield frame(done)
-    if transfer is not None:
-        yield frame([transfer.row(*key)])
+        done.append(transfer.row(atm, blk))
+    return pd.DataFrame(done, columns=columns).astype({"unknown_end": "Int64"})
 
 
 def _apply(row, balance: int | None) -> int | None:

@@ -44,8 +44,10 @@ class Series:
         return self.df.where(~F.col("__overlap")).drop("__block", "__pos", "__overlap")
 
 
-def largest_key(df: DataFrame, key: str) -> int:
-    return df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+def key_sizes(df: DataFrame, key: str) -> tuple[int, int]:
+    """Rows of the largest key, and rows in all."""
+    largest, total = df.groupBy(key).count().agg(F.max("count"), F.sum("count")).first()
+    return largest or 0, total or 0
 
 
 def as_series(
@@ -58,7 +60,7 @@ def as_series(
     block: int | None = None,
 ) -> Series:
     """`depth` is the largest row distance that will be looked back."""
-    if largest_key(df, key) <= series_rows:
+    if key_sizes(df, key)[0] <= series_rows:
         return Series(df, key, (day, tie), False)
     size = block or series_rows
     numbered = series_position(df, key, day, [tie])
