@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.dates import days_before
-from riskloom.operators.scans import latest
+from riskloom.operators.scans import days_before_latest
 from riskloom.plans.cuts import HashOrder
 from riskloom.plans.ordered import BLOCK_ROWS, global_position
 
@@ -49,9 +48,9 @@ def stratified_split(
 
 def temporal_split(df: DataFrame, date_col: str, test_days: int = 60, val_days: int = 15) -> DataFrame:
     """The last days are the test part, the last days before them the validation part."""
-    test_from = days_before(latest(df, date_col), test_days)
+    test_from = days_before_latest(df, date_col, test_days)
     before_test = df.where(F.col(date_col) <= test_from)
-    val_from = days_before(latest(before_test, date_col), val_days)
+    val_from = days_before_latest(before_test, date_col, val_days)
     day = F.col(date_col)
     return df.withColumn("split", F.when(day > test_from, "test").when(day > val_from, "val").otherwise("train"))
 

@@ -22,8 +22,15 @@ def latest(df: DataFrame, column: str) -> Column:
     return df.select(F.max(column)).scalar()
 
 
+def days_before_latest(df: DataFrame, date_col: str, days: int) -> Column:
+    """As a date for a date column, so that the comparison reaches the scan."""
+    newest = latest(df, date_col)
+    is_date = df.schema[date_col].dataType.typeName() == "date"
+    return F.date_sub(newest, days) if is_date else days_before(newest, days)
+
+
 def trailing_days(df: DataFrame, date_col: str, days: int) -> DataFrame:
-    return df.where(F.col(date_col) >= days_before(latest(df, date_col), days))
+    return df.where(F.col(date_col) >= days_before_latest(df, date_col, days))
 
 
 def trailing_months(df: DataFrame, ts_col: str, months: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2_000_000
+BLOCK_ROWS = 500_000
 MAX_BLOCKS = 4096
 
 
@@ -68,6 +68,11 @@ def running_total(
     `df` holds one row per value of `order`; `sums` maps column -> output column;
     `limits` are cut points of `order`.
     """
+    if not limits:  # counted: one block holds all rows
+        smaller = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        every = W.orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        below = {name: F.coalesce(F.sum(c).over(smaller), F.lit(0)) for c, name in sums.items()}
+        return df.withColumns({**below, **{f"{c}_all": F.sum(c).over(every) for c in sums}})
     blocked = with_block(df, order, limits, "__block")
     totals = blocked.groupBy("__block").agg(*[F.sum(c).alias(c) for c in sums])
     before = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)  # at most MAX_BLOCKS rows
@@ -98,6 +103,8 @@ def global_position(
     first, second = order[0], order[1] if len(order) > 1 else None
     keyed = df.withColumn("__k1", _as_number(df, first))
     limits = cut_points(keyed, "__k1", block_rows)
+    if not limits:  # counted: one block holds all rows
+        return df.withColumn(out, F.row_number().over(W.orderBy(*order)).cast("long") - 1)
     blocked = with_block(keyed, "__k1", limits, "__b1")
     hot = single_value_blocks(limits)
     if hot and second:
