@@ -117,11 +117,17 @@ def global_position(
     else:
         blocked = blocked.withColumn("__b2", F.lit(0))
     counts = blocked.groupBy("__b1", "__b2").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__b1", "__b2").rowsBetween(W.unboundedPreceding, -1)  # one row per block
-    offsets = counts.select("__b1", "__b2", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    first_totals = counts.groupBy("__b1").agg(F.sum("__n").alias("__n"))
+    before = W.orderBy("__b1").rowsBetween(W.unboundedPreceding, -1)  # at most 2 x MAX_BLOCKS rows
+    starts = first_totals.select("__b1", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = W.partitionBy("__b1").orderBy("__b2").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("__in", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(
+        F.broadcast(starts), "__b1"  # bounded: one row per block of the first column
+    )
+    offsets = offsets.select("__b1", "__b2", (F.col("__start") + F.col("__in")).alias("__off"))
     inside = W.partitionBy("__b1", "__b2").orderBy(*order)
     return (
-        blocked.join(F.broadcast(offsets), ["__b1", "__b2"])  # bounded: one row per block
+        blocked.join(offsets, ["__b1", "__b2"])
         .withColumn(out, F.col("__off") + F.row_number().over(inside) - 1)
         .drop("__b1", "__b2", "__k1", "__k2", "__off")
     )
