@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 1_000_000
 MAX_BLOCKS = 4096
 
 

@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators.atm_series import atm_features
 from riskloom.operators.balances import Transfer, balance_replay
@@ -105,3 +106,27 @@ def test_transfer_function_stays_small():
     for _ in range(5000):
         transfer.step("WITHDRAWAL" if rng.random() < 0.6 else "DEPOSIT", int(rng.integers(1, 20_000)))
     assert len(transfer.known) < 200 and len(transfer.limits) < 200
+
+
+def test_blocks_agree_on_many_rows(spark):
+    """A hot ATM with a third of the rows; enough rows for adaptive execution to change the joins."""
+    n = 300_000
+    atm = F.when(F.col("id") % 3 == 0, F.lit(7).cast("long")).otherwise(F.pmod(F.xxhash64("id"), F.lit(40)))
+    day = F.date_add(F.lit("2015-01-01").cast("date"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(2000)).cast("int"))
+    tx = spark.range(n).select(
+        F.col("id").alias("id_transaction"),
+        atm.alias("id_atm"),
+        day.alias("transaction_date"),
+        (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(9_000_000)) / 100).alias("amount"),
+        F.when(F.col("id") % 4 == 1, "DEPOSIT").otherwise("WITHDRAWAL").alias("transaction_type"),
+    )
+    state = spark.range(40).select(F.col("id").alias("id_atm"), F.lit(60_000.0).alias("current_balance"))
+
+    def digest(df):
+        columns = [F.round(c, 6) if kind == "double" else F.col(c) for c, kind in sorted(df.dtypes)]
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(20,0)"))).first())
+
+    whole, blocks = (digest(balance_replay(tx, state, 500_000.0, rows)) for rows in (10**9, 12_000))
+    assert whole == blocks
+    rows = tx.drop("transaction_type")
+    assert digest(atm_features(rows, series_rows=10**9)) == digest(atm_features(rows, series_rows=12_000))
