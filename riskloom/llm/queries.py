@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import quality
+from riskloom.llm import pii, quality
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -69,3 +69,8 @@ def _quality_sql() -> str:
 @query("op3_quality_rules", _quality_sql())
 def quality_query(spark, folder):
     return quality.quality_report(read(spark, folder, "documents"))
+
+
+@query("op8_pii")
+def pii_query(spark, folder):
+    return pii.find_personal_data(read(spark, folder, "documents"))
