@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import pii, quality
+from riskloom.llm import pii, quality, sharding
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -74,3 +74,8 @@ def quality_query(spark, folder):
 @query("op8_pii")
 def pii_query(spark, folder):
     return pii.find_personal_data(read(spark, folder, "documents"))
+
+
+@query("op9_sharding")
+def sharding_query(spark, folder):
+    return sharding.shard_report(read(spark, folder, "documents"))
