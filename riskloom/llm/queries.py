@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import pii, quality, sharding
+from riskloom.llm import bpe, pii, quality, sharding
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -79,3 +80,8 @@ def pii_query(spark, folder):
 @query("op9_sharding")
 def sharding_query(spark, folder):
     return sharding.shard_report(read(spark, folder, "documents"))
+
+
+@query("op1_byte_bpe")
+def bpe_query(spark, folder):
+    return bpe.round_trip(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
