@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, pii, quality, sharding
+from riskloom.llm import bpe, pii, quality, sharding, simhash
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -85,3 +85,8 @@ def sharding_query(spark, folder):
 @query("op1_byte_bpe")
 def bpe_query(spark, folder):
     return bpe.round_trip(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op2_simhash")
+def simhash_query(spark, folder):
+    return simhash.near_duplicates(read(spark, folder, "documents"))

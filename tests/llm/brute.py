@@ -30,3 +30,38 @@ def personal(text):
     spans = base_spans(text)
     counts = tuple(sum(s[3] == k for s in spans) for k in ("email", "ip", "card", "phone"))
     return (*counts, hashlib.sha256(",".join(s[2] for s in spans).encode()).hexdigest())
+
+
+def simhash(text, width=4):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    wide = min(width, len(words))
+    shingles = [" ".join(words[i : i + wide]) for i in range(len(words) - wide + 1)] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_groups(prints, distance=4):
+    """Least id that links reach, for {id: fingerprint}; all pairs are compared."""
+    import numpy as np
+
+    values = sorted(set(prints.values()))
+    x = np.array(values, dtype=np.uint64)
+    root = list(range(len(x)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= distance) + i + 1:
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    place = {v: find(i) for i, v in enumerate(values)}
+    least = {}
+    for doc, v in prints.items():
+        least[place[v]] = min(doc, least.get(place[v], doc))
+    return {doc: least[place[v]] for doc, v in prints.items()}
