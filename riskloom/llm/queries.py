@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, pii, quality, sharding, simhash
+from riskloom.llm import bpe, decontaminate, pii, quality, sharding, simhash
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -90,3 +90,8 @@ def bpe_query(spark, folder):
 @query("op2_simhash")
 def simhash_query(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
+
+
+@query("op4_decontamination")
+def decontamination_query(spark, folder):
+    return decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))

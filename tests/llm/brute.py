@@ -65,3 +65,35 @@ def near_groups(prints, distance=4):
     for doc, v in prints.items():
         least[place[v]] = min(doc, least.get(place[v], doc))
     return {doc: least[place[v]] for doc, v in prints.items()}
+
+
+def leaks(texts, items, least=0.8, width=5):
+    """{(doc, item): best similarity} over all item-sized windows, for {id: text} of both; weights as in the operator."""
+    import math
+    from collections import Counter
+
+    def cut(ws):
+        k = min(width, len(ws))
+        return Counter(" ".join(ws[i : i + k]) for i in range(len(ws) - k + 1)) if ws else Counter()
+
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    held = {i: cut(split(t)) for i, t in items.items()}
+    sizes = {i: len(split(t)) for i, t in items.items()}
+    spread = Counter(s for c in held.values() for s in c)
+    weigh = lambda s: max(1, round(16 * math.log(1 + len(items) / max(1, spread[s]))))
+    found = {}
+    for doc, text in texts.items():
+        ws = split(text)
+        for i, other in held.items():
+            size = min(sizes[i], len(ws))
+            if not size:
+                continue
+            for start in range(len(ws) - size + 1):
+                window = cut(ws[start : start + size])
+                both = sum(min(n, other[s]) * weigh(s) for s, n in window.items())
+                if both:
+                    every = sum(max(n, other[s]) * weigh(s) for s, n in window.items()) + sum(n * weigh(s) for s, n in other.items() if s not in window)
+                    score = both / every
+                    if score >= least:
+                        found[doc, i] = max(score, found.get((doc, i), 0))
+    return found
