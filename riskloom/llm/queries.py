@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, pii, quality, sharding, simhash
+from riskloom.llm import bpe, decontaminate, pii, quality, sharding, simhash, warc
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -95,3 +95,8 @@ def simhash_query(spark, folder):
 @query("op4_decontamination")
 def decontamination_query(spark, folder):
     return decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op10_warc")
+def warc_query(spark, folder):
+    return warc.archive_report(read(spark, folder, "pages"))
