@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, pii, quality, sharding, simhash, warc
+from riskloom.llm import bpe, decontaminate, html_text, pii, quality, sharding, simhash, warc
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -100,3 +100,8 @@ def decontamination_query(spark, folder):
 @query("op10_warc")
 def warc_query(spark, folder):
     return warc.archive_report(read(spark, folder, "pages"))
+
+
+@query("op5_html_text")
+def html_query(spark, folder):
+    return html_text.extract(read(spark, folder, "pages"))
