@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, html_text, pii, quality, sharding, simhash, warc
+from riskloom.llm import bpe, decontaminate, html_text, pii, quality, sharding, simhash, suffix_tree, warc
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -105,3 +105,8 @@ def warc_query(spark, folder):
 @query("op5_html_text")
 def html_query(spark, folder):
     return html_text.extract(read(spark, folder, "pages"))
+
+
+@query("op6_suffix_tree")
+def suffix_tree_query(spark, folder):
+    return suffix_tree.score(read(spark, folder, "documents"))
