@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, html_text, pii, quality, sharding, simhash, suffix_tree, warc
+from riskloom.llm import bpe, chat, decontaminate, html_text, pii, quality, sharding, simhash, suffix_tree, warc
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -110,3 +110,22 @@ def html_query(spark, folder):
 @query("op6_suffix_tree")
 def suffix_tree_query(spark, folder):
     return suffix_tree.score(read(spark, folder, "documents"))
+
+
+CHAT_SQL = """
+WITH m AS (SELECT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, 'turn-' || turn AS call_id, min(turn) AS call_turn, min(text) AS prompt, count(*) AS n_calls FROM m WHERE role = 'user' GROUP BY ALL),
+r AS (SELECT conv_id, 'turn-' || (turn - 1) AS call_id, min(turn) AS result_turn, min(text) AS answer, count(*) AS n_results FROM m WHERE role = 'assistant' GROUP BY ALL)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(call_turn, result_turn) AS order_turn, 0 AS depth, call_turn, result_turn,
+       coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+       CASE WHEN n_results IS NULL THEN 'unanswered' WHEN n_calls IS NULL THEN 'orphan' WHEN result_turn < call_turn THEN 'early' ELSE 'linked' END AS status,
+       n_calls IS NULL OR prompt IS NOT NULL AS valid, CASE WHEN n_calls IS NULL OR prompt IS NOT NULL THEN '' ELSE 'prompt: missing' END AS problems,
+       '{' || concat_ws(',', CASE WHEN n_calls IS NOT NULL THEN '"arguments":{' || coalesce('"prompt":' || to_json(prompt), '') || '}' END,
+                        '"id":' || to_json(coalesce(c.call_id, r.call_id)), CASE WHEN n_calls IS NOT NULL THEN '"name":"reply"' END,
+                        CASE WHEN n_results IS NOT NULL THEN '"result":{' || coalesce('"text":' || to_json(answer), '') || '}' END) || '}' AS record
+FROM c FULL JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id"""
+
+
+@query("op7_chat_format", CHAT_SQL)
+def chat_query(spark, folder):
+    return chat.format_chats(read(spark, folder, "conversations"))
