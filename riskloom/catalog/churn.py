@@ -235,7 +235,7 @@ CHAMPION_FEATURES = ["limit_bal", "age", "bill_amt1", "utilization_rate"]
 
 @query(
     "champion_baseline",
-    f"""WITH base AS (SELECT * FROM delinquency WHERE monthly_period < TIMESTAMP '2000-01-01'),
+    f"""WITH base AS (SELECT * FROM delinquency),
         {bins_sql("base", CHAMPION_FEATURES)}, counted AS ({counts_sql(values_sql("base", CHAMPION_FEATURES), closed=False)})
         SELECT feature, CAST(bucket AS INT) AS bucket, CASE WHEN bucket > 0 THEN round(lo, 6) END AS lo,
             CASE WHEN bucket < k - 1 THEN round(hi, 6) END AS hi, round(n / sum(n) OVER (PARTITION BY feature), 9) AS share
@@ -244,7 +244,7 @@ CHAMPION_FEATURES = ["limit_bal", "age", "bill_amt1", "utilization_rate"]
 def champion_query(spark, folder):
     """The baseline is packed into the audit row of the newest promoted model, then read back."""
     rows, audits = frames(spark, folder, "delinquency", "audits")
-    fitted = baseline_deciles_open(rows.where(F.col("monthly_period") < timestamp_ntz("2000-01-01")), CHAMPION_FEATURES)
+    fitted = baseline_deciles_open(rows, CHAMPION_FEATURES)
     newest = audits.where("promoted_flag").select(F.max("id_model")).scalar()
     stored = audits.withColumn("is_production", F.col("id_model") == newest).withColumn(
         "psi_baseline", F.when(F.col("is_production"), pack_baseline(fitted).scalar())

@@ -45,6 +45,11 @@ def cents(value: Column) -> Column:
     return F.rint(value * 100).cast("long")
 
 
+def wide(value: Column) -> Column:
+    """An amount as a decimal of eight places; sums of decimals do not depend on the order of the rows."""
+    return no_nan(value.cast("double")).try_cast("decimal(28,8)")
+
+
 def exact_sum(value: Column) -> Column:
-    """Sum of money amounts that does not depend on the order of the rows, as double."""
-    return F.sum(cents(value)) / 100
+    """Sum of amounts that does not depend on the order of the rows, as double."""
+    return F.sum(wide(value)).cast("double")

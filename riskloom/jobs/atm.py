@@ -30,9 +30,12 @@ from riskloom.operators.models import (
 from riskloom.operators.registry import atm_rule
 from riskloom.operators.sampling import allocate_ids, temporal_split, time_series_folds
 from riskloom.operators.scans import active_withdrawals, batch_lookback, drop_incomplete, latest_batch, trailing_days, weather_by_date
-from riskloom.sources.sinks import append, overwrite_partitions, publish_snapshot
+from riskloom.plans.joins import join_null_safe
+from riskloom.session import cut_lineage
+from riskloom.sources.sinks import append, overwrite_partitions, publish_snapshot, read_if_there
 from riskloom.streaming.batches import daily_atm_history, entity_status_rollup, status_merge
 
+# The columns that deployed models and their monitors were trained with.
 MONITORED = [
     "lag1", "lag5", "lag11", "tendencia_lags", "ratio_finde_vs_semana", "retiros_finde_anterior",
     "retiros_domingo_anterior",
@@ -71,17 +74,32 @@ def sync(
 ) -> SyncResult:
     """Take in one batch: weather, balances, ids, new ATM state and the batch's counts.
 
-    With a folder, rows are appended, the state is published as a new snapshot and
-    the daily totals of the touched days are replaced.
+    The ids of the batch are replaced by new ones after the largest known.  With a folder, rows are appended, the daily totals of
+    the touched days are made again from all stored rows, and the state is published as a new snapshot.  A batch
+    that is stored already is not appended again, so a failed sync can be repeated.
     """
-    replayed = balance_replay(incoming, state, reload)
-    rows = weather_by_date(replayed, "transaction_date", seed).withColumn("id_sync", F.lit(id_sync).cast("long"))
-    numbered = allocate_ids(rows, existing, "id_transaction", ["id_atm", "transaction_date", "id_transaction"])
-    merged = status_merge(state, entity_status_rollup(replayed), id_sync)
+    spark = incoming.sparkSession
+    table = f"{folder}/daily_atm_transactions"
+    before = read_if_there(spark, table) if folder else None
+    if before is None or before.where(F.col("id_sync") == id_sync).isEmpty():
+        known = existing.select("id_transaction")
+        known = known if before is None else known.union(before.select("id_transaction"))
+        replayed = weather_by_date(balance_replay(incoming, state, reload), "transaction_date", seed)
+        numbered = allocate_ids(replayed, known, "id_transaction", ["id_atm", "transaction_date", "id_transaction"])
+        numbered = numbered.drop("id_transaction").withColumnRenamed("new_id", "id_transaction")
+        numbered = numbered.withColumn("id_sync", F.lit(id_sync).cast("long"))
+        if folder:
+            append(numbered, table, "transaction_date")
+        else:
+            rows = cut_lineage(numbered)
+    if folder:
+        stored = spark.read.parquet(table)
+        rows = stored.where(F.col("id_sync") == id_sync)
+        touched = join_null_safe(stored, rows.select("transaction_date").distinct(), ["transaction_date"], "left_semi")
+        overwrite_partitions(daily_atm_history(touched), f"{folder}/historical_daily_atm", "transaction_date")
+    merged = status_merge(state, entity_status_rollup(rows), id_sync)
     if folder:
-        append(numbered, f"{folder}/daily_atm_transactions", "transaction_date")
         publish_snapshot(merged.drop("updated"), f"{folder}/atm_current_status", id_sync)
-        overwrite_partitions(daily_atm_history(rows), f"{folder}/historical_daily_atm", "transaction_date")
     counted = rows.agg(
         F.count(F.lit(1)).alias("records_inserted"),
         F.count_if("reload_flag").alias("recargas"),
@@ -94,7 +112,7 @@ def sync(
         (F.col("records_inserted") + updated).alias("records_processed"),
         "recargas",
     )
-    return SyncResult(numbered, merged, summary)
+    return SyncResult(rows, merged, summary)
 
 
 def missing_predictions(

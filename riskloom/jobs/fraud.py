@@ -20,6 +20,7 @@ from riskloom.operators.sampling import stratified_split, undersample
 from riskloom.operators.scans import between_dates, date_range_gate, trailing_months
 from riskloom.session import cut_lineage
 
+# The columns that deployed models were trained with.
 CATEGORIES = ["category", "gender", "job"]
 SCALED = ["amt", "city_pop", "age", "distance_km", "hour"]
 MODEL_FEATURES = ["amt", "city_pop", "category", "gender", "job", "age", "hour", "distance_km"]

@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import iso_weekday, week_ending_monday
-from riskloom.functions.numeric import cents, exact_sum, mean_of_present, ratio_or_zero
+from riskloom.functions.numeric import exact_sum, mean_of_present, ratio_or_zero, wide
 from riskloom.operators.features import calendar_features
+from riskloom.plans.joins import join_null_safe
 from riskloom.plans.series import SERIES_ROWS, Series, as_series, last_before
 
 # Row lags, drop limit, and the weekday numbers the deployed models were trained with.
@@ -62,8 +63,8 @@ def prev_week_lookup(series: Series, weekly: DataFrame, tx: DataFrame) -> Series
         # an ATM may hold most rows: attach both figures to its days and join on (ATM, day)
         means = tx.groupBy("id_atm").agg(mean.alias("__mean"))
         days = tx.select("id_atm", "transaction_date").distinct().withColumn("__week", last_week)
-        days = days.join(found, ["id_atm", "__week"], "left").join(means, "id_atm").drop("__week")
-        df = series.df.join(days, ["id_atm", "transaction_date"])
+        days = join_null_safe(days.join(found, ["id_atm", "__week"], "left"), means, ["id_atm"]).drop("__week")
+        df = join_null_safe(series.df, days, ["id_atm", "transaction_date"])
     else:
         df = (
             series.df.withColumn("__week", last_week)
@@ -77,7 +78,7 @@ def prev_week_lookup(series: Series, weekly: DataFrame, tx: DataFrame) -> Series
 
 def _window_mean() -> Column:
     whole = W.partitionBy("id_atm")
-    return F.sum(cents(F.col("amount"))).over(whole) / 100 / F.count("amount").over(whole)
+    return F.sum(wide(F.col("amount"))).over(whole).cast("double") / F.count("amount").over(whole)
 
 
 def prev_weekday_amount(series: Series, iso_weekday_fix: bool = False) -> Series:
@@ -106,7 +107,7 @@ def _medians(tx: DataFrame, large: bool) -> DataFrame:
     if not large:
         return tx.groupBy("id_atm").agg(F.median("amount").alias("__median"))
     # rank by counting values, cent by cent, in amount ranges: no task holds all amounts of one ATM
-    values = tx.groupBy("id_atm", "amount").count().withColumn("__range", F.floor(F.col("amount") / 1000))
+    values = tx.where(F.col("amount").isNotNull()).groupBy("id_atm", "amount").count().withColumn("__range", F.floor(F.col("amount") / 1000))
     per_range = values.groupBy("id_atm", "__range").agg(F.sum("count").alias("__n"))
     ranges = W.partitionBy("id_atm").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.select(
@@ -116,7 +117,7 @@ def _medians(tx: DataFrame, large: bool) -> DataFrame:
         F.sum("__n").over(W.partitionBy("id_atm")).alias("__all"),
     )
     inside = W.partitionBy("id_atm", "__range").orderBy("amount").rowsBetween(W.unboundedPreceding, 0)
-    ranked = values.join(offsets, ["id_atm", "__range"]).withColumn("__upto", F.col("__off") + F.sum("count").over(inside))
+    ranked = join_null_safe(values, offsets, ["id_atm", "__range"]).withColumn("__upto", F.col("__off") + F.sum("count").over(inside))
     lower, upper = F.floor((F.col("__all") - 1) / 2), F.ceil((F.col("__all") - 1) / 2)
     first, last = F.col("__upto") - F.col("count"), F.col("__upto") - 1
     return (
@@ -143,4 +144,5 @@ def atm_features(
             "tendencia_lags": F.coalesce(F.col("lag_1") - F.nullif(F.col("lag_11"), F.lit(0.0)), F.lit(0.0)),
         }
     )
-    return calendar_features(out.where(F.col("lag_11").isNotNull()).drop("__week_mean"), "transaction_date")
+    out = calendar_features(out.where(F.col("lag_11").isNotNull()).drop("__week_mean"), "transaction_date")
+    return out.select(*tx.columns, *(c for c in out.columns if c not in tx.columns))  # joins move their keys

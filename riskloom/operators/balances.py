@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import cents
+from riskloom.plans.joins import join_null_safe
 from riskloom.plans.series import SERIES_ROWS, key_sizes, series_position
 
 RELOAD = 100_000.0
@@ -60,7 +61,7 @@ def balance_replay(
         ties = ["transaction_type", "id_transaction"]
         placed = series_position(rows, "id_atm", "transaction_date", ties)
         placed = placed.withColumn("__block", F.floor(F.col("__pos") / size)).drop("__pos")
-        ready = placed.join(_block_openings(placed, opening, cap, shelves), ["id_atm", "__block"])
+        ready = join_null_safe(placed, _block_openings(placed, opening, cap, shelves), ["id_atm", "__block"])
     return _by_shelf(ready, shelves).applyInPandas(lambda pdf: _replay(pdf, cap), OUTPUT)
 
 
@@ -70,29 +71,36 @@ def _by_shelf(df: DataFrame, shelves: int):
 
 
 def _replay(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(ORDER)
-    key, balance = None, None
+    pdf = pdf.sort_values(ORDER, na_position="first")
+    key, balance = (), None
     after, reloaded = [], []
     opened = [None if pd.isna(v) else int(v) for v in pdf["__open"]]
     for atm, blk, kind, amount, start in zip(
-        pdf["id_atm"], pdf["__block"], pdf["transaction_type"], pdf["__cents"].tolist(), opened
+        _ids(pdf["id_atm"]), pdf["__block"], pdf["transaction_type"], _ids(pdf["__cents"]), opened
     ):
         if (atm, blk) != key:
             key, balance = (atm, blk), start
         refill = False
-        if kind == "WITHDRAWAL":
+        if amount is None:
+            pass
+        elif kind == "WITHDRAWAL":
             refill = balance is None or balance <= amount
             balance = cap if refill else balance - amount
         elif kind == "DEPOSIT" and balance is not None:
             balance = min(balance + amount, cap)
         after.append(None if balance is None else balance / CENTS)
         reloaded.append(refill)
-    out = pdf[["id_transaction", "id_atm", "transaction_date", "transaction_type", "amount"]].copy()
+    out = pdf[["id_transaction", "id_atm", "transaction_date", "transaction_type", "amount"]].astype({"id_transaction": "Int64", "id_atm": "Int64"})
     out["balance_after"] = pd.array(after, dtype="Float64")
     out["reload_flag"] = reloaded
     return out
 
 
+def _ids(values: pd.Series) -> list:
+    """Whole numbers, None where there is none (pandas has NaN there, which equals nothing)."""
+    return [None if pd.isna(v) else int(v) for v in values]
+
+
 def _block_openings(placed: DataFrame, opening: DataFrame, cap: int, shelves: int) -> DataFrame:
     """Opening balance of every block: transfer functions in parallel, then one short chain per ATM."""
     functions = _by_shelf(placed, shelves).applyInPandas(lambda pdf: _transfers(pdf, cap), SUMMARY)
@@ -164,12 +172,13 @@ class Transfer:
 def _transfers(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
     columns = ["id_atm", "__block", "shift", "is_low", "limits", "ends", "unknown_end"]
     done = []
-    for (atm, blk), rows in pdf.sort_values(ORDER).groupby(["id_atm", "__block"], sort=False):
+    for (atm, blk), rows in pdf.sort_values(ORDER, na_position="first").groupby(["id_atm", "__block"], sort=False, dropna=False):
         transfer = Transfer(cap)
-        for kind, amount in zip(rows["transaction_type"], rows["__cents"].tolist()):
-            transfer.step(kind, amount)
-        done.append(transfer.row(atm, blk))
-    return pd.DataFrame(done, columns=columns).astype({"unknown_end": "Int64"})
+        for kind, amount in zip(rows["transaction_type"], _ids(rows["__cents"])):
+            if amount is not None:
+                transfer.step(kind, amount)
+        done.append(transfer.row(None if pd.isna(atm) else int(atm), blk))
+    return pd.DataFrame(done, columns=columns).astype({"id_atm": "Int64", "unknown_end": "Int64"})
 
 
 def _apply(row, balance: int | None) -> int | None:
@@ -187,6 +196,6 @@ def _chain(blocks: pd.DataFrame) -> pd.DataFrame:
     balance = None if pd.isna(start) else int(start)
     out = []
     for row in blocks.rename(columns={"__block": "block", "__open": "open"}).itertuples():
-        out.append((row.id_atm, row.block, balance))
+        out.append((None if pd.isna(row.id_atm) else int(row.id_atm), row.block, balance))
         balance = _apply(row, balance)
-    return pd.DataFrame(out, columns=["id_atm", "__block", "__open"]).astype({"__open": "Int64"})
+    return pd.DataFrame(out, columns=["id_atm", "__block", "__open"]).astype({"id_atm": "Int64", "__open": "Int64"})

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.bands import ALARM, EXTREME_PSI, RETRAIN, psi_alert, psi_category
+from riskloom.functions.numeric import no_nan
 from riskloom.functions.rows import literal_rows
 from riskloom.plans.quantiles import DECILES, DIRECT_ROWS, column_quantiles
 
@@ -48,7 +49,7 @@ def bucket_counts(df: DataFrame, edges: dict[str, Sequence[float]], closed: bool
     if not edges:
         return literal_rows(df.sparkSession, [], "feature string, bucket int, n long")
     entries = [
-        F.struct(F.lit(f).alias("feature"), bucket_of(F.col(f).cast("double"), e, closed).alias("bucket"))
+        F.struct(F.lit(f).alias("feature"), bucket_of(no_nan(F.col(f).cast("double")), e, closed).alias("bucket"))
         for f, e in edges.items()
     ]
     return df.select(F.inline(F.array(*entries))).groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -114,8 +115,8 @@ def baseline_deciles_open(df: DataFrame, features: Sequence[str], direct_rows: i
 
 
 def _projection(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The features only, kept while several passes read them (spilling to disk as needed)."""
-    return df.select(*[F.col(f).cast("double").alias(f) for f in features]).persist()
+    """The features only, NaN as null, kept while several passes read them (spilling to disk as needed)."""
+    return df.select(*[no_nan(F.col(f).cast("double")).alias(f) for f in features]).persist()
 
 
 def _summary(df: DataFrame, features: Sequence[str], quantiles: dict) -> dict[str, tuple]:
@@ -140,13 +141,13 @@ def _summary(df: DataFrame, features: Sequence[str], quantiles: dict) -> dict[st
 
 def baseline_mixed(df: DataFrame, categorical: Sequence[str], continuous: Sequence[str], bins: int = 10) -> DataFrame:
     """Value shares of categorical columns and equal-width bins of continuous ones."""
-    limits = [f(c).cast("double").alias(f"{n}_{c}") for c in continuous for n, f in (("lo", F.min), ("hi", F.max))]
+    limits = [f(no_nan(F.col(c).cast("double"))).alias(f"{n}_{c}") for c in continuous for n, f in (("lo", F.min), ("hi", F.max))]
     row = df.agg(*limits).first()
     edges = {c: _linear(row[f"lo_{c}"], row[f"hi_{c}"], bins) for c in continuous if row[f"lo_{c}"] is not None}
     widths = histogram(bucket_counts(df, edges, closed=True), bin_rows(df, edges)).select(
         "feature", F.lit("continuous").alias("type"), "bucket", "lo", "hi", "share", "n"
     )
-    entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("lo")) for c in categorical]
+    entries = [F.struct(F.lit(c).alias("feature"), no_nan(F.col(c).cast("double")).alias("lo")) for c in categorical]
     found = df.select(F.inline(F.array(*entries))).where(F.col("lo").isNotNull())
     counts = found.groupBy("feature", "lo").agg(F.count(F.lit(1)).alias("n"))
     per_feature = W.partitionBy("feature")  # distinct codes of one column

@@ -11,6 +11,7 @@ from riskloom.functions.dates import completed_years, iso_weekday, week_ending_m
 from riskloom.functions.geo import haversine_km
 from riskloom.functions.numeric import smoothed_ratio
 from riskloom.functions.rows import literal_rows
+from riskloom.plans.ordered import BLOCK_ROWS, global_position
 from riskloom.plans.quantiles import column_quantiles
 
 LOCAL_CODES = 1_000
@@ -105,33 +106,41 @@ def unpack_features(stored: DataFrame, schema: str = DOCUMENT_SCHEMA) -> DataFra
     return parsed.select(*[c for c in stored.columns if c != "dynamic_features"], "__doc.*")
 
 
-def label_codes(df: DataFrame, columns: Sequence[str], local_limit: int = LOCAL_CODES) -> dict[str, DataFrame]:
+def label_codes(df: DataFrame, columns: Sequence[str], local_limit: int = LOCAL_CODES, block_rows: int = BLOCK_ROWS) -> dict[str, DataFrame]:
     """Alphabetical codes 0.. of each column's distinct texts, as (value, code) tables.
 
-    One job finds the values of all columns.  Few values become a table of constants;
-    otherwise they are sorted and numbered in ranges.
+    A column with few values gets a table of constants; the values of a wide one are numbered in
+    blocks of their order, which follows the bytes of the text.  Codes are long either way.
     """
     entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns]
     values = df.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull()).distinct()
-    found = values.limit(local_limit + 1).collect()  # bounded
+    sizes = {r["feature"]: r["n"] for r in values.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    narrow = [c for c in columns if sizes.get(c, 0) <= local_limit]
+    found = values.where(F.col("feature").isin(narrow)).collect() if narrow else []  # bounded for each column
     codes = {}
     for c in columns:
-        if len(found) <= local_limit:
+        if c in narrow:
             numbered = list(enumerate(sorted(r["value"] for r in found if r["feature"] == c)))
-            codes[c] = literal_rows(df.sparkSession, numbered, f"{c}_code int, {c} string")
+            codes[c] = literal_rows(df.sparkSession, numbered, f"{c}_code long, {c} string")
         else:
-            texts = values.where(F.col("feature") == c).orderBy("value").rdd.map(lambda r: r["value"])
-            codes[c] = df.sparkSession.createDataFrame(texts.zipWithIndex(), f"{c} string, {c}_code long")
+            mine = values.where(F.col("feature") == c).select(F.col("value").alias(c), *(_prefix(F.col("value"), k).alias(f"__p{k}") for k in (0, 1)))
+            codes[c] = global_position(mine, ["__p0", "__p1", c], f"{c}_code", block_rows).select(c, f"{c}_code")
     return codes
 
 
+def _prefix(text: Column, k: int) -> Column:
+    """Six bytes of a text from byte 6 k on as a number that sorts as they do."""
+    part = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 6 * k + 1, 6)), 12, "0")
+    return F.conv(part, 16, 10).cast("double")
+
+
 def label_encode(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
     """Replace texts by codes; a value not seen in fitting gets code 0."""
     for c, table in codes.items():
         df = (
             df.withColumn(c, F.col(c).cast("string"))
             .join(table, c, "left")
-            .withColumn(c, F.coalesce(F.col(f"{c}_code"), F.lit(0)))
+            .withColumn(c, F.coalesce(F.col(f"{c}_code"), F.lit(0).cast("long")))
             .drop(f"{c}_code")
         )
     return df

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.bands import recall_status
-from riskloom.functions.numeric import EPS, floor_target, ratio_or_zero
+from riskloom.functions.numeric import EPS, floor_target, no_nan, ratio_or_zero
 from riskloom.functions.rows import literal_rows
 from riskloom.functions.student import t_quantile
 from riskloom.plans.ordered import BLOCK_ROWS, cut_points, running_total
@@ -160,20 +160,21 @@ def optimal_threshold(
 
 
 def monitor_error(pairs: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """MAE, RMSE and MAPE in percent over pairs that have both values."""
-    gap = F.col(actual) - F.col(predicted)
-    return pairs.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).agg(
+    """MAE, RMSE and MAPE in percent over pairs that have both values; NaN is no value."""
+    y, p = no_nan(F.col(actual).cast("double")), no_nan(F.col(predicted).cast("double"))
+    gap = y - p
+    return pairs.where(y.isNotNull() & p.isNotNull()).agg(
         F.avg(F.abs(gap)).alias("mae"),
         F.sqrt(F.avg(gap * gap)).alias("rmse"),
-        (F.avg(F.abs(gap / F.nullif(F.col(actual) + EPS, F.lit(0.0)))) * 100).alias("mape"),
+        (F.avg(F.abs(gap / F.nullif(y + EPS, F.lit(0.0)))) * 100).alias("mape"),
         F.count(F.lit(1)).alias("n"),
     )
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted_log: str) -> DataFrame:
     """MAE, RMSE and MAPE (a fraction) in real scale for a model of log1p(target)."""
-    y, p = floor_target(F.col(actual)), F.expm1(predicted_log)
-    return df.where(F.col(actual).isNotNull() & F.col(predicted_log).isNotNull()).agg(
+    y, p = floor_target(no_nan(F.col(actual).cast("double"))), F.expm1(no_nan(F.col(predicted_log).cast("double")))
+    return df.where(y.isNotNull() & p.isNotNull()).agg(
         F.avg(F.abs(y - p)).alias("mae"),
         F.avg(F.abs(y - p) / F.abs(y)).alias("mape"),
         F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"),

@@ -69,16 +69,22 @@ def fraud_rule(f1: Column, recall: Column, champion_f1: Column, champion_recall:
     return F.when(champion_f1.isNull(), True).otherwise(better)
 
 
+# Fixed values of the composite score: weights, and the metrics that show a champion's AUC was never recorded.
+SCORE_WEIGHTS = {"auc": 0.4, "f1": 0.3, "recall": 0.3}
+SCORE_WEIGHTS_WITHOUT_AUC = {"f1": 0.5, "recall": 0.5}
+BROKEN_AUC, BROKEN_F1 = 0.01, 0.3
+
+
 def churn_score_gain(metrics: dict[str, Column], champion: dict[str, Column]) -> Column:
     """Difference of composite scores; without AUC if the champion's AUC cannot be trusted."""
 
     def composite(m: dict[str, Column]) -> Column:
-        return 0.4 * m["auc"] + 0.3 * m["f1"] + 0.3 * m["recall"]
+        return sum((w * m[name] for name, w in SCORE_WEIGHTS.items()), F.lit(0.0))
 
     def halves(m: dict[str, Column]) -> Column:
-        return 0.5 * m["f1"] + 0.5 * m["recall"]
+        return sum((w * m[name] for name, w in SCORE_WEIGHTS_WITHOUT_AUC.items()), F.lit(0.0))
 
-    broken = (champion["auc"] < 0.01) & (champion["f1"] > 0.3)
+    broken = (champion["auc"] < BROKEN_AUC) & (champion["f1"] > BROKEN_F1)
     return F.when(broken, halves(metrics) - halves(champion)).otherwise(composite(metrics) - composite(champion))
 
 

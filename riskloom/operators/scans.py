@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import days_before, months_before, timestamp_ntz
+from riskloom.functions.numeric import no_nan
 
 
 def between_dates(df: DataFrame, ts_col: str, end: str, start: str | None = None, max_history_days: int = 730) -> DataFrame:
@@ -60,9 +61,9 @@ def dataset_start(df: DataFrame, period_col: str, today: Column, years: int = 3)
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str], fill: dict[str, float] | None = None) -> DataFrame:
-    """Text to double; what is not a number becomes null, or its fill value."""
+    """Text to double; what is not a number, the text NaN included, becomes null, or its fill value."""
     fill = fill or {}
-    parsed = {c: F.col(c).try_cast("double") for c in columns}
+    parsed = {c: no_nan(F.col(c).try_cast("double")) for c in columns}
     return df.withColumns({c: F.coalesce(v, F.lit(fill[c])) if c in fill else v for c, v in parsed.items()})
 
 
@@ -95,10 +96,11 @@ def date_range_gate(start: str | None, end: str) -> None:
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: share of nulls and count of values, in one pass."""
+    """Per column: share of nulls and count of values, in one pass; NaN counts as null."""
+    fractions = {n for n, kind in df.dtypes if kind in ("double", "float")}
     facts = df.agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.count(c).alias(c) for c in columns],
+        *[F.count(no_nan(F.col(c)) if c in fractions else c).alias(c) for c in columns],
     )
     entries = [
         F.struct(

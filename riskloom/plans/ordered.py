@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.functions.numeric import no_nan
+
 BLOCK_ROWS = 1_000_000
 MAX_BLOCKS = 4096
+NULL_BLOCK = -1
 
 
 def cut_points(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> list[float]:
@@ -33,7 +36,8 @@ def cut_points(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> list
     if blocks == 1:
         return []
     grid = [i / blocks for i in range(1, blocks)]
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), grid, 20 * blocks).alias("q")).first()["q"] or []
+    value = no_nan(F.col(column).cast("double"))
+    found = df.agg(F.percentile_approx(value, grid, 20 * blocks).alias("q")).first()["q"] or []
     limits = set()
     for value, following in zip(found, found[1:] + [None]):
         limits.add(value)
@@ -43,13 +47,14 @@ def cut_points(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> list
 
 
 def with_block(df: DataFrame, column: str, limits: Sequence[float], out: str) -> DataFrame:
-    """Number the block of each row; order-preserving in `column`."""
+    """Number the block of each row; order-preserving in `column`.  Nulls sort first and have block -1, NaN sorts last."""
     if not limits:
         return df.withColumn(out, F.lit(0))
     edges = [-math.inf, *limits, math.inf]
     keyed = df.withColumn("__key", F.col(column).cast("double"))
     cut = Bucketizer(splits=edges, inputCol="__key", outputCol=out, handleInvalid="keep").transform(keyed)
-    return cut.withColumn(out, F.col(out).cast("int")).drop("__key")
+    number = F.when(F.col("__key").isNull(), F.lit(NULL_BLOCK)).otherwise(F.col(out).cast("int"))
+    return cut.withColumn(out, number).drop("__key")
 
 
 def single_value_blocks(limits: Sequence[float]) -> list[int]:
@@ -98,7 +103,8 @@ def global_position(
     """0-based row number over a total order; the first two columns are numeric or dates.
 
     Blocks follow the first column.  A value that fills a whole block is split
-    again by the second column, so a hot key is numbered by many tasks.
+    again by the second column, so a hot key is numbered by many tasks; so are the
+    rows without a first value and those where it is NaN.
     """
     first, second = order[0], order[1] if len(order) > 1 else None
     keyed = df.withColumn("__k1", _as_number(df, first))
@@ -107,6 +113,8 @@ def global_position(
         return df.withColumn(out, F.row_number().over(W.orderBy(*order)).cast("long") - 1)
     blocked = with_block(keyed, "__k1", limits, "__b1")
     hot = single_value_blocks(limits)
+    if second and not blocked.where(F.col("__k1").isNull() | F.isnan("__k1")).isEmpty():
+        hot = [NULL_BLOCK, *hot, len(limits) + 1]
     if hot and second:
         in_hot = F.col("__b1").isin(hot)
         blocked = blocked.withColumn("__k2", F.when(in_hot, _as_number(df, second)))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.plans.joins import join_null_safe
+
 SERIES_ROWS = 2_000_000
 
 
@@ -80,7 +82,7 @@ def series_position(df: DataFrame, key: str, day: str, ties: list[str], out: str
     offsets = per_day.select(key, day, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
     inside = W.partitionBy(key, day).orderBy(*ties)
     return (
-        df.join(offsets, [key, day])
+        join_null_safe(df, offsets, [key, day])
         .withColumn(out, F.col("__off") + F.row_number().over(inside) - 1)
         .drop("__off")
     )
@@ -102,6 +104,6 @@ def last_before(series: Series, values: dict[str, Column]) -> Series:
         carried = closing.select(
             *series.keys, *[F.last(v, ignorenulls=True).over(earlier).alias(f"__carry_{name}") for name, v in held.items()]
         )
-        found = found.join(carried, series.keys, "left").withColumns({name: F.coalesce(name, f"__carry_{name}") for name in values})
+        found = join_null_safe(found, carried, series.keys, "left").withColumns({name: F.coalesce(name, f"__carry_{name}") for name in values})
         found = found.drop(*[f"__carry_{name}" for name in values])
     return Series(found.drop(*held.values()), series.key, series.order, series.blocked)

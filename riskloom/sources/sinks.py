@@ -6,6 +6,7 @@ snapshot below appears whole or not at all.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,22 @@ def _gathered(df: DataFrame, partition: str) -> DataFrame:
     return df.hint("rebalance", partition)
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or nothing where none has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def publish_snapshot(df: DataFrame, path: str, version: int) -> None:
-    """A new full version of a table; readers keep the old one until this one is complete."""
-    df.write.mode("errorifexists").parquet(f"{path}/version={version:012d}")
+    """A new full version of a table; readers keep the old one until this one is complete.
+
+    Publishing a version again, after a failure, replaces it.
+    """
+    df.write.mode("overwrite").parquet(f"{path}/version={version:012d}")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:

@@ -28,11 +28,50 @@ def test_sync_writes_what_it_reports(spark, folder, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/daily_atm_transactions")
     assert stored.count() == summary["records_inserted"]
     first = known.agg({"id_transaction": "max"}).first()[0] + 1
-    assert sorted(r["new_id"] for r in stored.collect()) == list(range(first, first + summary["records_inserted"]))
+    assert sorted(r["id_transaction"] for r in stored.collect()) == list(range(first, first + summary["records_inserted"]))
     weather = stored.groupBy("transaction_date").agg({"id_weather": "max"}).count()
     assert stored.select("transaction_date", "id_weather").distinct().count() == weather
 
 
+def test_batches_that_share_days(spark, tmp_path):
+    """Totals are those of all stored rows, ids are never given twice, and repeating a batch changes nothing."""
+    import datetime
+
+    from riskloom.sources.sinks import read_snapshot
+
+    one, two = datetime.date(2024, 1, 1), datetime.date(2024, 1, 2)
+    schema = "id_transaction long, id_atm long, transaction_date date, transaction_type string, amount double"
+    batches = [
+        [(1, 1, one, "WITHDRAWAL", 10.0), (2, 2, one, "WITHDRAWAL", 7.0)],
+        [(1, 1, one, "WITHDRAWAL", 5.0), (2, 1, two, "DEPOSIT", 3.0)],
+        [(1, 2, None, "WITHDRAWAL", 1.0), (2, 2, two, "WITHDRAWAL", 2.0)],
+    ]
+    none = spark.createDataFrame([], schema)
+    state = empty_status(spark.createDataFrame([(1, 100.0), (2, 50.0)], "id_atm long, current_balance double"))
+    root = str(tmp_path)
+    for number, batch in enumerate(batches, start=1):
+        for _ in range(2):
+            done = atm.sync(spark.createDataFrame(batch, schema), none, state, number, folder=root)
+            assert done.summary.first()["records_inserted"] == 2
+        state = read_snapshot(spark, f"{root}/atm_current_status")
+    rows = spark.read.parquet(f"{root}/daily_atm_transactions").collect()
+    assert sorted(r["id_transaction"] for r in rows) == [1, 2, 3, 4, 5, 6] and "new_id" not in rows[0]
+    totals = {(r["id_atm"], r["transaction_date"]): (r["withdrawn"], r["deposited"], r["movements"]) for r in spark.read.parquet(f"{root}/historical_daily_atm").collect()}
+    assert totals == {(1, one): (15.0, 0.0, 2), (2, one): (7.0, 0.0, 1), (1, two): (0.0, 3.0, 1), (2, two): (2.0, 0.0, 1), (2, None): (1.0, 0.0, 1)}
+    assert {r["id_atm"]: r["current_balance"] for r in state.collect()} == {1: 88.0, 2: 40.0}
+
+
+def test_every_row_is_scored(spark):
+    from riskloom.operators.models import batch_score, fit_booster, fit_regressor
+
+    rows = [(i, float(i % 10) if i % 5 else None, float("nan") if i % 7 == 0 else float(i % 3), i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    for model in (fit_booster(df, ["a", "b"], "y", {"n_estimators": 2}), fit_regressor(df, ["a", "b"], "y", {"n_estimators": 2})):
+        scored = batch_score(model, df)
+        assert scored.columns == [*df.columns, "score"]
+        assert scored.where("score IS NOT NULL").count() == 100
+
+
 def test_search_is_repeatable():
     def objective(p):
         return p["learning_rate"]

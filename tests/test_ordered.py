@@ -33,6 +33,31 @@ def test_global_position(hot, block_rows):
     assert sorted(r["pos"] for r in rows) == list(range(len(pdf)))
 
 
+@pytest.mark.parametrize("block_rows", [10**6, 50, 7])
+def test_positions_of_missing_and_nan_keys(spark, block_rows):
+    """Nulls come first, NaN last, and all rows are numbered, whatever the size of a block."""
+    rows = [(i, None if i % 10 == 0 else float("nan") if i % 13 == 0 else float(i % 3), None if i % 7 == 0 else i % 50) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b long").repartition(5)
+
+    def place(value):
+        return (0, 0) if value is None else (2, 0) if value != value else (1, value)
+
+    want = [i for i, _, _ in sorted(rows, key=lambda r: (place(r[1]), place(r[2]), r[0]))]
+    found = sorted((r["pos"], r["id"]) for r in global_position(df, ["a", "b", "id"], "pos", block_rows).collect())
+    assert [i for _, i in found] == want and [p for p, _ in found] == list(range(400))
+
+
+def test_wide_and_narrow_columns_have_codes_of_one_kind(spark):
+    """The limit is per column; long texts with a common beginning are told apart."""
+    from riskloom.operators.features import label_codes
+
+    texts = ["", "é", "z", "prefix-prefix-1", "prefix-prefix-12", "prefix-prefix-2", "ab", "abc"]
+    df = spark.createDataFrame([(t, str(i % 2)) for i, t in enumerate(texts)], "wide string, narrow string")
+    codes = label_codes(df, ["wide", "narrow"], 3, 2)
+    assert {r["wide"]: r["wide_code"] for r in codes["wide"].collect()} == {t: i for i, t in enumerate(sorted(texts))}
+    assert {r["narrow"]: r["narrow_code"] for r in codes["narrow"].collect()} == {"0": 0, "1": 1}
+
+
 def test_hot_value_has_its_own_block(hot):
     _, df = hot
     assert single_value_blocks(cut_points(df, "a", 400))
@@ -131,8 +156,9 @@ def test_label_codes_by_ranges(spark):
     from riskloom.operators.features import label_codes, label_encode
 
     df = spark.createDataFrame([(w,) for w in "pear fig apple fig kiwi".split()], "c string")
-    for limit in (1000, 2):
-        codes = label_codes(df, ["c"], limit)
+    for limit, block_rows in ((1000, 10**6), (2, 10**6), (2, 2)):
+        codes = label_codes(df, ["c"], limit, block_rows)
+        assert dict(codes["c"].dtypes) == {"c": "string", "c_code": "bigint"}
         seen = {r["c"]: r["c_code"] for r in codes["c"].collect()}
         assert seen == {"apple": 0, "fig": 1, "kiwi": 2, "pear": 3}
         other = spark.createDataFrame([("plum",), ("pear",), (None,)], "c string")

@@ -240,3 +240,26 @@ def test_feature_document_keeps_nulls(spark):
     assert '"retiros_domingo_anterior":null' in packed.first()["dynamic_features"]
     back = unpack_features(packed).first()
     assert (back["lag11"], back["caida_reciente"], back["retiros_domingo_anterior"]) == (3.75, 1, None)
+
+
+def test_nan_is_no_value(spark):
+    from riskloom.operators.metrics import monitor_error, regression_metrics
+    from riskloom.operators.scans import coerce_numeric, null_profile
+
+    nan = float("nan")
+    clean = [(float(i % 20), float(i % 20) + 1) for i in range(100)]
+    df, dirty = (spark.createDataFrame(rows, "a double, b double") for rows in (clean, [*clean, *[(nan, 1.0)] * 25, *[(1.0, nan)] * 25]))
+    same = ["feature", "bucket", "lo", "hi", "share", "n", "mean", "median"]
+    base = baseline_deciles_open(df, ["a"])
+    spoilt = spark.createDataFrame([*clean, *[(nan, 0.0)] * 50], "a double, b double")
+    assert sorted(base.select(same).collect()) == sorted(baseline_deciles_open(spoilt, ["a"]).select(same).collect())
+    assert baseline_deciles_open(spoilt, ["a"]).first()["null_pct"] == pytest.approx(1 / 3)
+    assert sorted(baseline_deciles_pct(df, ["a"]).collect()) == sorted(baseline_deciles_pct(spoilt, ["a"]).collect())
+    assert sorted(baseline_mixed(df, ["b"], ["a"]).collect()) == sorted(baseline_mixed(spoilt.where("b != 0"), ["b"], ["a"]).collect())
+    drift = psi_fraction(base, spoilt, 0.1, 0.25).first()
+    assert (drift["psi"], drift["prod_null_pct"]) == (0.0, pytest.approx(1 / 3))
+    for measure in (monitor_error, regression_metrics):
+        assert tuple(measure(dirty, "a", "b").first()) == pytest.approx(tuple(measure(df, "a", "b").first()))
+    assert null_profile(spoilt, ["a"]).first()["null_pct"] == pytest.approx(1 / 3)
+    text = spark.createDataFrame([("1",), ("NaN",), ("x",)], "a string")
+    assert [r["a"] for r in coerce_numeric(text, ["a"]).collect()] == [1.0, None, None]

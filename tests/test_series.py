@@ -1,13 +1,14 @@
-"""Blocked series give what unblocked ones give, and both what pandas gives."""
+"""Blocked series give what unblocked ones give, and both what a look back through a list gives."""
 
 import datetime
+import statistics
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators.atm_series import atm_features
+from riskloom.operators.atm_series import atm_features, atm_lags, weekend_moving_avg, withdrawal_series
 from riskloom.operators.balances import Transfer, balance_replay
 
 
@@ -24,45 +25,53 @@ def tx(spark):
     return pdf, spark.createDataFrame(pdf, "id_transaction long, id_atm long, transaction_date date, amount double")
 
 
-def expected_features(pdf: pd.DataFrame, sat=5, sun=6) -> pd.DataFrame:
-    df = pdf.sort_values(["id_atm", "transaction_date", "id_transaction"]).reset_index(drop=True)
-    when = pd.to_datetime(df.transaction_date)
-    df["dow"] = when.dt.dayofweek + 1
-    df["week"] = when.dt.to_period("W-MON")
-    by = df.groupby("id_atm")["amount"]
-    for k in (1, 5, 11):
-        df[f"lag_{k}"] = by.shift(k)
-    weekly = df[df.dow.isin([6, 7])].groupby(["id_atm", "week"])["amount"].mean().reset_index()
-    weekly["ma"] = weekly.groupby("id_atm")["amount"].transform(lambda x: x.rolling(7, min_periods=1).mean())
-    look = {(r.id_atm, r.week): r.ma for r in weekly.itertuples()}
-    previous = (when - pd.Timedelta(days=7)).dt.to_period("W-MON")
-    mean = by.transform("mean")
-    df["retiros_finde_anterior"] = [look.get((a, w), m) for a, w, m in zip(df.id_atm, previous, mean)]
-    for name, day in (("sat", sat), ("sun", sun)):
-        df[name] = df.amount.where(df.dow == day)
-        df[name] = df.groupby("id_atm")[name].transform(lambda x: x.shift(1).ffill())
-    five = by.transform(lambda x: x.shift(1).rolling(5, min_periods=1).mean())
-    df["ratio"] = (df[["sat", "sun"]].mean(axis=1) / five).fillna(0)
-    df["trend"] = (df.lag_1 - df.lag_11).fillna(0)
-    median = by.transform("median")
-    df["low"] = ((df.dow == 1) & (df.lag_1 < median)).astype(int)
-    return df[df.lag_11.notna()].sort_values("id_transaction").reset_index(drop=True)
+def days_until_monday(day):
+    return (7 - day.weekday()) % 7
+
+
+def expected_features(rows, fix):
+    """Per id the features by hand: one ATM at a time, looking back through a list."""
+    first, second = (6, 7) if fix else (5, 6)
+    out = {}
+    for atm in {r[1] for r in rows}:
+        mine = sorted((day, i, amount) for i, a, day, amount in rows if a == atm)
+        amounts = [amount for _, _, amount in mine]
+        weekends = {}
+        for day, _, amount in mine:
+            if day.isoweekday() >= 6:
+                weekends.setdefault(day + datetime.timedelta(days=days_until_monday(day)), []).append(amount)
+        ends = sorted(weekends)
+        moving = {}
+        for k, end in enumerate(ends):
+            recent = [statistics.fmean(weekends[e]) for e in ends[max(0, k - 6) : k + 1]]
+            moving[end] = statistics.fmean(recent)
+        for k in range(11, len(mine)):
+            day, i, _ = mine[k]
+            latest = {}
+            for earlier, _, amount in mine[:k]:
+                latest[earlier.isoweekday()] = amount
+            a_week_ago = day - datetime.timedelta(days=7)
+            seen = [latest[d] for d in (first, second) if d in latest]
+            out[i] = {
+                "lag_1": amounts[k - 1], "lag_5": amounts[k - 5], "lag_11": amounts[k - 11], "tendencia_lags": amounts[k - 1] - amounts[k - 11],
+                "retiros_finde_anterior": moving.get(a_week_ago + datetime.timedelta(days=days_until_monday(a_week_ago)), statistics.fmean(amounts)),
+                "retiros_sabado_anterior": latest.get(first), "retiros_domingo_anterior": latest.get(second),
+                "ratio_finde_vs_semana": statistics.fmean(seen) / statistics.fmean(amounts[k - 5 : k]) if seen else 0.0,
+                "domingo_bajo": int(fix and day.isoweekday() == 1 and amounts[k - 1] < statistics.median(amounts)),
+            }
+    return out
 
 
 @pytest.mark.parametrize("series_rows,block", [(10**6, None), (50, 64), (50, 12)])
 @pytest.mark.parametrize("fix", [False, True])
 def test_features(tx, series_rows, block, fix):
     pdf, df = tx
-    want = expected_features(pdf, *((6, 7) if fix else (5, 6)))
-    got = atm_features(df, fix, series_rows, block).toPandas().sort_values("id_transaction").reset_index(drop=True)
-    assert got.id_transaction.tolist() == want.id_transaction.tolist()
-    pairs = {
-        "lag_1": "lag_1", "lag_5": "lag_5", "lag_11": "lag_11", "retiros_finde_anterior": "retiros_finde_anterior",
-        "retiros_sabado_anterior": "sat", "retiros_domingo_anterior": "sun", "ratio_finde_vs_semana": "ratio", "tendencia_lags": "trend",
-    }
-    for ours, theirs in pairs.items():
-        np.testing.assert_allclose(got[ours].astype(float), want[theirs].astype(float), rtol=1e-9)
-    assert got.domingo_bajo.tolist() == (want.low.tolist() if fix else [0] * len(want))
+    want = expected_features(list(pdf.itertuples(index=False, name=None)), fix)
+    got = {r["id_transaction"]: r for r in atm_features(df, fix, series_rows, block).collect()}
+    assert got.keys() == want.keys()
+    for i, features in want.items():
+        for name, value in features.items():
+            assert got[i][name] == (None if value is None else pytest.approx(value, rel=1e-9)), (i, name)
 
 
 def replay(rows, opening, cap):
@@ -130,3 +139,30 @@ def test_blocks_agree_on_many_rows(spark):
     assert whole == blocks
     rows = tx.drop("transaction_type")
     assert digest(atm_features(rows, series_rows=10**9)) == digest(atm_features(rows, series_rows=12_000))
+
+
+def test_missing_keys_are_kept_in_blocks(spark):
+    """Rows without an ATM or a day come first and are the same rows with and without blocks."""
+    day = datetime.date(2024, 1, 1)
+    rows = [
+        (i, None if i % 7 == 0 else i % 2, None if i % 5 == 0 else day + datetime.timedelta(days=i // 6), None if i % 11 == 0 else float(i % 13), ("DEPOSIT", "WITHDRAWAL", None)[i % 3])
+        for i in range(240)
+    ]
+    tx = spark.createDataFrame(rows, "id_transaction long, id_atm long, transaction_date date, amount double, transaction_type string")
+    state = spark.createDataFrame([(0, 20.0), (1, None)], "id_atm long, current_balance double")
+
+    def both(made):
+        whole, blocks = (sorted(map(tuple, made(n, b).collect()), key=repr) for n, b in ((10**6, None), (20, 25)))
+        assert whole == blocks and made(20, 25).schema == made(10**6, None).schema
+        return whole
+
+    assert len(both(lambda n, b: balance_replay(tx, state, 30.0, n, b))) == 240
+    assert len(both(lambda n, b: atm_lags(withdrawal_series(tx, n, b)).rows())) == 240
+    for fix in (False, True):
+        both(lambda n, b, fix=fix: atm_features(tx, fix, n, b))
+
+
+def test_amounts_below_a_cent_count(spark):
+    rows = [(1, 1, datetime.date(2024, 1, 6), 1.004), (2, 1, datetime.date(2024, 1, 7), 1.004)]
+    tx = spark.createDataFrame(rows, "id_transaction long, id_atm long, transaction_date date, amount double")
+    assert weekend_moving_avg(tx).first()["media_finde"] == 1.004
