@@ -18,13 +18,31 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.sampling import class_counts
 from riskloom.plans.cuts import HashOrder
+from riskloom.session import cut_lineage
 
 BOX_POINTS = 2_000
 SAMPLE = 20_000
+SAMPLE_PER_BOX = 25
 MAX_BOXES = 8_192
 TASK_QUERIES = 50_000
 
 
+def even_cut(points: np.ndarray) -> tuple[int, float] | None:
+    """Axis and value whose cut between distinct values is the most even, of equal ones on the widest axis; none if all points are equal."""
+    best, found = (0, 0.0), None
+    for axis in range(points.shape[1] if len(points) else 0):
+        values, counts = np.unique(points[:, axis], return_counts=True)
+        if len(values) < 2:
+            continue
+        below = np.cumsum(counts)[:-1]
+        smaller = np.minimum(below, len(points) - below)
+        i = int(np.argmax(smaller))
+        worth = (int(smaller[i]), float(values[-1] - values[0]))
+        if worth > best:
+            best, found = worth, (axis, float(values[i + 1]))
+    return found
+
+
 def grow_boxes(sample: np.ndarray, boxes: int) -> list[tuple]:
     """Cuts of a k-d tree as (axis, value, left, right); a leaf is (-1, number)."""
     nodes: list[tuple] = []
@@ -34,14 +52,15 @@ def grow_boxes(sample: np.ndarray, boxes: int) -> list[tuple]:
         nonlocal leaves
         at = len(nodes)
         nodes.append(())
-        axis = int(np.argmax(points.max(axis=0) - points.min(axis=0))) if len(points) else 0
-        middle = float(np.median(points[:, axis])) if len(points) else 0.0
-        left = points[:, axis] < middle if len(points) else np.zeros(0, bool)
-        if parts == 1 or not left.any():
+        cut = even_cut(points) if parts > 1 else None
+        if cut is None:
             nodes[at] = (-1, leaves)
             leaves += 1
         else:
-            nodes[at] = (axis, middle, grow(points[left], parts // 2), grow(points[~left], parts - parts // 2))
+            axis, value = cut
+            left = points[:, axis] < value
+            share = min(parts - 1, max(1, round(parts * left.mean())))
+            nodes[at] = (axis, value, grow(points[left], share), grow(points[~left], parts - share))
         return at
 
     grow(sample, boxes)
@@ -94,7 +113,7 @@ def nearest(points: DataFrame, k: int, box_points: int = BOX_POINTS) -> DataFram
     spark = points.sparkSession
     n = points.count()
     boxes = min(max(1, n // box_points), MAX_BOXES)
-    sample = points.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()  # at most SAMPLE rows, for cuts only
+    sample = points.orderBy(F.xxhash64("id")).limit(max(SAMPLE, SAMPLE_PER_BOX * boxes)).select("v").collect()  # at most 204,800 rows, for cuts only
     nodes = grow_boxes(np.array([r["v"] for r in sample], dtype=float), boxes)
 
     @F.pandas_udf("long")
@@ -121,6 +140,7 @@ def nearest(points: DataFrame, k: int, box_points: int = BOX_POINTS) -> DataFram
     own = look(placed)
     if len(nodes) == 1:
         return own
+    own = cut_lineage(own)  # read three times below
     dims = len(sample[0]["v"])
     limits = placed.groupBy("box").agg(
         F.array(*[F.min(F.col("v")[i]) for i in range(dims)]).alias("lo"),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.isolation import fit_isolation_forest
-from riskloom.operators.neighbours import nearest, smote_oversample
+from riskloom.operators.neighbours import grow_boxes, locate, nearest, smote_oversample
 
 
 @pytest.mark.parametrize("box_points", [10**6, 20])
@@ -20,6 +20,27 @@ def test_nearest_is_exact(spark, box_points):
         np.testing.assert_allclose(found[i], np.sort(gaps[i])[:6], atol=1e-12)
 
 
+def flags(rng, n):
+    """Columns of noughts and ones, of few whole numbers, and one narrow range."""
+    return np.column_stack([rng.random(n) < 0.1, rng.random(n) < 0.5, rng.integers(1, 5, n), rng.integers(0, 400, n) / 1000]).astype(float)
+
+
+def test_boxes_split_columns_of_few_values():
+    points = np.unique(flags(np.random.default_rng(6), 6000), axis=0)
+    for boxes in (8, 64):
+        sizes = np.bincount(locate(grow_boxes(points, boxes), points))
+        assert len(sizes) == boxes and sizes.max() <= 4 * len(points) / boxes
+    assert grow_boxes(np.ones((50, 3)), 8) == [(-1, 0)]
+
+
+def test_nearest_is_exact_on_columns_of_few_values(spark):
+    points = np.unique(flags(np.random.default_rng(6), 500), axis=0)
+    df = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)], "id long, v array<double>, copies long")
+    gaps = np.sort(np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)), axis=1)[:, :5]
+    for r in nearest(df, 5, 30).collect():
+        np.testing.assert_allclose([c["d"] for c in r["found"]], gaps[r["id"]], atol=1e-12)
+
+
 @pytest.mark.parametrize("box_points", [10**6, 15])
 def test_smote(spark, box_points):
     rng = np.random.default_rng(4)
