@@ -202,9 +202,12 @@ def train(
 
     def cv_mape(params: dict) -> float:
         def fit(part: DataFrame):
+            last = part.agg(F.max("transaction_date")).first()[0]
+            held = part.withColumn("is_val", F.col("transaction_date") > F.date_sub(F.lit(last).cast("date"), val_days))
             _, predict = asymmetric_boosting(
-                part, MODEL_FEATURES, "retiro", int(params["n_estimators"]), params["learning_rate"], int(params["max_depth"]), seed=seed
-            )
+                held, MODEL_FEATURES, "retiro", int(params["n_estimators"]), params["learning_rate"], int(params["max_depth"]),
+                seed=seed, params=params, validation="is_val",
+            )
             return _Predictor(predict)
 
         return fold_mape(folded, MODEL_FEATURES, "retiro", params, "fold", folds, fit)

@@ -152,34 +152,31 @@ def prediction_bounds(predictions: DataFrame, value: str, margin: float) -> Data
 
 
 def fill_missing(pairs: DataFrame, scored: DataFrame) -> DataFrame:
-    """Fill null predictions from (id_atm, transaction_date, new_value); known ones stay."""
-    known = pairs.where(F.col("predicted_value").isNotNull())
-    missing = pairs.where(F.col("predicted_value").isNull()).drop("predicted_value")
-    filled = missing.join(
-        scored.select("id_atm", "transaction_date", F.col("new_value").alias("predicted_value")),
-        ["id_atm", "transaction_date"],
-        "left",
-    )
-    return known.unionByName(filled)
+    """Fill null predictions from (id_atm, transaction_date, new_value) in one join; known ones stay."""
+    new = scored.select(F.col("id_atm").alias("__atm"), F.col("transaction_date").alias("__day"), "new_value")
+    gap = F.col("predicted_value").isNull() & (F.col("id_atm") == F.col("__atm")) & (F.col("transaction_date") == F.col("__day"))
+    filled = pairs.join(new, gap, "left").withColumn("predicted_value", F.coalesce("predicted_value", "new_value"))
+    return filled.select(*pairs.columns)
 
 
 def matured_feedback(predictions: DataFrame, accounts: DataFrame, cutoff: Column) -> DataFrame:
     """The newest judged prediction of each customer, beside what the customer did.
 
-    One pre-aggregated shuffle finds the newest row; accounts are not made unique,
-    so a customer with two accounts counts twice.
+    One pre-aggregated shuffle finds the newest row, by hash as its parts are plain numbers; accounts are not
+    made unique, so a customer with two accounts counts twice.
     """
+    last = lambda c: F.max_by(c, "id_churn_prediction").alias(c)
     newest = (
         predictions.where((F.col("prediction_date") <= cutoff) & F.col("is_churn").isNotNull())
         .groupBy("id_customer")
-        .agg(F.max(F.struct("id_churn_prediction", "is_churn", "churn_probability")).alias("last"))
+        .agg(last("is_churn"), last("churn_probability"))
     )
     return (
         newest.join(accounts.where(F.col("exited").isNotNull()).select("id_customer", "exited"), "id_customer")
         .select(
             "id_customer",
-            F.col("last.is_churn").cast("int").alias("predicted"),
+            F.col("is_churn").cast("int").alias("predicted"),
             F.col("exited").cast("int").alias("actual"),
-            F.col("last.churn_probability").alias("probability"),
+            F.col("churn_probability").alias("probability"),
         )
     )

@@ -61,6 +61,26 @@ def test_batches_that_share_days(spark, tmp_path):
     assert {r["id_atm"]: r["current_balance"] for r in state.collect()} == {1: 88.0, 2: 40.0}
 
 
+def test_every_searched_parameter_counts(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from riskloom.operators.models import asymmetric_boosting
+
+    rows = [(i, float(i % 37), float(i * 7 % 11), float((i % 37) ** 2 + i * 7 % 11 + i % 3), i % 5 == 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double, held boolean")
+
+    def fit(validation=None, rounds=2, **params):
+        trees, predict = asymmetric_boosting(df, ["a", "b"], "y", rounds, 0.5, 4, params=params, validation=validation)
+        return trees, [r["prediction"] for r in predict(df).orderBy("id").collect()]
+
+    trees, plain = fit()
+    for i in (0, 99, 598):  # one model gives what the trees give one by one
+        assert plain[i] == pytest.approx(0.5 + 0.5 * sum(t.predict(Vectors.dense(rows[i][1:3])) for t in trees))
+    for more in ({"min_child_weight": 90}, {"subsample": 0.5}, {"colsample_bytree": 0.5}, {"gamma": 0.5}):
+        assert fit(**more)[1] != plain, more
+    assert fit("held")[1] != plain
+
+
 def test_every_row_is_scored(spark):
     from riskloom.operators.models import batch_score, fit_booster, fit_regressor
 
