@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.dates import decay_rate, timestamp_ntz
 from riskloom.jobs.evaluation import classifier_metrics, result_row, split_sizes
+from riskloom.jobs.records import champion_table, record_training
+from riskloom.jobs.records import champion as current_champion
 from riskloom.operators.clusters import CLUSTER_FEATURES, cluster_profile
-from riskloom.operators.distributions import drift_report
+from riskloom.operators.distributions import baseline_deciles_pct, drift_report
 from riskloom.operators.features import fraud_features, label_codes, label_encode, robust_scaler, scale
 from riskloom.operators.isolation import fit_isolation_forest
 from riskloom.operators.joins import fraud_star, high_risk, with_decay
+from riskloom.operators.metrics import dataset_profile
 from riskloom.operators.models import FRAUD_SPACE, batch_score, best_trial, fit_booster, fit_clusters, param_search
 from riskloom.operators.registry import fraud_rule
 from riskloom.operators.sampling import stratified_split, undersample
 from riskloom.operators.scans import between_dates, date_range_gate, trailing_months
 from riskloom.session import cut_lineage
+from riskloom.sources.sinks import append
 
 # The columns that deployed models were trained with.
 CATEGORIES = ["category", "gender", "job"]
@@ -121,6 +125,29 @@ def train(
     return out.withColumn("promotion_status", F.when(promoted, "PROMOTED").otherwise("REJECTED"))
 
 
+def train_and_record(tables: FraudTables, end: str, folder: str, id_audit: str, start: str | None = None, max_history_days: int = 730, **settings) -> DataFrame:
+    """A recorded training against the champion of the registry; it leaves the deciles of its features for the drift job."""
+    spark = tables.tx.sparkSession
+    held = current_champion(spark, folder)
+    rows = fraud_features(extract(tables, end, start, max_history_days=max_history_days))
+    return record_training(
+        spark, folder, id_audit,
+        lambda: train(tables, end, start, held[1] if held else None, max_history_days=max_history_days, **settings),
+        lambda: baseline_deciles_pct(rows, SCALED),
+        lambda: dataset_profile(rows, "is_fraud", "trans_date_trans_time"),
+    )
+
+
+def drift_and_record(tables: FraudTables, folder: str, start: str, end: str) -> DataFrame:
+    """Drift of a period from the champion's baseline, appended to the table of drift rows."""
+    baseline = champion_table(tables.tx.sparkSession, folder, "baselines")
+    if baseline is None:
+        raise ValueError("no model has been promoted, so there is no baseline")
+    found = cut_lineage(drift(tables, baseline, start, end).withColumns({"period_start": F.lit(start), "period_end": F.lit(end)}))
+    append(found, f"{folder}/feature_drift")
+    return found
+
+
 def drift(tables: FraudTables, baseline: DataFrame, start: str, end: str) -> DataFrame:
     return drift_report(baseline, fraud_features(raw_transactions(tables, start, end)))
 

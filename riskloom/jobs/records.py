@@ -1,14 +1,20 @@
-"""Training records: one event when a training starts, one with its result when it ends."""
+"""Training records: events of a training, its drift baseline and data, and the promotions they lead to.
+
+All tables only grow.  A training leaves its baseline and data record before its SUCCESS event and its promotion
+after it, so whoever finds a promoted model also finds what is needed to monitor it.
+"""
 
 from __future__ import annotations
 
-from datetime import datetime
+import json
+from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.registry import audit_history
-from riskloom.sources.sinks import append
+from riskloom.operators.registry import audit_history, current_champion
+from riskloom.sources.sinks import append, read_if_there
 
 EVENTS = "id_audit string, phase int, status string, at timestamp_ntz, error string, triggered_by string, result string"
 
@@ -34,3 +40,55 @@ def log_failure(spark: SparkSession, folder: str, id_audit: str, at: datetime, e
 def trainings(spark: SparkSession, folder: str) -> DataFrame:
     """Status, duration and error of every training."""
     return audit_history(spark.read.schema(EVENTS).parquet(f"{folder}/audit_events"), "id_audit")
+
+
+#: What the verdict columns of the training jobs say of a new champion.
+PROMOTED = {"promotion_status": "PROMOTED", "deployment_status": "NEW_CHAMPION"}
+
+
+def record_training(
+    spark: SparkSession,
+    folder: str,
+    id_audit: str,
+    job: Callable[[], DataFrame],
+    baseline: Callable[[], DataFrame] | None = None,
+    dataset: Callable[[], DataFrame] | None = None,
+    triggered_by: str = "manual",
+    clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None),
+) -> DataFrame:
+    """Run a training job and keep its events, baseline, data record and, if it wins, its promotion; returns its row.
+
+    An error is recorded and raised again.
+    """
+    log_start(spark, folder, id_audit, clock(), triggered_by)
+    try:
+        result = job()
+        row = result.first().asDict()
+        for table, make in (("baselines", baseline), ("datasets", dataset)):
+            if make:
+                append(make().withColumn("id_audit", F.lit(id_audit)), f"{folder}/{table}")
+    except Exception as error:
+        log_failure(spark, folder, id_audit, clock(), str(error)[:1000], triggered_by)
+        raise
+    log_result(result, folder, id_audit, clock(), triggered_by)
+    if any(row.get(column) == said for column, said in PROMOTED.items()):
+        promotion = spark.createDataFrame([(id_audit, clock())], "id_audit string, at timestamp_ntz")
+        append(promotion.coalesce(1), f"{folder}/promotions")
+    return result
+
+
+def champion(spark: SparkSession, folder: str) -> tuple[str, dict] | None:
+    """The audit id and the recorded result of the model promoted last; none before the first promotion."""
+    promotions = read_if_there(spark, f"{folder}/promotions")
+    newest = current_champion(promotions, "id_audit", "at").first() if promotions is not None else None
+    if newest is None:
+        return None
+    events = spark.read.schema(EVENTS).parquet(f"{folder}/audit_events")
+    result = events.where((F.col("id_audit") == newest["id_audit"]) & (F.col("status") == "SUCCESS")).first()["result"]
+    return newest["id_audit"], json.loads(result)
+
+
+def champion_table(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
+    """The champion's rows of `baselines` or `datasets`."""
+    held = champion(spark, folder)
+    return spark.read.parquet(f"{folder}/{table}").where(F.col("id_audit") == held[0]).drop("id_audit") if held else None

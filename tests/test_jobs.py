@@ -118,6 +118,33 @@ def test_training_records(spark, tmp_path):
     assert seen == {"a": ("SUCCESS", 300, None), "b": ("ERROR", 60, "no data"), "c": ("PENDING", None, None)}
 
 
+def test_a_recorded_training_can_be_monitored(spark, folder, tmp_path):
+    """Training leaves baseline, data record and promotion; the next one meets the champion, and drift finds its baseline."""
+    from riskloom.catalog import fraud as fraud_queries
+    from riskloom.catalog import models as m
+    from riskloom.jobs import fraud
+    from riskloom.jobs.records import champion, champion_table, record_training, trainings
+
+    root, tables = str(tmp_path), fraud_queries.tables(spark, folder)
+    assert champion(spark, root) is None
+    with pytest.raises(ValueError, match="no model"):
+        fraud.drift_and_record(tables, root, m.END, m.END)
+    settings = {"trials": 1, "space": {**m.SMALL_SPACE, "scale_pos_weight": ("float", 15, 35)}, "ratio": 2}
+    first = fraud.train_and_record(tables, m.END, root, "first", **settings).first()
+    assert first["promotion_status"] == "PROMOTED" and first["champion_f1"] is None
+    name, result = champion(spark, root)
+    assert (name, result["f1_score"]) == ("first", first["f1_score"])
+    second = fraud.train_and_record(tables, m.END, root, "second", **settings).first()
+    assert second["champion_f1"] == first["f1_score"]
+    with pytest.raises(ZeroDivisionError):
+        record_training(spark, root, "third", lambda: 1 / 0)
+    assert {r["id_audit"]: r["status"] for r in trainings(spark, root).collect()} == {"first": "SUCCESS", "second": "SUCCESS", "third": "ERROR"}
+    assert champion_table(spark, root, "datasets").first()["total_samples"] > 0
+    found = fraud.drift_and_record(tables, root, "2024-01-01", m.END)
+    assert {r["feature"] for r in found.collect()} == set(fraud.SCALED)
+    assert spark.read.parquet(f"{root}/feature_drift").count() == len(fraud.SCALED)
+
+
 def test_champion_is_scored_on_the_same_rows(spark, folder, tmp_path):
     from riskloom.catalog import models as m
     from riskloom.jobs import delinquency
