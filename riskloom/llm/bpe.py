@@ -10,7 +10,7 @@ made again, up to the point where as many as the longest token has bytes agree w
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +24,7 @@ from riskloom.llm.common import ship
 #: Pieces whose ids a task remembers, and the bytes up to which a piece is remembered.
 REMEMBERED_PIECES = 400_000
 REMEMBERED_BYTES = 64
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 500_000
 #: Bytes of text or ids that a task puts into one batch of results.
 BATCH_BYTES = 4_000_000
 
@@ -39,7 +39,7 @@ class Vocabulary:
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         #: Results of `test`, remembered up to a bound.
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; none for a byte."""
@@ -77,7 +77,7 @@ class Vocabulary:
                     result = False
         if len(self.apart) > REMEMBERED_PAIRS:
             self.apart.clear()
-        self.apart[left, right] = result
+        self.apart[left << 32 | right] = result
         return result
 
 
@@ -112,7 +112,7 @@ class Prefixes:
                     continue
                 if start:
                     before = last[start - 1]
-                    fits = known((before, token))
+                    fits = known(before << 32 | token)
                     if fits is None:
                         fits = test(before, token)
                     if not fits:
@@ -171,6 +171,11 @@ class Encoder(dict):
             self[piece] = found
         return found
 
+    def forget(self) -> None:
+        """At the end of a task: an idle worker must not hold what its tasks remembered."""
+        self.clear()
+        self.vocabulary.apart.clear()
+
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, self.pieces(text or "")))
 
@@ -183,47 +188,59 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def _mapped(batches: Iterable[pa.RecordBatch], column: str, made: str, fn) -> Iterator[pa.RecordBatch]:
-    """Replace `column` by `made` = fn(value), in batches of bounded size."""
-    for batch in batches:
-        kept = [n for n in batch.schema.names if n != column]
-        values, start, size = [], 0, 0
-        source = batch.column(column)
-        for i in range(batch.num_rows):
-            values.append(fn(source[i].as_py()))
-            size += len(values[-1])
-            if size >= BATCH_BYTES or i == batch.num_rows - 1:
-                rows = batch.slice(start, i + 1 - start)
-                yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in kept), pa.array(values, pa.binary())], names=[*kept, made])
-                values, start, size = [], i + 1, 0
+def _mapped(batches: Iterable[pa.RecordBatch], column: str, path: str, pattern: str, work: Callable[[Encoder, object], tuple], made: list[str]) -> Iterator[pa.RecordBatch]:
+    """Replace `column` by the columns `made` = work(encoder, value), in batches of bounded size."""
+    coder = encoder(path, pattern)
+    try:
+        for batch in batches:
+            kept = [n for n in batch.schema.names if n != column]
+            values, start, size = [], 0, 0
+            for i, value in enumerate(batch.column(column)):
+                values.append(work(coder, value.as_py()))
+                size += sum(map(len, values[-1]))
+                if size >= BATCH_BYTES or i == batch.num_rows - 1:
+                    rows = batch.slice(start, i + 1 - start)
+                    columns = [pa.array(list(c), pa.binary()) for c in zip(*values)]
+                    yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in kept), *columns], names=[*kept, *made])
+                    values, start, size = [], i + 1, 0
+    finally:
+        coder.forget()
+
+
+def _applied(df: DataFrame, column: str, path: str, pattern: str, work: Callable[[Encoder, object], tuple], made: list[str]) -> DataFrame:
+    ship(__name__)
+    schema = f"doc_id {dict(df.dtypes)['doc_id']}, " + ", ".join(f"{m} binary" for m in made)
+    return df.select("doc_id", column).mapInArrow(lambda batches: _mapped(batches, column, path, pattern, work, made), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and `ids`: the token ids of `text` as little-endian unsigned 32-bit integers.
 
     docs needs doc_id and text; other columns are left out.  A null text is encoded as an empty one, to no ids.
-    `path` is a rank file that every executor can open; special tokens are ordinary text.
+    `path` is a rank file that every executor can open; special tokens are ordinary text.  Repeated rows give
+    repeated rows; an empty table gives none.
     """
-    ship(__name__)
-    work = lambda batches: _mapped(batches, "text", "ids", encoder(path, pattern).encode)
-    return docs.select("doc_id", "text").mapInArrow(work, _schema(docs, "ids"))
+    return _applied(docs, "text", path, pattern, lambda coder, text: (coder.encode(text),), ["ids"])
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids and `decoded`: the bytes that the ids stand for."""
-    ship(__name__)
-    work = lambda batches: _mapped(batches, "again", "decoded", encoder(path, pattern).decode)
-    return encoded.select("doc_id", "ids", F.col("ids").alias("again")).mapInArrow(work, _schema(encoded, "ids", "decoded"))
+    """doc_id and `decoded`: the bytes that `ids` stand for; null ids are none."""
+    return _applied(encoded, "ids", path, pattern, lambda coder, ids: (coder.decode(ids or b""),), ["decoded"])
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, `ids`, and `decoded` from these ids, in one pass over the texts."""
 
+    def both(coder: Encoder, text: str | None) -> tuple[bytes, bytes]:
+        ids = coder.encode(text)
+        return ids, coder.decode(ids)
 
-def _schema(df: DataFrame, *made: str) -> str:
-    return f"doc_id {dict(df.dtypes)['doc_id']}, " + ", ".join(f"{m} binary" for m in made)
+    return _applied(docs, "text", path, pattern, both, ["ids", "decoded"])
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Number of tokens of every document, and digests of its ids and of the bytes decoded from them."""
-    both = decode(encode(docs, path, pattern), path, pattern)
-    return both.select(
+    return encode_and_decode(docs, path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -44,6 +44,12 @@ def test_one_row_per_document(spark, name):
     assert REPORTS[name](spark, frame(spark, [])).collect() == []
 
 
+def test_encoding_and_decoding_apart(spark):
+    path, pattern = corpus_pipeline.public_tokenizers.path("byte_bpe_50k.tiktoken"), corpus_pipeline.public_tokenizers.PATTERN
+    decoded = bpe.decode(bpe.encode(frame(spark), path, pattern), path, pattern).collect()
+    assert sorted((r["doc_id"] or 0, bytes(r["decoded"])) for r in decoded) == sorted((r[0] or 0, (r[1] or "").encode()) for r in ROWS)
+
+
 def test_decontamination(spark):
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark), benchmark(spark)).collect()] == [(7, 1)]
     assert decontaminate.contaminated(frame(spark, []), benchmark(spark)).collect() == []
