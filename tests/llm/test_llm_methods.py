@@ -180,6 +180,37 @@ def test_wrapper_of_a_host_without_marks(spark):
     assert {r["text"] for r in found} == {f"{w}\nText about {w} and more" for w in "apples pears plums figs dates".split()}
 
 
+WORDS = "apples pears plums figs dates limes grapes kiwis".split()
+
+
+def texts_of(spark, pages):
+    """Main texts of one host's pages, in order."""
+    rows = [(i, f"https://h.example/{i}", source) for i, source in enumerate(pages)]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["page_id"])]
+
+
+def test_pages_without_article_tags_give_the_same(spark, folder):
+    folder = folder.replace("0.001", "0.1")
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    renamed = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    tagged, plain = ({r["page_id"]: r["text"] for r in html_text.extract(p).collect()} for p in (pages, renamed))
+    assert tagged == plain
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><article>Teaser {0}</article><div class=c><h2>{0}</h2><p>Long and special text about {0}</p><p>More of {0} for all who read on</p><p>And a last word on {0} in three parts</p></div>", "{0}\nLong and special text about {0}\nMore of {0} for all who read on\nAnd a last word on {0} in three parts"),
+        ("<body><article><h2>{0}</h2><p>Text about {0}</p><div>About the author</div></article>", "{0}\nText about {0}"),
+        ("<body><div>Menu</div><div><article><p>First on {0}</p></article><article><p>Then much more on {0}</p></article></div>", "First on {0}\nThen much more on {0}"),
+        ("<body><div>Byline<p>Text about {0}</p><p>{0} again</p></div>", "Text about {0}\n{0} again"),
+    ],
+)
+def test_the_slot_decides_and_tags_do_not(spark, page, text):
+    assert texts_of(spark, [page.format(w) for w in WORDS]) == [text.format(w) for w in WORDS]
+
+
 @pytest.mark.parametrize(
     "source, text",
     [
