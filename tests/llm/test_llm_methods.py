@@ -211,6 +211,12 @@ def test_the_slot_decides_and_tags_do_not(spark, page, text):
     assert texts_of(spark, [page.format(w) for w in WORDS]) == [text.format(w) for w in WORDS]
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    page = "<body><div>Our menu</div><div class=c><h2>{0}</h2><p>Text about {0}</p></div></body>"
+    words = WORDS + ["apples"] * 30
+    assert texts_of(spark, [page.format(w) for w in words]) == [f"{w}\nText about {w}" for w in words]
+
+
 @pytest.mark.parametrize(
     "source, text",
     [
