@@ -132,3 +132,51 @@ def format_chats(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
         "conv_id", "call_id", "order_turn", "depth", "call_turn", "result_turn", "n_calls", "n_results", "status",
         (F.size("found") == 0).alias("valid"), F.array_join("found", "; ").alias("problems"), "record",
     )
+
+
+def every_message(messages: DataFrame) -> DataFrame:
+    """Every message in turn order, nothing merged: one row per call, result and message without a link.
+
+    A row is placed by (conv_id, turn, part).  System messages, messages of other roles, and what an assistant or tool
+    message holds beside its calls or result are rows of kind message and status unlinked.  Each call and result
+    of an identifier is a row of its own, with the numbers and the status of the identifier as in format_chats.
+    """
+    needed = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    parsed = needed.withColumn("json", F.when(F.col("role").isin("assistant", "tool"), F.try_parse_json("text")))
+    parsed = parsed.withColumn("calls", F.when(F.col("role") == "assistant", F.try_variant_get("json", "$.tool_calls", "array<variant>")))
+    fields = F.try_variant_get("json", "$", "map<string,variant>")
+    content = F.to_json(F.try_variant_get("json", "$.content", "variant"))
+    answers = (F.col("role") == "tool") & content.isNotNull()
+    said = F.when(F.col("calls").isNotNull(), F.map_filter(fields, lambda k, _: k != "tool_calls")).when(answers, F.map_filter(fields, lambda k, _: ~k.isin("tool_call_id", "content")))
+    reply = lambda turn: F.concat(F.lit("turn-"), turn)
+
+    def piece(kind: str, call_id: Column, record: Column) -> Column:
+        return F.struct(F.lit(0).alias("part"), F.lit(kind).alias("kind"), call_id.cast("string").alias("call_id"), record.alias("record"))
+
+    def result(call_id: Column, value: Column) -> Column:
+        return piece("result", call_id, F.to_json(F.struct(call_id.alias("id"), F.try_parse_json(value).alias("result"))))
+
+    text = F.to_json(F.struct(F.col("text").alias("text")))
+    prompt = F.struct(F.struct(F.col("text").alias("prompt")).alias("arguments"), reply(F.col("turn")).alias("id"), F.lit("reply").alias("name"))
+    own = F.when(F.col("role") == "user", piece("call", reply(F.col("turn")), F.to_json(prompt)))
+    own = own.when(F.col("role") == "tool", result(F.try_variant_get("json", "$.tool_call_id", "string"), F.coalesce(content, text)))
+    own = own.when((F.col("role") == "assistant") & F.col("calls").isNull(), result(reply(F.col("turn") - 1), text))
+    own = own.when(F.col("role").isin("user", "tool", "assistant"), None).otherwise(piece("message", F.lit(None), text))
+    beside = F.when((F.size(said) > 0) | (F.size("calls") == 0), piece("message", F.lit(None), F.to_json(said)))
+    listed = F.transform(
+        "calls", lambda c, i: F.struct((i + 1).alias("part"), F.lit("call").alias("kind"), F.try_variant_get(c, "$.id", "string").alias("call_id"), F.to_json(c).alias("record"))
+    )
+    pieces = F.concat(F.array_compact(F.array(own, beside)), F.coalesce(listed, F.array().cast("array<struct<part:int,kind:string,call_id:string,record:string>>")))
+    rows = stored(parsed.withColumn("x", F.explode(pieces)).select("conv_id", "turn", "role", "x.*"), "messages")
+
+    turn_of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("turn")))
+    number = lambda kind: F.count(F.when(F.col("kind") == kind, True))
+    linkable = rows.filter("kind <> 'message'")
+    links = linkable.groupBy(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_id")).agg(
+        turn_of("call").alias("call_turn"), turn_of("result").alias("result_turn"), number("call").alias("n_calls"), number("result").alias("n_results")
+    )
+    status = F.when(F.col("n_results") == 0, "unanswered").when(F.col("n_calls") == 0, "orphan").when(F.col("result_turn") < F.col("call_turn"), "early").otherwise("linked")
+    same = F.col("conv_id").eqNullSafe(F.col("l_conv")) & F.col("call_id").eqNullSafe(F.col("l_id"))
+    columns = ["conv_id", "turn", "part", "role", "kind", "call_id", "n_calls", "n_results", "status", "record"]
+    alone = rows.filter("kind = 'message'").withColumns({"n_calls": F.lit(0).cast("long"), "n_results": F.lit(0).cast("long"), "status": F.lit("unlinked")})
+    return linkable.join(links, same).withColumn("status", status).select(columns).unionByName(alone.select(columns))

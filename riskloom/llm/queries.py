@@ -129,3 +129,8 @@ FROM c FULL JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id"""
 @query("op7_chat_format", CHAT_SQL)
 def chat_query(spark, folder):
     return chat.format_chats(read(spark, folder, "conversations"))
+
+
+@query("op7_chat_messages")
+def chat_messages_query(spark, folder):
+    return chat.every_message(read(spark, folder, "conversations"))

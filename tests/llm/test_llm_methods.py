@@ -285,6 +285,26 @@ def test_calls_results_and_chains(spark):
     assert found["a"]["record"] == '{"arguments":{"x":1.5,"y":2},"id":"a","name":"add","result":{"a":null,"k":[1,2]}}'
 
 
+def test_every_message_is_a_row(spark, folder):
+    from json import dumps, loads
+
+    told = spark.read.parquet(f"{folder}/conversations.parquet").collect()
+    found = QUERIES["op7_chat_messages"](spark, folder).collect()
+    says = lambda r: loads(r["record"]).get("text") or (loads(r["record"]).get("arguments") or {}).get("prompt") or (loads(r["record"]).get("result") or {}).get("text")
+    key = lambda rows, text: sorted((r["conv_id"], r["turn"], r["role"], text(r) or "") for r in rows)
+    assert key(found, says) == key(told, lambda r: r["text"])
+
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 1, "user", "hello"), (1, 2, "assistant", dumps({"content": "I look", "tool_calls": [{"id": "a", "name": "f"}, {"id": "a", "name": "g"}]}))]
+    rows += [(1, 3, "tool", dumps({"tool_call_id": "a", "content": 1})), (1, 4, "tool", dumps({"tool_call_id": "a", "content": 2, "took": 5})), (1, 5, "assistant", dumps({"tool_calls": []})), (1, 6, None, "x")]
+    found = chat.every_message(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(((r["turn"], r["part"], r["kind"], r["call_id"], r["n_calls"], r["n_results"], r["status"], r["record"]) for r in found), key=lambda r: r[:3] + (r[7],)) == sorted([
+        (0, 0, "message", None, 0, 0, "unlinked", '{"text":"be kind"}'), (1, 0, "call", "turn-1", 2, 0, "unanswered", '{"arguments":{"prompt":"hi"},"id":"turn-1","name":"reply"}'),
+        (1, 0, "call", "turn-1", 2, 0, "unanswered", '{"arguments":{"prompt":"hello"},"id":"turn-1","name":"reply"}'), (2, 0, "message", None, 0, 0, "unlinked", '{"content":"I look"}'),
+        (2, 1, "call", "a", 2, 2, "linked", '{"id":"a","name":"f"}'), (2, 2, "call", "a", 2, 2, "linked", '{"id":"a","name":"g"}'), (3, 0, "result", "a", 2, 2, "linked", '{"id":"a","result":1}'),
+        (4, 0, "result", "a", 2, 2, "linked", '{"id":"a","result":2}'), (4, 0, "message", None, 0, 0, "unlinked", '{"took":5}'), (5, 0, "message", None, 0, 0, "unlinked", "{}"), (6, 0, "message", None, 0, 0, "unlinked", '{"text":"x"}'),
+    ], key=lambda r: r[:3] + (r[7],))
+
+
 # Personal data
 
 
