@@ -212,9 +212,24 @@ def test_the_slot_decides_and_tags_do_not(spark, page, text):
 
 
 def test_copies_of_a_page_are_one_page(spark):
-    page = "<body><div>Our menu</div><div class=c><h2>{0}</h2><p>Text about {0}</p></div></body>"
+    page = "<body><nav>{1}</nav><div>Our menu</div><div class=c><h2>{0}</h2><p>Text about {0}</p></div></body>"
     words = WORDS + ["apples"] * 30
-    assert texts_of(spark, [page.format(w) for w in words]) == [f"{w}\nText about {w}" for w in words]
+    assert texts_of(spark, [page.format(w, "") for w in words]) == [f"{w}\nText about {w}" for w in words]
+    assert texts_of(spark, [page.format(w, i) for i, w in enumerate(words)]) == [f"{w}\nText about {w}" for w in words]
+
+
+def test_each_layout_of_a_host_has_its_wrapper(spark):
+    blog = "<body><div class=top>Menu</div><div class=post><h2>{0}</h2><p>Text about {0}</p><div>Posted by us</div></div></body>"
+    shop = "<body><div class=wide>Goods</div><section><div class=item><h2>Buy {0}</h2><p>Price of {0}</p></div><div class=note>Free delivery</div></section></body>"
+    found = texts_of(spark, [x.format(w) for w in WORDS for x in (blog, shop)] + ["<p>gone"])
+    assert found == [x for w in WORDS for x in (f"{w}\nText about {w}", f"Buy {w}\nPrice of {w}")] + ["gone"]
+
+
+def test_template_that_the_seed_lacks(spark):
+    page = "<body><div class=c><h2>{0}</h2><p>Text about {0}</p></div></body>"
+    noted = "<body><div class=c><h2>{0}</h2><p>Text about {0}</p><blockquote>Read more here</blockquote></div></body>"
+    found = texts_of(spark, [page.format(w) for w in WORDS] + [noted.format(w + "x") for w in WORDS[:4]])
+    assert found == [f"{w}\nText about {w}" for w in [*WORDS, *(w + "x" for w in WORDS[:4])]]
 
 
 @pytest.mark.parametrize(
