@@ -2,7 +2,8 @@
 
 For every byte prefix of a piece there is one token that its encoding ends with.  It is the token t for which
 the pair (last token of the prefix without t, t) is one that the merges leave apart, and no other token that
-fits there passes that test.  The table of these last tokens is all that an encoding needs: reading it from
+fits there passes that test.  An automaton over the vocabulary names the tokens that end at a byte, the longest
+first, so that only these are tested.  The table of the last tokens is all that an encoding needs: reading it from
 the end gives the ids, appended bytes only add entries, and after an edit only entries from the edit on are
 made again, up to the point where as many as the longest token has bytes agree with the old ones.
 """
@@ -13,6 +14,7 @@ import base64
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -36,6 +38,11 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        #: Finds (token, its length) at every byte where a token ends, the longest first.
+        self.endings = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.endings.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.endings.make_automaton()
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         #: Results of `test`, remembered up to a bound.
@@ -103,22 +110,22 @@ class Prefixes:
         self.append(piece)
 
     def _extend(self, upto: int) -> None:
-        vocabulary, piece, last = self.vocabulary, self.piece, self.last
-        rank, known, test, longest = vocabulary.ranks.get, vocabulary.apart.get, vocabulary.test, vocabulary.longest
-        for end in range(len(last) + 1, upto + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = rank(piece[start:end])
-                if token is None:
+        vocabulary, last = self.vocabulary, self.last
+        known, test, filled = vocabulary.apart.get, vocabulary.test, len(last)
+        begin = max(0, filled + 1 - vocabulary.longest)  # no token that ends behind `filled` starts earlier
+        for at, (token, size) in vocabulary.endings.iter(self.piece[begin:upto].decode("latin-1")):
+            at += begin
+            if at < filled:
+                continue
+            if at >= size:
+                before = last[at - size]
+                fits = known(before << 32 | token)
+                if fits is None:
+                    fits = test(before, token)
+                if not fits:
                     continue
-                if start:
-                    before = last[start - 1]
-                    fits = known(before << 32 | token)
-                    if fits is None:
-                        fits = test(before, token)
-                    if not fits:
-                        continue
-                last.append(token)
-                break
+            last.append(token)
+            filled += 1
 
     def append(self, more: bytes) -> None:
         self.piece += more
