@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, decontaminate, html_text, pii, quality, sharding, simhash, suffix_tree, warc
+from riskloom.llm import bpe, chat, clustering, decontaminate, html_text, pii, quality, resampling, sharding, simhash, suffix_tree, token_counts, warc
 from riskloom.llm.common import read
 
 QUERIES = {}
@@ -134,3 +134,77 @@ def chat_query(spark, folder):
 @query("op7_chat_messages")
 def chat_messages_query(spark, folder):
     return chat.every_message(read(spark, folder, "conversations"))
+
+
+@query("op11_token_counts")
+def token_counts_query(spark, folder):
+    return token_counts.count_tokens(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _clustering_sql() -> str:
+    """Rounds as a chain of common table expressions; a floor division that goes down for sums below zero."""
+    k, rounds = clustering.CLUSTERS, clustering.ROUNDS
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({clustering.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings WHERE len(embedding) = {clustering.SIZE} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS cluster, e AS c
+            FROM (SELECT sha256('{clustering.SEED}:' || vec_id) AS h, e FROM v ORDER BY h, e LIMIT {k}) x)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT rid, min(struct_pack(distance := d, cluster := cluster)) AS near FROM
+                (SELECT rid, cluster, CAST(list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{i}) x GROUP BY rid)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""m{i} AS MATERIALIZED (SELECT cluster, list(mean ORDER BY pos) AS c FROM (SELECT cluster, pos, (s - ((s % n) + n) % n) // n AS mean FROM
+                    (SELECT near.cluster AS cluster, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM
+                        (SELECT near, unnest(e) AS x, unnest(range(1, {clustering.SIZE + 1})) AS pos FROM a{i} JOIN v USING (rid)) u GROUP BY ALL) t) t GROUP BY cluster)"""
+            )
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (cluster))")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, near.cluster AS cluster, near.distance AS distance, CAST(sum(near.distance) OVER (PARTITION BY near.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(near.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} f ON f.cluster = near.cluster"""
+
+
+@query("op12_centroid_clusters", _clustering_sql())
+def clustering_query(spark, folder):
+    return clustering.cluster(read(spark, folder, "embeddings"))
+
+
+def _resampling_sql() -> str:
+    """CRC-32 byte by byte over distinct n-grams."""
+    r, words = resampling, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    table = ", ".join(f"list_reduce([{i}] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor({r.POLYNOMIAL}, c >> 1) ELSE c >> 1 END)" for i in range(256))
+    grams = " || ".join(f"list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))" for n in range(1, r.LONGEST + 1))
+    crc = "xor(4294967295, list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, crc_table[CAST((xor(c, b) & 255) + 1 AS INT)])))"
+
+    def features(table: str, key: str) -> str:
+        lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"SELECT *, {grams} AS grams FROM (SELECT row_number() OVER () AS rid, {key}, regexp_extract_all({lowered}, '{words}') AS ws FROM {table}) x"
+
+    return f"""
+    WITH bytes_table AS MATERIALIZED (SELECT [{table}] AS crc_table),
+    d AS MATERIALIZED ({features("documents", "doc_id")}),
+    b AS ({features("benchmark", "item_id")}),
+    df AS MATERIALIZED (SELECT rid, gram, count(*) AS n FROM (SELECT rid, unnest(grams) AS gram FROM d) x GROUP BY ALL),
+    bf AS MATERIALIZED (SELECT gram, count(*) AS n FROM (SELECT unnest(grams) AS gram FROM b) x GROUP BY ALL),
+    hashed AS MATERIALIZED (SELECT gram, {crc} % {r.BUCKETS} AS bucket FROM
+        (SELECT gram, list_transform(range(1, CAST(len(h) / 2 AS BIGINT) + 1), lambda i: CAST('0x' || h[2 * i - 1:2 * i] AS BIGINT)) AS bytes FROM
+            (SELECT gram, hex(encode(gram)) AS h FROM (SELECT gram FROM df UNION SELECT gram FROM bf) x) x) x, bytes_table),
+    s AS (SELECT bucket, sum(n) AS s FROM df JOIN hashed USING (gram) GROUP BY ALL),
+    t AS (SELECT bucket, sum(n) AS t FROM bf JOIN hashed USING (gram) GROUP BY ALL),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s)::DOUBLE + {r.BUCKETS})) / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0)::DOUBLE + {r.BUCKETS})))) AS BIGINT) AS g
+             FROM s LEFT JOIN t USING (bucket)),
+    w AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * g) AS BIGINT) AS total FROM df JOIN hashed USING (gram) JOIN gain USING (bucket) GROUP BY rid),
+    scored AS (SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features, CAST(coalesce((total - ((total % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+                      CAST('0x' || sha256('{r.SEED}:' || doc_id)[1:8] AS BIGINT) AS h FROM d LEFT JOIN w USING (rid)),
+    placed AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {r.MIN_WORDS} ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_words >= {r.MIN_WORDS}) OVER () AS eligible FROM placed)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= {r.MIN_WORDS} AND place <= eligible * {r.PERCENT} // 100 THEN place END AS rank FROM ranked"""
+
+
+@query("op13_importance_resampling", _resampling_sql())
+def resampling_query(spark, folder):
+    return resampling.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))

@@ -2,7 +2,7 @@
 
 import duckdb
 
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def twins(spark, name, folder):
