@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskloom.catalog.base import bins_sql, counts_sql, frames, query, rounded, values_sql
 from riskloom.functions.dates import completed_years, completed_years_strict, decay_rate, decay_weight, timestamp_ntz
 from riskloom.functions.geo import haversine_km
+from riskloom.functions.rows import literal_rows
 from riskloom.jobs import fraud
+from riskloom.jobs.records import champion, record_training, trainings
 from riskloom.operators.distributions import (
     baseline_deciles_pct,
     drift_report,
@@ -16,7 +20,11 @@ from riskloom.operators.distributions import (
 )
 from riskloom.operators.features import fraud_features, label_codes, label_encode, robust_scaler, scale
 from riskloom.operators.joins import high_risk
+from riskloom.operators.metrics import confusion, dataset_profile
+from riskloom.operators.registry import fraud_rule
 from riskloom.operators.scans import latest
+from riskloom.session import shared_folder
+from riskloom.sources.commits import committed
 
 START, END, LAM = "2024-01-05", "2024-01-25", decay_rate(180)
 NUMERIC = ["amt", "city_pop", "age", "distance_km", "hour"]
@@ -226,3 +234,82 @@ def robust_scale_query(spark, folder):
     columns = ["amt", "city_pop", "age", "hour"]
     fitted = robust_scaler(base, columns)
     return rounded(scale(base.unionByName(current).select("id_transaction", *columns), fitted))
+
+
+RECORDED = {"first": (SPLIT_AT, 100.0), "second": ("2024-01-25", 90.0)}
+RECORDED_FEATURES = ["amt", "merch_lat", "merch_long"]
+
+
+def threshold_training(rows, limit, champion):
+    """Metrics of the rule "amounts from `limit` on are fraud", judged as a trained model is."""
+    found = confusion(rows, F.col("is_fraud"), (F.col("amt") >= limit).cast("int"))
+    theirs = champion or {"f1_score": None, "recall": None}
+    best = {n: F.lit(theirs[n]).cast("double") for n in ("f1_score", "recall")}
+    won = fraud_rule(F.col("f1_score"), F.col("recall"), best["f1_score"], best["recall"])
+    return found.withColumn("promotion_status", F.when(won, "PROMOTED").otherwise("REJECTED"))
+
+
+def recorded_folder(spark):
+    return f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+
+
+def record_threshold(spark, rows, folder, name, limit):
+    held = champion(spark, folder)
+    return record_training(
+        spark, folder, name,
+        lambda: threshold_training(rows, limit, held[1] if held else None),
+        lambda: baseline_deciles_pct(rows, RECORDED_FEATURES),
+        lambda: dataset_profile(rows, "is_fraud", "trans_date_time"),
+    )
+
+
+def _recorded_sql() -> str:
+    parts = []
+    for name, (until, limit) in RECORDED.items():
+        parts.append(
+            f"""SELECT * FROM (WITH part AS (SELECT * FROM fraud_tx WHERE trans_date_time < TIMESTAMP '{until}'), {bins_sql("part", RECORDED_FEATURES)},
+                counted AS ({counts_sql(values_sql("part", RECORDED_FEATURES), closed=True)}),
+                cells AS (SELECT count(*) FILTER (amt >= {limit} AND is_fraud = 1) AS tp, count(*) FILTER (amt >= {limit}) AS said, count(*) FILTER (is_fraud = 1) AS pos,
+                                 count(*) AS total, CAST(min(trans_date_time) AS DATE) AS start_date, CAST(max(trans_date_time) AS DATE) AS end_date FROM part)
+                SELECT '{name}' AS id_audit, feature, CAST(bucket AS INT) AS bucket, round(lo, 6) AS lo, round(hi, 6) AS hi,
+                       round(n * 100.0 / sum(n) OVER (PARTITION BY feature), 6) AS share, total AS total_samples, pos AS positives, start_date, end_date,
+                       CASE WHEN tp = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * tp / (said + pos) END AS f1, CASE WHEN pos = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / pos END AS rec
+                FROM counted, cells) {name}"""
+        )
+    best = "(SELECT max({m}) FROM every WHERE id_audit = 'first')"
+    won = "(rec >= {r} AND f1 >= {f}) OR (rec - {r} >= CAST(-0.01 AS DOUBLE) AND f1 - {f} > CAST(0.005 AS DOUBLE))".format(r=best.format(m="rec"), f=best.format(m="f1"))
+    return f"""WITH every AS ({" UNION ALL ".join(parts)})
+        SELECT id_audit, feature, bucket, lo, hi, share, total_samples, positives, start_date, end_date, 'SUCCESS' AS status, id_audit = 'first' OR ({won}) AS promoted FROM every"""
+
+
+@query("committed_training", _recorded_sql())
+def committed_query(spark, folder):
+    """Two recorded trainings, the second one repeated; what readers see of all tables, side by side."""
+    (tx,) = frames(spark, folder, "fraud_tx")
+    root = recorded_folder(spark)
+    for name in (*RECORDED, "second"):
+        until, limit = RECORDED[name]
+        record_threshold(spark, tx.where(F.col("trans_date_time") < timestamp_ntz(until)), root, name, limit)
+    baselines, datasets = committed(spark, root, "baselines"), committed(spark, root, "datasets")
+    promoted = committed(spark, root, "promotions").select("id_audit", F.lit(True).alias("promoted"))
+    return (
+        baselines.select("id_audit", "feature", "bucket", "lo", "hi", "share")
+        .join(datasets.select("id_audit", "total_samples", "positives", "start_date", "end_date"), "id_audit")
+        .join(trainings(spark, root).select("id_audit", "status"), "id_audit")
+        .join(promoted, "id_audit", "left")
+        .withColumn("promoted", F.coalesce("promoted", F.lit(False)))
+    )
+
+
+@query(
+    "fraud_drift_job",
+    f"""WITH {PSI_PCT} SELECT feature, psi, CASE WHEN psi < 0.10 THEN 'LOW' WHEN psi < 0.25 THEN 'MODERATE' ELSE 'HIGH' END AS band,
+        psi >= 0.25 AS critical, '{SPLIT_AT}' AS period_start, '2100-01-01' AS period_end FROM psi""",
+)
+def drift_job_query(spark, folder):
+    """A training leaves its baseline in the registry; the drift job finds it there and appends its rows."""
+    t, root = tables(spark, folder), recorded_folder(spark)
+    base = t.tx.where(F.col("trans_date_time") < timestamp_ntz(SPLIT_AT))
+    result = literal_rows(spark, [(0.5, 0.5, "PROMOTED")], "f1_score double, recall double, promotion_status string")
+    record_training(spark, root, "base", lambda: result, lambda: baseline_deciles_pct(fraud_features(t.star(base)), NUMERIC))
+    return rounded(fraud.drift_and_record(t, root, SPLIT_AT, "2100-01-01"), 4)

@@ -163,6 +163,13 @@ def clusters_query(spark, folder):
     return assigned.select("id_transaction", "cluster_id")
 
 
+@query("fraud_clusters_job")
+def clusters_job_query(spark, folder):
+    """Profiles of the clusters of high-risk transactions."""
+    (predictions,) = frames(spark, folder, "fraud_predictions")
+    return fraud.clusters(predictions, fraud_queries.tables(spark, folder), k=4)
+
+
 @query("fraud_training_set")
 def training_set_query(spark, folder):
     extracted = fraud.extract(fraud_queries.tables(spark, folder), END)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.bands import mape_verdict, must_retrain
 from riskloom.jobs.evaluation import result_row, split_sizes
+from riskloom.jobs.records import champion, record_training
 from riskloom.operators.atm_series import atm_features
 from riskloom.operators.balances import RELOAD, balance_replay
-from riskloom.operators.distributions import drift_decision, psi_fraction
+from riskloom.operators.distributions import baseline_deciles_open, drift_decision, psi_fraction
 from riskloom.operators.features import pack_features, unpack_features
 from riskloom.operators.joins import actual_vs_prediction, fill_missing, prediction_bounds, scoring_inputs
 from riskloom.operators.metrics import monitor_error, regression_metrics, residual_interval
@@ -21,6 +23,7 @@ from riskloom.operators.models import (
     asymmetric_boosting,
     batch_score,
     best_trial,
+    feature_importance,
     fit_regressor,
     fold_mape,
     load_and_score,
@@ -235,6 +238,9 @@ def train(
             "sigma": interval["sigma"],
             "margin_error": interval["margin_error"],
             "t_crit": interval["t_crit"],
+            "lower_bound": interval["lower_bound"],
+            "upper_bound": interval["upper_bound"],
+            "feature_importance": json.dumps({r["feature"]: round(r["porcentaje"], 4) for r in feature_importance(model, MODEL_FEATURES, test).collect()}),
             "train_samples": sizes["train"] + sizes.get("val", 0),
             "test_samples": sizes["test"],
             "total_samples": sum(sizes.values()),
@@ -252,6 +258,36 @@ def train(
     )
 
 
+#: Columns of the modelling table under the names that monitors know them by.
+MONITORED_AS = {"lag1": "lag_1", "lag5": "lag_5", "lag11": "lag_11"}
+
+
+def train_and_record(rows: DataFrame, folder: str, id_audit: str, baseline_days: int = 60, **settings) -> DataFrame:
+    """A recorded training against the champion of the registry, whose stored model is scored on the same rows.
+
+    It leaves the deciles of the monitored features over the last days, which drift is measured from, and what it was trained on.
+    """
+    spark = rows.sparkSession
+    held = champion(spark, folder)
+    monitored = rows.select("transaction_date", *(F.col(MONITORED_AS.get(f, f)).alias(f) for f in MONITORED))
+
+    def dataset() -> DataFrame:
+        return rows.agg(
+            F.min("transaction_date").alias("start_date"),
+            F.max("transaction_date").alias("end_date"),
+            F.count(F.lit(1)).alias("count_total"),
+            F.lit(",".join(MODEL_FEATURES)).alias("features"),
+            F.lit("retiro").alias("target"),
+        )
+
+    return record_training(
+        spark, folder, id_audit,
+        lambda: train(rows, f"{folder}/models/{held[0]}" if held else None, save_to=f"{folder}/models/{id_audit}", **settings),
+        lambda: baseline_deciles_open(trailing_days(monitored, "transaction_date", baseline_days), MONITORED),
+        dataset,
+    )
+
+
 class _Predictor:
     """Gives a prediction function the transform() of a fitted model."""
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.dates import days_before
 from riskloom.jobs.evaluation import classifier_metrics, result_row, split_sizes
+from riskloom.jobs.records import champion as current_champion
+from riskloom.jobs.records import record_training
 from riskloom.operators.features import CHURN_FEATURES, GEOGRAPHIES, churn_features, scale, standard_scaler
 from riskloom.operators.joins import matured_feedback
-from riskloom.operators.metrics import feedback_monitor
+from riskloom.operators.metrics import dataset_profile, feedback_monitor
 from riskloom.operators.models import CHURN_SPACE, batch_score, best_trial, fit_booster, param_search
 from riskloom.operators.neighbours import smote_oversample
 from riskloom.operators.registry import churn_rule, churn_score_gain
@@ -68,6 +70,16 @@ def train(
     )
 
 
+def train_and_record(extract: DataFrame, folder: str, id_audit: str, **settings) -> DataFrame:
+    """A recorded training against the metrics of the registry's champion, with the balance of its rows."""
+    spark = extract.sparkSession
+    held = current_champion(spark, folder)
+    theirs = {"auc": held[1]["auc_roc"], "f1": held[1]["f1_score"], "recall": held[1]["recall"]} if held else None
+    return record_training(
+        spark, folder, id_audit, lambda: train(extract, theirs, **settings), dataset=lambda: dataset_profile(extract, "Exited", None)
+    )
+
+
 def monitor(
     predictions: DataFrame,
     accounts: DataFrame,

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.jobs.evaluation import classifier_metrics, result_row, separation, split_sizes
+from riskloom.jobs.records import champion, record_training
+from riskloom.operators.distributions import baseline_mixed
+from riskloom.operators.metrics import dataset_profile
 from riskloom.operators.models import (
     DELINQUENCY_LEAF_SPACE,
     DELINQUENCY_SPACE,
@@ -22,6 +25,7 @@ from riskloom.operators.models import (
 )
 from riskloom.operators.registry import delinquency_rule
 from riskloom.operators.sampling import class_counts, stratified_split
+from riskloom.operators.scans import column_catalog, dataset_start, latest
 
 
 VOTERS = ("booster_a", "booster_b", "forest")
@@ -100,3 +104,30 @@ def train(
     split.unpersist()
     promoted = delinquency_rule(F.col("auc_roc"), F.col("champion_auc"))
     return out.withColumn("deployment_status", F.when(promoted, "NEW_CHAMPION").otherwise("KEEP_CHAMPION"))
+
+
+def train_and_record(
+    rows: DataFrame, features: Sequence[str], label: str, weight: str, id_col: str, period: str, folder: str, id_audit: str,
+    categorical: Sequence[str], **settings,
+) -> DataFrame:
+    """A recorded training; the champion's stored models are scored on the same rows.
+
+    It leaves shares of the categorical and bins of the other features, the profile of its columns, and the data record
+    with the earliest period of the last three years.
+    """
+    spark = rows.sparkSession
+    held = champion(spark, folder)
+    used = rows.select(*features, label, weight)
+    continuous = [f for f in features if f not in categorical]
+
+    def dataset() -> DataFrame:
+        start = dataset_start(rows, period, latest(rows, period)).scalar()
+        return dataset_profile(rows, label, period).withColumn("dataset_start", start)
+
+    return record_training(
+        spark, folder, id_audit,
+        lambda: train(rows, features, label, weight, id_col, f"{folder}/models/{held[0]}" if held else None, save_to=f"{folder}/models/{id_audit}", **settings),
+        lambda: baseline_mixed(rows, categorical, continuous),
+        dataset,
+        {"columns": lambda: column_catalog(used, label, weight)},
+    )

@@ -17,11 +17,13 @@ from riskloom.functions.student import t_quantile
 from riskloom.plans.ordered import BLOCK_ROWS, cut_points, running_total
 
 
-def dataset_profile(df: DataFrame, label: str, date_col: str) -> DataFrame:
+def dataset_profile(df: DataFrame, label: str, date_col: str | None) -> DataFrame:
+    """Rows, period and class balance of a training set; the period is null where rows have no date."""
+    day = F.col(date_col) if date_col else F.lit(None)
     return df.agg(
         F.count(F.lit(1)).alias("total_samples"),
-        F.min(date_col).cast("date").alias("start_date"),
-        F.max(date_col).cast("date").alias("end_date"),
+        F.min(day).cast("date").alias("start_date"),
+        F.max(day).cast("date").alias("end_date"),
         F.count_if(F.col(label) == 1).alias("positives"),
         F.count_if(F.col(label) == 0).alias("negatives"),
         F.avg(F.col(label).cast("int")).alias("positive_ratio"),

@@ -171,3 +171,36 @@ def test_churn_monitor_records_real_verdicts_only(spark, folder, tmp_path):
     churn.monitor(predictions, accounts, timestamp_ntz("2024-01-26"), folder=str(tmp_path))
     rows = spark.read.parquet(f"{tmp_path}/churn_training_history").collect()
     assert [r["status"] for r in rows] in (["healthy"], ["degraded"])
+
+
+def test_every_domain_records_its_trainings(spark, folder, tmp_path):
+    """Champions are found in the registry, their models are scored, and baselines and data records are kept."""
+    from riskloom.catalog import churn as churn_queries
+    from riskloom.catalog import models as m
+    from riskloom.jobs import churn, delinquency
+    from riskloom.jobs.records import champion, champion_table
+    from riskloom.sources.commits import committed
+
+    roots = {n: f"{tmp_path}/{n}" for n in ("atm", "churn", "delinquency")}
+    space = {**m.SMALL_SPACE, "n_estimators": ("int", 2, 3)}
+    for name in ("one", "two"):
+        found = atm.train_and_record(m.atm_rows(spark, folder), roots["atm"], name, trials=1, space=space, folds=2).first()
+    assert found["champion_mape"] == pytest.approx(found["mape"]) and found["deployment_status"] == "KEEP_CHAMPION"
+    assert sum(__import__("json").loads(found["feature_importance"]).values()) == pytest.approx(100, abs=0.1)
+    assert found["lower_bound"] < found["upper_bound"]
+    assert {r["feature"] for r in champion_table(spark, roots["atm"], "baselines").collect()} == set(atm.MONITORED)
+    for name in ("one", "two"):
+        found = churn.train_and_record(churn_queries.extract(spark, folder), roots["churn"], name, trials=1, space=m.SMALL_SPACE, vocabulary=churn_queries.VOCABULARY).first()
+    assert found["champion_f1"] == found["f1_score"] and found["promotion_status"] == "REJECTED"
+    assert champion_table(spark, roots["churn"], "datasets").first()["start_date"] is None
+    rows = m.delinquency_rows(spark, folder)
+    for name in ("one", "two"):
+        found = delinquency.train_and_record(
+            rows, m.DELINQUENCY_FEATURES, m.LABEL, "sample_weight", "id_row", "monthly_period", roots["delinquency"], name, ["pay_0", "pay_2", "pay_3"],
+            trials=2, spaces=(m.SMALL_SPACE, m.SMALL_LEAF_SPACE), forest_trees=3,
+        ).first()
+    assert found["champion_auc"] == pytest.approx(found["auc_roc"], abs=1e-4)
+    assert champion(spark, roots["delinquency"])[0] == "one"
+    assert {r["type"] for r in champion_table(spark, roots["delinquency"], "baselines").collect()} == {"categorical", "continuous"}
+    assert champion_table(spark, roots["delinquency"], "columns").where("rol = 'TARGET'").count() == 1
+    assert committed(spark, roots["delinquency"], "datasets").where("dataset_start IS NOT NULL").count() == 2
