@@ -590,6 +590,31 @@ def sync_query(spark, folder):
     return atm.sync(newest, earlier, empty_status(state), 99, RELOAD).summary
 
 
+NEWEST_ROWS = "(SELECT * FROM atm_tx WHERE id_sync = (SELECT max(id_sync) FROM atm_tx))"
+
+
+@query(
+    "atm_sync_shared_days",
+    f"""SELECT id_atm, transaction_date, coalesce(CAST(sum(CASE WHEN transaction_type = 'WITHDRAWAL' THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS withdrawn,
+        coalesce(CAST(sum(CASE WHEN transaction_type = 'DEPOSIT' THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS deposited, count(*) AS movements,
+        (SELECT count(*) FROM {NEWEST_ROWS} n) AS stored_rows,
+        (SELECT max(id_transaction) FROM atm_tx WHERE id_sync < (SELECT max(id_sync) FROM atm_tx)) + (SELECT count(*) FROM {NEWEST_ROWS} n) AS last_id
+        FROM {NEWEST_ROWS} t GROUP BY 1, 2""",
+)
+def shared_days_query(spark, folder):
+    """The newest batch taken in by two syncs that share its days, the second one repeated; the stored daily totals."""
+    tx, state = frames(spark, folder, "atm_tx", "atm_state")
+    newest = latest_batch(tx, tx)
+    earlier = tx.where(F.col("id_sync") < newest.agg(F.max("id_sync")).scalar())
+    root, balances = f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}", empty_status(state)
+    for id_sync, part in ((1, 0), (2, 1), (2, 1)):
+        batch = newest.where(F.pmod("id_atm", F.lit(2)) == part).drop("id_sync", "id_weather")
+        atm.sync(batch, earlier, balances, id_sync, RELOAD, folder=root)
+    stored = spark.read.parquet(f"{root}/daily_atm_transactions").agg(F.count(F.lit(1)).alias("stored_rows"), F.max("id_transaction").alias("last_id"))
+    totals = spark.read.parquet(f"{root}/historical_daily_atm")
+    return totals.select("id_atm", "transaction_date", "withdrawn", "deposited", "movements", stored.select("stored_rows").scalar().alias("stored_rows"), stored.select("last_id").scalar().alias("last_id"))
+
+
 @query("atm_monitor_cycle")
 def cycle_query(spark, folder):
     """The monitoring cycle of the newest batch; features of earlier days are the stored ones."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.bands import mape_verdict, must_retrain
+from riskloom.functions.rows import literal_rows
 from riskloom.jobs.evaluation import result_row, split_sizes
 from riskloom.jobs.records import champion, record_training
 from riskloom.operators.atm_series import atm_features
@@ -33,7 +34,6 @@ from riskloom.operators.models import (
 from riskloom.operators.registry import atm_rule
 from riskloom.operators.sampling import allocate_ids, temporal_split, time_series_folds
 from riskloom.operators.scans import active_withdrawals, batch_lookback, drop_incomplete, latest_batch, trailing_days, weather_by_date
-from riskloom.plans.joins import join_null_safe
 from riskloom.session import cut_lineage
 from riskloom.sources.sinks import append, overwrite_partitions, publish_snapshot, read_if_there
 from riskloom.streaming.batches import daily_atm_history, entity_status_rollup, status_merge
@@ -78,28 +78,23 @@ def sync(
     """Take in one batch: weather, balances, ids, new ATM state and the batch's counts.
 
     The ids of the batch are replaced by new ones after the largest known.  With a folder, rows are appended, the daily totals of
-    the touched days are made again from all stored rows, and the state is published as a new snapshot.  A batch
-    that is stored already is not appended again, so a failed sync can be repeated.
+    the touched days are made again from the stored rows of these days, and the state is published as a new snapshot.  Of
+    the store only partitions of days in the batch are read; the largest id is kept beside it and reserved before rows
+    are written.  A batch that is stored already is not appended again, so a failed sync can be repeated.
     """
     spark = incoming.sparkSession
-    table = f"{folder}/daily_atm_transactions"
-    before = read_if_there(spark, table) if folder else None
-    if before is None or before.where(F.col("id_sync") == id_sync).isEmpty():
-        known = existing.select("id_transaction")
-        known = known if before is None else known.union(before.select("id_transaction"))
-        replayed = weather_by_date(balance_replay(incoming, state, reload), "transaction_date", seed)
-        numbered = allocate_ids(replayed, known, "id_transaction", ["id_atm", "transaction_date", "id_transaction"])
-        numbered = numbered.drop("id_transaction").withColumnRenamed("new_id", "id_transaction")
-        numbered = numbered.withColumn("id_sync", F.lit(id_sync).cast("long"))
-        if folder:
-            append(numbered, table, "transaction_date")
-        else:
-            rows = cut_lineage(numbered)
     if folder:
-        stored = spark.read.parquet(table)
+        table = f"{folder}/daily_atm_transactions"
+        days = touched_days(incoming)
+        before = read_if_there(spark, table)
+        if before is None or of_days(before, days).where(F.col("id_sync") == id_sync).isEmpty():
+            known = reserved_ids(existing, incoming, before, id_sync, f"{folder}/reserved_ids")
+            append(_numbered(incoming, state, known, id_sync, reload, seed), table, "transaction_date")
+        stored = of_days(spark.read.parquet(table), days)
         rows = stored.where(F.col("id_sync") == id_sync)
-        touched = join_null_safe(stored, rows.select("transaction_date").distinct(), ["transaction_date"], "left_semi")
-        overwrite_partitions(daily_atm_history(touched), f"{folder}/historical_daily_atm", "transaction_date")
+        overwrite_partitions(daily_atm_history(stored), f"{folder}/historical_daily_atm", "transaction_date")
+    else:
+        rows = cut_lineage(_numbered(incoming, state, existing.select("id_transaction"), id_sync, reload, seed))
     merged = status_merge(state, entity_status_rollup(rows), id_sync)
     if folder:
         publish_snapshot(merged.drop("updated"), f"{folder}/atm_current_status", id_sync)
@@ -118,6 +113,54 @@ def sync(
     return SyncResult(rows, merged, summary)
 
 
+def _numbered(incoming: DataFrame, state: DataFrame, known: DataFrame, id_sync: int, reload: float, seed: int) -> DataFrame:
+    """The batch with weather, balances and ids of its own."""
+    replayed = weather_by_date(balance_replay(incoming, state, reload), "transaction_date", seed)
+    numbered = allocate_ids(replayed, known, "id_transaction", ["id_atm", "transaction_date", "id_transaction"])
+    numbered = numbered.drop("id_transaction").withColumnRenamed("new_id", "id_transaction")
+    return numbered.withColumn("id_sync", F.lit(id_sync).cast("long"))
+
+
+#: Days of a batch up to which they are literals of a filter; a batch of more days is joined with the store.
+LITERAL_DAYS = 3_660
+
+
+def touched_days(incoming: DataFrame, limit: int = LITERAL_DAYS) -> list | DataFrame:
+    """The days of a batch: a list, or a frame where there are more than the limit."""
+    days = incoming.select("transaction_date").distinct()
+    found = days.limit(limit + 1).collect()
+    return days if len(found) > limit else [r["transaction_date"] for r in found]
+
+
+def of_days(stored: DataFrame, days: list | DataFrame) -> DataFrame:
+    """Rows of these days; either way Spark lists and reads only their partitions."""
+    if isinstance(days, list):
+        dated = [d for d in days if d is not None]
+        wanted = F.col("transaction_date").isin(dated) if dated else F.lit(False)
+        return stored.where(wanted | F.col("transaction_date").isNull() if None in days else wanted)
+    undated = stored.where(F.col("transaction_date").isNull())
+    dated = stored.join(F.broadcast(days.where(F.col("transaction_date").isNotNull())), "transaction_date", "left_semi")  # days since there are calendars: thousands
+    return dated.unionByName(undated) if not days.where(F.col("transaction_date").isNull()).isEmpty() else dated
+
+
+def reserved_ids(existing: DataFrame, incoming: DataFrame, before: DataFrame | None, id_sync: int, path: str) -> DataFrame:
+    """The largest id given so far, as a frame of one row; the ids of this batch are reserved after it.
+
+    The reservation is a small row of its own, so later syncs need not look for the largest id in the store.
+    A sync that dies afterwards leaves a gap, never an id that is given twice.
+    """
+    spark = existing.sparkSession
+    largest = existing.agg(F.max("id_transaction")).first()[0] or 0
+    kept = read_if_there(spark, path)
+    if kept is not None:
+        largest = max(largest, kept.agg(F.max("last_id")).first()[0])
+    elif before is not None:
+        largest = max(largest, before.agg(F.max("id_transaction")).first()[0] or 0)
+    row = literal_rows(spark, [(id_sync, largest + incoming.count())], "id_sync long, last_id long")
+    append(row.coalesce(1), path)
+    return literal_rows(spark, [(largest,)], "id_transaction long")
+
+
 def missing_predictions(
     pairs: DataFrame, stored: DataFrame, tx: DataFrame, atms: DataFrame, weathers: DataFrame,
     scorer: Callable[[DataFrame], DataFrame],
