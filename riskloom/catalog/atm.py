@@ -21,7 +21,7 @@ from riskloom.operators.atm_series import (
 from riskloom.operators.balances import balance_replay
 from riskloom.operators.distributions import baseline_deciles_open, drift_decision, psi_fraction
 from riskloom.operators.features import calendar_features, pack_features, unpack_features
-from riskloom.operators.joins import actual_vs_prediction, fill_missing, prediction_bounds, scoring_inputs
+from riskloom.operators.joins import actual_vs_prediction, fill_missing, prediction_bounds
 from riskloom.operators.metrics import asymmetric_loss, monitor_error, regression_metrics, residual_interval
 from riskloom.operators.sampling import allocate_ids, temporal_split, time_series_folds
 from riskloom.operators.scans import active_withdrawals, batch_lookback, drop_incomplete, latest_batch, trailing_days, weather_by_date
@@ -226,9 +226,8 @@ INPUTS = f"""{FEATURES}, {UNPACKED}, {PAIRS},
 
 @query("scoring_inputs", f"WITH {INPUTS} SELECT * FROM inputs")
 def scoring_query(spark, folder):
-    tx, atms, weathers = frames(spark, folder, "atm_tx", "atms", "weathers")
-    missing = pairs(spark, folder).where(F.col("predicted_value").isNull())
-    return scoring_inputs(unpack_features(documents(spark, folder)), tx, atms, weathers, missing)
+    tx, atms, weathers, predictions = frames(spark, folder, "atm_tx", "atms", "weathers", "withdrawal_prediction")
+    return atm.gap_inputs(tx, predictions, MODEL, atms, weathers)
 
 
 def formula_scorer(inputs):
@@ -242,10 +241,10 @@ FILLED = f"""{INPUTS}, filled AS (SELECT p.id_atm, p.id_transaction, p.transacti
 
 
 def filled(spark, folder):
-    tx, atms, weathers = frames(spark, folder, "atm_tx", "atms", "weathers")
-    known = pairs(spark, folder)
-    new = atm.missing_predictions(known, documents(spark, folder), tx, atms, weathers, formula_scorer)
-    return fill_missing(known, new)
+    tx, atms, weathers, predictions = frames(spark, folder, "atm_tx", "atms", "weathers", "withdrawal_prediction")
+    scored = formula_scorer(atm.gap_inputs(tx, predictions, MODEL, atms, weathers))
+    new = scored.select(F.col("atm").alias("id_atm"), F.col("prediction_date").alias("transaction_date"), "new_value")
+    return fill_missing(actual_vs_prediction(tx, predictions, MODEL), new)
 
 
 @query("fill_missing_predictions", f"WITH {FILLED} SELECT * FROM filled")

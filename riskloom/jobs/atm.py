@@ -13,11 +13,11 @@ from riskloom.functions.bands import mape_verdict, must_retrain
 from riskloom.functions.rows import literal_rows
 from riskloom.jobs.evaluation import result_row, split_sizes
 from riskloom.jobs.records import champion, record_training
-from riskloom.operators.atm_series import atm_features
+from riskloom.operators.atm_series import atm_features, features_around
 from riskloom.operators.balances import RELOAD, balance_replay
 from riskloom.operators.distributions import baseline_deciles_open, drift_decision, psi_fraction
 from riskloom.operators.features import pack_features, unpack_features
-from riskloom.operators.joins import actual_vs_prediction, fill_missing, prediction_bounds, scoring_inputs
+from riskloom.operators.joins import actual_vs_prediction, fill_missing, model_inputs, prediction_bounds, scoring_inputs
 from riskloom.operators.metrics import monitor_error, regression_metrics, residual_interval
 from riskloom.operators.models import (
     ATM_SPACE,
@@ -49,6 +49,10 @@ MODEL_FEATURES = [
 ]
 
 
+#: Columns of the modelling table under the names that monitors know them by.
+MONITORED_AS = {"lag1": "lag_1", "lag5": "lag_5", "lag11": "lag_11"}
+
+
 @dataclass(frozen=True)
 class DriftLimits:
     """No defaults: each deployment sets its own."""
@@ -161,6 +165,17 @@ def reserved_ids(existing: DataFrame, incoming: DataFrame, before: DataFrame | N
     return literal_rows(spark, [(largest,)], "id_transaction long")
 
 
+def gap_inputs(tx: DataFrame, predictions: DataFrame, model_id: int, atms: DataFrame, weathers: DataFrame) -> DataFrame:
+    """Model inputs of the withdrawals that lack a prediction of the model; row-order windows are computed around them only."""
+    judged = predictions.where(F.col("id_withdrawal_model") == model_id).groupBy("id_atm", F.col("prediction_date").alias("transaction_date"))
+    known = judged.agg(F.bool_and(F.col("predicted_value").isNotNull()).alias("known"))
+    withdrawals = tx.where(F.col("transaction_type") == "WITHDRAWAL").select("id_transaction", "id_atm", "transaction_date", "amount", "id_weather")
+    gap = ~F.coalesce("known", F.lit(False))
+    rows = cut_lineage(withdrawals.join(known, ["id_atm", "transaction_date"], "left").withColumn("gap", gap).drop("known"))
+    found = features_around(rows, F.col("gap")).withColumnRenamed("dia_semana", "day_of_week")
+    return model_inputs(found.withColumnsRenamed({column: name for name, column in MONITORED_AS.items()}), atms, weathers)
+
+
 def missing_predictions(
     pairs: DataFrame, stored: DataFrame, tx: DataFrame, atms: DataFrame, weathers: DataFrame,
     scorer: Callable[[DataFrame], DataFrame],
@@ -301,10 +316,6 @@ def train(
     )
 
 
-#: Columns of the modelling table under the names that monitors know them by.
-MONITORED_AS = {"lag1": "lag_1", "lag5": "lag_5", "lag11": "lag_11"}
-
-
 def train_and_record(rows: DataFrame, folder: str, id_audit: str, baseline_days: int = 60, **settings) -> DataFrame:
     """A recorded training against the champion of the registry, whose stored model is scored on the same rows.
 

@@ -16,6 +16,7 @@ from riskloom.functions.numeric import exact_sum, mean_of_present, ratio_or_zero
 from riskloom.operators.features import calendar_features
 from riskloom.plans.joins import join_null_safe
 from riskloom.plans.series import SERIES_ROWS, Series, as_series, last_before
+from riskloom.session import cut_lineage
 
 # Row lags, drop limit, and the weekday numbers the deployed models were trained with.
 LAGS = (1, 5, 11)
@@ -131,12 +132,21 @@ def atm_features(
     tx: DataFrame, iso_weekday_fix: bool = False, series_rows: int = SERIES_ROWS, block: int | None = None
 ) -> DataFrame:
     """The full feature set; rows without eleven predecessors are dropped."""
+    series = _looking_back(tx, iso_weekday_fix, series_rows, block)
+    series = low_sunday(series, tx, iso_weekday_fix)
+    series = prev_week_lookup(series, weekend_moving_avg(tx), tx)
+    return _finished(series, tx.columns)
+
+
+def _looking_back(tx: DataFrame, iso_weekday_fix: bool, series_rows: int, block: int | None) -> Series:
+    """What the rows before each row say."""
     series = atm_lags(recent_drop(withdrawal_series(tx, series_rows, block)))
     before_five = series.window.rowsBetween(-5, -1)
     series = series.with_columns({"__week_mean": F.avg("amount").over(before_five)})
-    series = prev_weekday_amount(series, iso_weekday_fix)
-    series = low_sunday(series, tx, iso_weekday_fix)
-    series = prev_week_lookup(series, weekend_moving_avg(tx), tx)
+    return prev_weekday_amount(series, iso_weekday_fix)
+
+
+def _finished(series: Series, own: list[str]) -> DataFrame:
     weekend_mean = mean_of_present(F.col("retiros_sabado_anterior"), F.col("retiros_domingo_anterior"))
     out = series.rows().withColumns(
         {
@@ -145,4 +155,73 @@ def atm_features(
         }
     )
     out = calendar_features(out.where(F.col("lag_11").isNotNull()).drop("__week_mean"), "transaction_date")
-    return out.select(*tx.columns, *(c for c in out.columns if c not in tx.columns))  # joins move their keys
+    return out.select(*own, *(c for c in out.columns if c not in own))  # joins move their keys
+
+
+def features_around(tx: DataFrame, wanted: Column, series_rows: int = SERIES_ROWS, block: int | None = None) -> DataFrame:
+    """The features of the wanted rows only, equal to those that `atm_features` gives them.
+
+    One pass counts weeks; row-order windows see only weeks that hold wanted rows, and those just before them that their
+    features look back to.
+    """
+    facts = cut_lineage(weekly_facts(tx, wanted))  # ATMs x weeks
+    near = join_null_safe(
+        tx.withColumns({"semana": week_ending_monday(F.col("transaction_date")), "__wanted": wanted}), weeks_around(facts), ["id_atm", "semana"], "left_semi"
+    )
+    series = _looking_back(near.drop("semana"), False, series_rows, block)
+    series = low_sunday(series, tx, False)
+    series = Series(series.df.where("__wanted").drop("__wanted"), series.key, series.order, series.blocked)
+    recent = W.partitionBy("id_atm").orderBy("semana").rowsBetween(1 - AVERAGED_WEEKS, 0)  # weeks only
+    moving = facts.where("weekend_rows > 0").select("id_atm", "semana", (F.col("weekend_total").cast("double") / F.col("weekend_n")).alias("mean"))
+    moving = moving.select("id_atm", F.date_add("semana", 7).alias("__semana"), F.avg("mean").over(recent).alias("retiros_finde_anterior"))
+    means = facts.groupBy("id_atm").agg((F.sum("total").cast("double") / F.sum("n")).alias("__mean"))
+    df = series.df.withColumn("__semana", week_ending_monday(F.col("transaction_date")))
+    df = join_null_safe(df.join(moving, ["id_atm", "__semana"], "left"), means, ["id_atm"]).drop("__semana")
+    df = df.withColumn("retiros_finde_anterior", F.coalesce("retiros_finde_anterior", "__mean")).drop("__mean")
+    return _finished(Series(df, series.key, series.order, series.blocked), tx.columns)
+
+
+def weekly_facts(tx: DataFrame, wanted: Column) -> DataFrame:
+    """One row per ATM and week, in one pass: what features need to know of rows outside their own series.
+
+    Rows, rows on each of the two previous days, whether a wanted row is among them, and the sums behind the weekend
+    mean of the week and the mean of the ATM.  Sums are decimals, so adding weeks up is exact.
+    """
+    weekday, amount = iso_weekday(F.col("transaction_date")), wide(F.col("amount"))
+    weekend = F.when(weekday.isin(*WEEKEND), amount)
+    per_week = tx.groupBy("id_atm", week_ending_monday(F.col("transaction_date")).alias("semana")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if((weekday == day) & F.col("amount").isNotNull()).alias(name) for name, day in PREVIOUS_DAYS.items()],
+        F.max(wanted).alias("wanted"),
+        F.sum(amount).alias("total"),
+        F.count("amount").alias("n"),
+        F.sum(weekend).alias("weekend_total"),
+        F.count(weekend).alias("weekend_n"),
+        F.count_if(weekday.isin(*WEEKEND)).alias("weekend_rows"),
+    )
+    return per_week.withColumn("week", F.coalesce(F.floor(F.unix_date("semana") / 7).cast("long"), F.lit(-(2**40))))
+
+
+def weeks_around(facts: DataFrame, depth: int = max(LAGS)) -> DataFrame:
+    """The weeks of each ATM whose rows the features of its wanted rows look at.
+
+    These are the weeks with wanted rows, and before each of them as many weeks with rows as it takes to hold `depth`
+    rows and an amount on each previous day.  Windows see weeks, not rows.
+    """
+    ordered = W.partitionBy("id_atm").orderBy("week")
+    before = range(1, depth + 1)  # every week holds a row, so `depth` weeks back are always enough
+    strictly = ordered.rowsBetween(W.unboundedPreceding, -1)
+    seen = facts.withColumns(
+        {
+            **{f"__rows_{k}": F.coalesce(F.lag("rows", k).over(ordered), F.lit(0)) for k in before},
+            **{f"__week_{k}": F.lag("week", k).over(ordered) for k in before},
+            **{f"__last_{name}": F.max(F.when(F.col(name) > 0, F.col("week"))).over(strictly) for name in PREVIOUS_DAYS},
+            "__first": F.min("week").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)),
+        }
+    )
+    held = {k: sum((F.col(f"__rows_{j}") for j in range(1, k + 1)), F.lit(0)) for k in before}
+    enough = F.coalesce(*[F.when(held[k] >= depth, F.col(f"__week_{k}")) for k in before], F.col("__first"))
+    needed = F.least(enough, *[F.coalesce(f"__last_{name}", "week") for name in PREVIOUS_DAYS])
+    later = W.partitionBy("id_atm").orderBy("week").rowsBetween(0, W.unboundedFollowing)
+    reached = F.min(F.when(F.col("wanted"), needed)).over(later)
+    return seen.withColumn("__from", reached).where(F.col("__from") <= F.col("week")).select("id_atm", "semana")

@@ -122,10 +122,13 @@ def actual_vs_prediction(tx: DataFrame, predictions: DataFrame, model_id: int) -
 def scoring_inputs(features: DataFrame, tx: DataFrame, atms: DataFrame, weathers: DataFrame, wanted: DataFrame) -> DataFrame:
     """Model inputs for the wanted transactions."""
     days = tx.select("id_transaction", "id_atm", "transaction_date", "id_weather")
+    return model_inputs(features.join(wanted.select("id_transaction"), "id_transaction", "left_semi").join(days, "id_transaction"), atms, weathers)
+
+
+def model_inputs(features: DataFrame, atms: DataFrame, weathers: DataFrame) -> DataFrame:
+    """Features of transactions beside the place of their ATM and the weather of their day."""
     return (
-        features.join(wanted.select("id_transaction"), "id_transaction", "left_semi")
-        .join(days, "id_transaction")
-        .join(atms.select("id_atm", "id_location_type"), "id_atm")
+        features.join(atms.select("id_atm", "id_location_type"), "id_atm")
         .join(weathers, "id_weather")
         .select(
             F.col("id_atm").alias("atm"),

@@ -166,3 +166,34 @@ def test_amounts_below_a_cent_count(spark):
     rows = [(1, 1, datetime.date(2024, 1, 6), 1.004), (2, 1, datetime.date(2024, 1, 7), 1.004)]
     tx = spark.createDataFrame(rows, "id_transaction long, id_atm long, transaction_date date, amount double")
     assert weekend_moving_avg(tx).first()["media_finde"] == 1.004
+
+
+@pytest.mark.parametrize("series_rows, block", [(2_000_000, None), (50, 20)])
+def test_features_around_wanted_rows_are_those_of_all_rows(spark, tx, series_rows, block):
+    """Rows after long pauses, of days without a date and of ATMs without an id; wanted are single rows and runs of them."""
+    from riskloom.operators.atm_series import features_around
+
+    pdf, _ = tx
+    rng = np.random.default_rng(8)
+    rows = [tuple(r) for r in pdf.itertuples(index=False)]
+    day = datetime.date(2023, 1, 2)
+    for i in range(120):  # an ATM with pauses of many weeks
+        day += datetime.timedelta(days=int(rng.choice([1, 2, 9, 60])))
+        rows.append((50_000 + i, 5, day, None if i % 17 == 0 else float(rng.integers(100, 9000))))
+    rows += [(60_000 + i, None, datetime.date(2024, 2, 1) + datetime.timedelta(days=i // 2), float(i)) for i in range(40)]
+    rows += [(70_000 + i, 2, None, float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "id_transaction long, id_atm long, transaction_date date, amount double")
+    wanted = (F.col("id_transaction") % 13 == 0) | F.col("id_transaction").between(20_200, 20_215) | F.col("id_transaction").between(50_060, 50_064)
+    columns = sorted(atm_features(df).columns)
+    every = {r["id_transaction"]: r for r in atm_features(df).select(*columns).collect()}
+    found = features_around(df, wanted, series_rows, block).select(*columns).collect()
+    expected = [every[r["id_transaction"]] for r in df.where(wanted).collect() if r["id_transaction"] in every]
+    assert sorted(map(repr, found)) == sorted(map(repr, expected)) and len(found) > 40
+
+
+def test_only_weeks_around_wanted_rows_are_looked_at(spark, tx):
+    from riskloom.operators.atm_series import weekly_facts, weeks_around
+
+    _, df = tx
+    near = weeks_around(weekly_facts(df, F.col("id_transaction") == 10_030)).collect()
+    assert {r["id_atm"] for r in near} == {1} and 2 <= len(near) <= 4
