@@ -28,8 +28,8 @@ PREVIOUS_DAYS_FIXED = {"retiros_sabado_anterior": 6, "retiros_domingo_anterior":
 LOW_SUNDAY_DAY, LOW_SUNDAY_DAY_FIXED = 0, 1
 
 
-def withdrawal_series(tx: DataFrame, series_rows: int = SERIES_ROWS, block: int | None = None) -> Series:
-    return as_series(tx, "id_atm", "transaction_date", "id_transaction", max(LAGS), series_rows, block)
+def withdrawal_series(tx: DataFrame, series_rows: int = SERIES_ROWS, block: int | None = None, largest: int | None = None) -> Series:
+    return as_series(tx, "id_atm", "transaction_date", "id_transaction", max(LAGS), series_rows, block, largest)
 
 
 def atm_lags(series: Series) -> Series:
@@ -138,9 +138,9 @@ def atm_features(
     return _finished(series, tx.columns)
 
 
-def _looking_back(tx: DataFrame, iso_weekday_fix: bool, series_rows: int, block: int | None) -> Series:
+def _looking_back(tx: DataFrame, iso_weekday_fix: bool, series_rows: int, block: int | None, largest: int | None = None) -> Series:
     """What the rows before each row say."""
-    series = atm_lags(recent_drop(withdrawal_series(tx, series_rows, block)))
+    series = atm_lags(recent_drop(withdrawal_series(tx, series_rows, block, largest)))
     before_five = series.window.rowsBetween(-5, -1)
     series = series.with_columns({"__week_mean": F.avg("amount").over(before_five)})
     return prev_weekday_amount(series, iso_weekday_fix)
@@ -168,7 +168,8 @@ def features_around(tx: DataFrame, wanted: Column, series_rows: int = SERIES_ROW
     near = join_null_safe(
         tx.withColumns({"semana": week_ending_monday(F.col("transaction_date")), "__wanted": wanted}), weeks_around(facts), ["id_atm", "semana"], "left_semi"
     )
-    series = _looking_back(near.drop("semana"), False, series_rows, block)
+    largest = facts.groupBy("id_atm").agg(F.sum("rows").alias("n")).agg(F.max("n")).first()[0] or 0
+    series = _looking_back(near.drop("semana"), False, series_rows, block, largest)
     series = low_sunday(series, tx, False)
     series = Series(series.df.where("__wanted").drop("__wanted"), series.key, series.order, series.blocked)
     recent = W.partitionBy("id_atm").orderBy("semana").rowsBetween(1 - AVERAGED_WEEKS, 0)  # weeks only

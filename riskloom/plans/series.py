@@ -60,9 +60,10 @@ def as_series(
     depth: int,
     series_rows: int = SERIES_ROWS,
     block: int | None = None,
+    largest: int | None = None,
 ) -> Series:
-    """`depth` is the largest row distance that will be looked back."""
-    if key_sizes(df, key)[0] <= series_rows:
+    """`depth` is the largest row distance that will be looked back; `largest`, if known, no key has more rows."""
+    if (key_sizes(df, key)[0] if largest is None else largest) <= series_rows:
         return Series(df, key, (day, tie), False)
     size = block or series_rows
     numbered = series_position(df, key, day, [tie])
