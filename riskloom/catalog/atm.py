@@ -19,6 +19,7 @@ from riskloom.operators.atm_series import (
     withdrawal_series,
 )
 from riskloom.operators.balances import balance_replay
+from riskloom.operators.day_histograms import DayStore, window_baseline, window_psi
 from riskloom.operators.distributions import baseline_deciles_open, drift_decision, psi_fraction
 from riskloom.operators.features import calendar_features, pack_features, unpack_features
 from riskloom.operators.joins import actual_vs_prediction, fill_missing, prediction_bounds
@@ -467,19 +468,36 @@ def stored_parts(spark, folder):
     return trailing_days(fields, "reference_date", 60), trailing_days(fields, "reference_date", 30)
 
 
-@query(
-    "baseline_deciles_open",
+def monitored_windows(spark, folder):
+    """The last 60 days, and the complete rows of the last 30, of a store of features by day."""
+    root = f"{shared_folder(spark)}/monitored-{uuid.uuid4().hex}"
+    atm.refresh_monitored_days(withdrawals(spark, folder), root)
+    stored = DayStore(spark, root)
+    return stored.window(60), stored.window(30, complete=True)
+
+
+OPEN_BASELINE = (
     f"""WITH {BASELINE}, stats AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) AS n, round(avg({f}), 4) AS mean, round(stddev_samp({f}), 4) AS sd, round(median({f}), 4) AS median, round(1 - count({f}) / count(*), 6) AS null_pct FROM last60" for f in atm.MONITORED)})
         SELECT s.feature, s.n, mean, sd, median, null_pct, CAST(b.bucket AS INT) AS bucket,
                CASE WHEN b.bucket > 0 THEN round(b.lo, 4) END AS lo, CASE WHEN b.bucket < b.k - 1 THEN round(b.hi, 4) END AS hi,
                round(b.share, 6) AS share, CASE WHEN b.bucket IS NULL THEN 'insufficient variance' END AS warning
-        FROM stats s LEFT JOIN baseline b ON s.feature = b.feature AND b.k >= 2""",
+        FROM stats s LEFT JOIN baseline b ON s.feature = b.feature AND b.k >= 2"""
 )
+
+
+@query("baseline_deciles_open", OPEN_BASELINE)
 def open_query(spark, folder):
     found = baseline_deciles_open(stored_parts(spark, folder)[0], atm.MONITORED)
     return rounded(rounded(found, 4, "mean", "sd", "median", "lo", "hi"), 6, "null_pct", "share")
 
 
+@query("baseline_by_days", OPEN_BASELINE)
+def days_baseline_query(spark, folder):
+    """The same from histograms of days; features are computed for the last 60 days only."""
+    found = window_baseline(monitored_windows(spark, folder)[0], atm.MONITORED)
+    return rounded(rounded(found, 4, "mean", "sd", "median", "lo", "hi"), 6, "null_pct", "share")
+
+
 PSI = f"""{BASELINE},
     now AS (SELECT b.feature, b.bucket, b.share AS base, count(v.v) AS n FROM baseline b LEFT JOIN ({values_sql("last30", atm.MONITORED)}) v
             ON v.feature = b.feature AND (v.v >= b.lo OR b.bucket = 0) AND (v.v < b.hi OR b.bucket = b.k - 1) GROUP BY ALL),
@@ -494,11 +512,22 @@ def psi_rows(spark, folder):
     return psi_fraction(baseline_deciles_open(last60, atm.MONITORED), current, LIMITS.warn, LIMITS.critical, atm.MONITORED)
 
 
-@query("psi_fraction", f"WITH {PSI} SELECT feature, round(raw, 4) AS psi, {ALERT} AS alert, prod_samples, 0.0::DOUBLE AS prod_null_pct FROM psi")
+PSI_ROWS = f"WITH {PSI} SELECT feature, round(raw, 4) AS psi, {ALERT} AS alert, prod_samples, 0.0::DOUBLE AS prod_null_pct FROM psi"
+
+
+@query("psi_fraction", PSI_ROWS)
 def psi_query(spark, folder):
     return psi_rows(spark, folder).select("feature", "psi", "alert", "prod_samples", "prod_null_pct")
 
 
+@query("psi_by_days", PSI_ROWS)
+def days_psi_query(spark, folder):
+    """The same from merged histograms of days; of the values only buckets with a decile or an edge are read."""
+    last60, last30 = monitored_windows(spark, folder)
+    found = window_psi(window_baseline(last60, atm.MONITORED), last30, LIMITS.warn, LIMITS.critical, atm.MONITORED)
+    return found.select("feature", "psi", "alert", "prod_samples", "prod_null_pct")
+
+
 DECISION = f"""{PSI},
     facts AS (SELECT count(*) AS total_features, count(*) FILTER (round(raw, 4) >= {LIMITS.critical}) AS n_critical,
         count(*) FILTER (round(raw, 4) >= {LIMITS.warn} AND round(raw, 4) < {LIMITS.critical}) AS n_warning,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from riskloom.jobs.evaluation import result_row, split_sizes
 from riskloom.jobs.records import champion, record_training
 from riskloom.operators.atm_series import atm_features, features_around
 from riskloom.operators.balances import RELOAD, balance_replay
+from riskloom.operators.day_histograms import DayStore, store_days
 from riskloom.operators.distributions import baseline_deciles_open, drift_decision, psi_fraction
 from riskloom.operators.features import pack_features, unpack_features
 from riskloom.operators.joins import actual_vs_prediction, fill_missing, model_inputs, prediction_bounds, scoring_inputs
@@ -176,6 +178,27 @@ def gap_inputs(tx: DataFrame, predictions: DataFrame, model_id: int, atms: DataF
     return model_inputs(found.withColumnsRenamed({column: name for name, column in MONITORED_AS.items()}), atms, weathers)
 
 
+def refresh_monitored_days(tx: DataFrame, folder: str, days: int = 60) -> None:
+    """Store the monitored features of the newest `days` days, by day; features are computed for rows of these days only.
+
+    Windows of drift end with the newest day that has features, which lies before that of the withdrawals where
+    all ATMs of the last days lack a history.
+    """
+    newest = tx.agg(F.max("transaction_date")).first()[0]
+    names = {MONITORED_AS.get(f, f): f for f in MONITORED}
+    while newest is not None:
+        since = newest - timedelta(days=days)
+        found = features_around(tx, F.col("transaction_date") >= F.lit(since))
+        store_days(found.select("transaction_date", *(F.col(c).alias(f) for c, f in names.items())), "transaction_date", MONITORED, folder)
+        reached = DayStore(tx.sparkSession, folder).newest
+        if reached == newest:
+            return
+        if reached is None:  # no features in these days: go back to the day before them
+            newest = tx.where(F.col("transaction_date") < F.lit(since)).agg(F.max("transaction_date")).first()[0]
+        else:
+            newest = reached
+
+
 def missing_predictions(
     pairs: DataFrame, stored: DataFrame, tx: DataFrame, atms: DataFrame, weathers: DataFrame,
     scorer: Callable[[DataFrame], DataFrame],

@@ -210,19 +210,22 @@ def weeks_around(facts: DataFrame, depth: int = max(LAGS)) -> DataFrame:
     rows and an amount on each previous day.  Windows see weeks, not rows.
     """
     ordered = W.partitionBy("id_atm").orderBy("week")
-    before = range(1, depth + 1)  # every week holds a row, so `depth` weeks back are always enough
     strictly = ordered.rowsBetween(W.unboundedPreceding, -1)
     seen = facts.withColumns(
         {
-            **{f"__rows_{k}": F.coalesce(F.lag("rows", k).over(ordered), F.lit(0)) for k in before},
-            **{f"__week_{k}": F.lag("week", k).over(ordered) for k in before},
+            # every week holds a row, so `depth` weeks back are always enough
+            "__before": F.reverse(F.collect_list(F.struct("week", "rows")).over(ordered.rowsBetween(-depth, -1))),
             **{f"__last_{name}": F.max(F.when(F.col(name) > 0, F.col("week"))).over(strictly) for name in PREVIOUS_DAYS},
-            "__first": F.min("week").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)),
         }
     )
-    held = {k: sum((F.col(f"__rows_{j}") for j in range(1, k + 1)), F.lit(0)) for k in before}
-    enough = F.coalesce(*[F.when(held[k] >= depth, F.col(f"__week_{k}")) for k in before], F.col("__first"))
-    needed = F.least(enough, *[F.coalesce(f"__last_{name}", "week") for name in PREVIOUS_DAYS])
+    nothing = F.struct(F.lit(None).cast("long").alias("week"), F.lit(0).cast("long").alias("held"))
+
+    def further(got: Column, week: Column) -> Column:
+        more = F.struct(week["week"].alias("week"), (got["held"] + week["rows"]).alias("held"))
+        return F.when(got["held"] >= depth, got).otherwise(more)
+
+    enough = F.aggregate("__before", nothing, further)["week"]
+    needed = F.least(F.coalesce(enough, F.col("week")), *[F.coalesce(f"__last_{name}", "week") for name in PREVIOUS_DAYS])
     later = W.partitionBy("id_atm").orderBy("week").rowsBetween(0, W.unboundedFollowing)
     reached = F.min(F.when(F.col("wanted"), needed)).over(later)
     return seen.withColumn("__from", reached).where(F.col("__from") <= F.col("week")).select("id_atm", "semana")

@@ -9,9 +9,9 @@ before the shuffle, and only bins x features rows travel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,7 +68,10 @@ def histogram(counts: DataFrame, bins: DataFrame) -> DataFrame:
 
 def _counted(df: DataFrame, edges: dict[str, Sequence[float]], closed: bool) -> list[tuple]:
     """(feature, bucket, lo, hi, n, total) of every bin, on the driver: bins x features rows."""
-    found = {(r["feature"], r["bucket"]): r["n"] for r in bucket_counts(df, edges, closed).collect()}
+    return _listed(edges, {(r["feature"], r["bucket"]): r["n"] for r in bucket_counts(df, edges, closed).collect()})
+
+
+def _listed(edges: dict[str, Sequence[float]], found: dict[tuple, int]) -> list[tuple]:
     out = []
     for f, e in edges.items():
         counts = [found.get((f, i), 0) for i in range(len(e) - 1)]
@@ -98,11 +101,26 @@ def baseline_deciles_open(df: DataFrame, features: Sequence[str], direct_rows: i
     """
     values = _projection(df, features)
     found = column_quantiles(values, features, DECILES, direct_rows)
+
+    def counted(edges: dict[str, Sequence[float]]) -> dict[tuple, int]:
+        return {(r["feature"], r["bucket"]): r["n"] for r in bucket_counts(values, edges, closed=False).collect()}
+
+    baseline = open_baseline(df.sparkSession, features, found, counted, _summary(values, features, found))
+    values.unpersist()
+    return baseline
+
+
+def open_baseline(
+    spark: SparkSession,
+    features: Sequence[str],
+    found: dict[str, list[float] | None],
+    count: Callable[[dict[str, Sequence[float]]], dict[tuple, int]],
+    stats: dict[str, tuple],
+) -> DataFrame:
+    """Rows of a baseline with open ends from deciles, a count of rows per (feature, bin) and summary statistics."""
     edges = {f: _distinct(q) for f, q in found.items() if q}
     usable = {f: e for f, e in edges.items() if len(e) >= 3}
-    counted = _counted(values, usable, closed=False) if usable else []
-    stats = _summary(values, features, found)
-    values.unpersist()
+    counted = _listed(usable, count(usable)) if usable else []
     rows = []
     for f in features:
         if f not in usable:
@@ -111,7 +129,7 @@ def baseline_deciles_open(df: DataFrame, features: Sequence[str], direct_rows: i
             limits = (None if i == 0 else lo, None if i == len(usable[f]) - 2 else hi)
             rows.append((f, i, *limits, n / total, *stats[f], None))
     schema = f"{BIN_SCHEMA}, share double, n long, mean double, sd double, median double, null_pct double, warning string"
-    return literal_rows(df.sparkSession, rows, schema)
+    return literal_rows(spark, rows, schema)
 
 
 def _projection(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -174,7 +192,7 @@ def edges_of(baseline: DataFrame) -> dict[str, list]:
 
 def edge_histogram(df: DataFrame, baseline: DataFrame, closed: bool = True) -> DataFrame:
     """Current values counted into the bins of a baseline."""
-    edges = {f: _usable_edges(e, closed) for f, e in edges_of(baseline).items() if f in df.columns}
+    edges = {f: usable_edges(e, closed) for f, e in edges_of(baseline).items() if f in df.columns}
     counted = histogram(bucket_counts(df, edges, closed), bin_rows(df, edges))
     return counted.select("feature", "bucket", "n", "share", "total")
 
@@ -213,21 +231,30 @@ def psi_fraction(
 
     `order` is the order of the monitored features, used for ties further on.
     """
-    spark = current.sparkSession
-    edges = edges_of(baseline)
+    edges = {f: usable_edges(e, closed=False) for f, e in edges_of(baseline).items()}
     known = order or sorted(r["feature"] for r in baseline.select("feature").distinct().collect())
-    present = {f: _usable_edges(edges[f], closed=False) for f in known if f in edges and f in current.columns}
+    present = {f: edges[f] for f in known if f in edges and f in current.columns}
+    return psi_of_counts(baseline, bucket_counts(current, present, closed=False), edges, known, set(current.columns), warn, critical, round_to)
+
+
+def psi_of_counts(
+    baseline: DataFrame,
+    counts: DataFrame,
+    edges: dict[str, Sequence[float]],
+    known: Sequence[str],
+    columns: set[str],
+    warn: float,
+    critical: float,
+    round_to: int = 4,
+) -> DataFrame:
+    """The same from rows counted per (feature, bucket); `columns` are those that production has."""
+    present = {f: edges[f] for f in known if f in edges and f in columns}
     reasons = [
-        (
-            f,
-            i,
-            "insufficient variance" if f not in edges else None if f in current.columns else "missing in production",
-        )
+        (f, i, "insufficient variance" if f not in edges else None if f in columns else "missing in production")
         for i, f in enumerate(known)
     ]
-    listed = literal_rows(spark, reasons, "feature string, position int, reason string")
-    counts = bucket_counts(current, present, closed=False)
-    now = histogram(counts, bin_rows(current, present))
+    listed = literal_rows(counts.sparkSession, reasons, "feature string, position int, reason string")
+    now = histogram(counts, bin_rows(counts, present))
     base, share = F.col("base"), F.col("share")
     term = (share - base) * F.ln((share + EPS_FRACTION) / (base + EPS_FRACTION))
     parts = now.join(
@@ -311,7 +338,7 @@ def _distinct(edges: Sequence[float]) -> list[float]:
     return sorted(set(edges))
 
 
-def _usable_edges(edges: list, closed: bool) -> list[float]:
+def usable_edges(edges: list, closed: bool) -> list[float]:
     """Open ends get a finite stand-in; only the inner limits matter there."""
     if closed:
         return list(edges)

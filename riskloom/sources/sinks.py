@@ -31,11 +31,11 @@ def _gathered(df: DataFrame, partition: str) -> DataFrame:
 
 
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table, or nothing where none has been written yet."""
+    """A table, or nothing where none has been written yet, or only a partitioned one without rows."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
