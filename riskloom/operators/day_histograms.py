@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
-from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,24 +20,9 @@ from pyspark.sql import functions as F
 from riskloom.functions.numeric import no_nan
 from riskloom.functions.rows import literal_rows
 from riskloom.operators.distributions import bucket_of, edges_of, open_baseline, psi_of_counts, usable_edges
-from riskloom.plans.quantiles import DECILES
+from riskloom.plans.quantiles import DECILES, any_of, log_bucket, quantiles_of_buckets
 from riskloom.sources.sinks import overwrite_partitions, read_if_there
 
-#: Buckets for each doubling of a value, and into how many finer ones an opened bucket is cut.
-STEPS = 32
-FINER = 4096
-#: Values nearer to zero share one bucket; larger exponents than any double has share the last one.
-SMALLEST = 2.0**-40
-MOST_DOUBLINGS = 1100.0
-
-
-def log_bucket(value: Column, steps: int = STEPS) -> Column:
-    """The number of a value's bucket; it never falls as the value grows."""
-    size = F.abs(value)
-    step = F.floor(F.least(F.log2(size / SMALLEST), F.lit(MOST_DOUBLINGS)) * steps).cast("long") + 1
-    return F.when(size < SMALLEST, F.lit(0).cast("long")).otherwise(F.signum(value).cast("long") * step)
-
-
 def store_days(features: DataFrame, day: str, names: Sequence[str], folder: str) -> None:
     """Values and bucket counts of the features of some days, each in place of what was stored of these days.
 
@@ -92,56 +76,15 @@ class DayStore:
         return DayWindow(values.drop("complete"), counts.drop("n_complete"))
 
 
-def _any_of(pairs: dict[str, Sequence[int]], bucket: Column) -> Column:
-    """Whether (feature, bucket) is one of a few; literals, so that it reaches the scan."""
-    if not pairs:
-        return F.lit(False)
-    return reduce(Column.__or__, ((F.col("feature") == f) & bucket.isin(list(b)) for f, b in pairs.items()))
-
-
-def _located(counted: DataFrame, within: list[str], wanted: list[tuple[str, int, int]], at: str) -> list[tuple]:
-    """(feature, rank, `at`, rows before it) of each wanted rank; `wanted` has (feature, rank, rows before its part of `counted`).
-
-    `counted` has feature, `within` and `at` with their counts n; parts are those buckets that the rank was located in before.
-    """
-    order = W.partitionBy("feature", *within).orderBy(at)
-    upto = counted.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    schema = "feature string, rank long, before long" + "".join(f", {c} long" for c in within)
-    ranks = literal_rows(counted.sparkSession, wanted, schema)
-    place = F.col("rank") - F.col("before")
-    held = upto.join(F.broadcast(ranks), ["feature", *within]).where((place >= F.col("upto") - F.col("n")) & (place < F.col("upto")))
-    return [tuple(r) for r in held.select("feature", "rank", at, F.col("before") + F.col("upto") - F.col("n")).collect()]  # one for each rank
-
-
 def window_quantiles(window: DayWindow, features: Sequence[str], probs: Sequence[float] = DECILES) -> dict[str, list[float] | None]:
     """Exact quantiles, linear between neighbours; None for a feature without values."""
     counted = window.buckets.where(F.col("bucket").isNotNull()).groupBy("feature", "bucket").agg(F.sum("n").alias("n")).persist()
     totals = {r["feature"]: r["n"] for r in counted.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    ranks = {f: sorted({g(p * (totals[f] - 1)) for p in probs for g in (floor, ceil)}) for f in features if totals.get(f)}
-    coarse = _located(counted, [], [(f, k, 0) for f, ks in ranks.items() for k in ks], "bucket")
+    out = quantiles_of_buckets(counted, window.values, totals, features, probs)
     counted.unpersist()
-    opened = window.values.withColumn("fine", log_bucket(F.col("value"), STEPS * FINER)).where(_any_of(_grouped(coarse), F.col("bucket")))
-    fine_counts = opened.groupBy("feature", "bucket", "fine").agg(F.count(F.lit(1)).alias("n"))
-    fine = _located(fine_counts, ["bucket"], [(f, k, before, b) for f, k, b, before in coarse], "fine")
-    exact = opened.where(_any_of(_grouped(fine), F.col("fine"))).groupBy("feature", "fine", "value").agg(F.count(F.lit(1)).alias("n"))
-    at = {(f, k): value for f, k, value, _ in _located(exact, ["fine"], [(f, k, before, b) for f, k, b, before in fine], "value")}
-    out: dict[str, list[float] | None] = {}
-    for f in features:
-        out[f] = None
-        if f in ranks:
-            places = [p * (totals[f] - 1) for p in probs]
-            pairs = [(at[f, floor(x)], at[f, ceil(x)], x) for x in places]
-            out[f] = [lo if lo == hi else (ceil(x) - x) * lo + (x - floor(x)) * hi for lo, hi, x in pairs]
     return out
 
 
-def _grouped(located: list[tuple]) -> dict[str, list[int]]:
-    out: dict[str, set[int]] = {}
-    for f, _, bucket, _ in located:
-        out.setdefault(f, set()).add(bucket)
-    return {f: sorted(b) for f, b in out.items()}
-
-
 def _by_feature(cases: dict[str, Column]) -> Column:
     result = F.lit(None).cast("int")
     for f, value in cases.items():
@@ -157,7 +100,7 @@ def window_counts(window: DayWindow, edges: dict[str, Sequence[float]]) -> DataF
     for r in listed.select("feature", log_bucket(F.col("edge")).alias("code")).collect():
         codes[r["feature"]].append(r["code"])
     wanted = F.col("feature").isin(list(edges))
-    cut = _any_of({f: sorted(set(c)) for f, c in codes.items() if c}, F.col("bucket"))
+    cut = any_of({f: sorted(set(c)) for f, c in codes.items() if c}, F.col("bucket"))
     below = {f: sum(((F.col("bucket") > code).cast("int") for code in c), F.lit(0)) for f, c in codes.items()}
     whole = window.buckets.where(wanted & (F.col("bucket").isNull() | ~cut)).select("feature", F.when(F.col("bucket").isNotNull(), _by_feature(below)).alias("bucket"), "n")
     own = _by_feature({f: bucket_of(F.col("value"), e, closed=False) for f, e in edges.items()})

@@ -172,3 +172,33 @@ def test_same_result_for_any_partitioning(hot, spark):
     one = roc_auc(df.orderBy(F.rand(3)), "label", "b").first()["auc"]
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert one == roc_auc(df, "label", "b").first()["auc"]
+
+
+def test_quantiles_of_all_columns_take_as_many_jobs_as_of_one(spark):
+    """Values of all sizes and signs, copies, NaN and empty columns; three passes, whatever the number of columns."""
+    import math
+    import random
+
+    from riskloom.plans.quantiles import DECILES, column_quantiles
+
+    rng = random.Random(2)
+    rows = [
+        (rng.choice([None, -0.0, rng.gauss(0, 1) * 10.0 ** rng.randint(-14, 15)]), rng.choice([1.0, 1.0, 1.0 + rng.random() / 1e9]), float(rng.randint(-50, 50)), math.inf if i == 7 else float(i), None, 3.0)
+        for i in range(4000)
+    ]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double").persist()
+    names, tracker = df.columns, spark.sparkContext.statusTracker()
+
+    def jobs(columns, **more):
+        spark.sparkContext.setJobGroup(f"quantiles of {columns}", "")
+        found = column_quantiles(df, columns, DECILES, **more)
+        return found, len(tracker.getJobIdsForGroup(f"quantiles of {columns}"))
+
+    df.count()
+    expected = column_quantiles(df, names, DECILES)
+    for rows_of_range in (10, 10**6):
+        every, many = jobs(names, direct_rows=10, range_rows=rows_of_range)
+        assert many <= jobs(["a"], direct_rows=10, range_rows=rows_of_range)[1] + 2
+        for n in names:
+            assert every[n] == (None if expected[n] is None else pytest.approx(expected[n], rel=1e-12, abs=0)), n
+    spark.sparkContext.setJobGroup("", "")
