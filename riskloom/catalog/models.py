@@ -34,7 +34,7 @@ from riskloom.operators.models import (
 from riskloom.operators.neighbours import smote_oversample
 from riskloom.operators.sampling import stratified_split, undersample
 from riskloom.operators.scans import latest
-from riskloom.session import shared_folder
+from riskloom.session import cut_lineage, shared_folder
 
 END = "2024-01-31"
 SMALL = {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.8}
@@ -48,8 +48,9 @@ LABEL = churn_queries.LABEL
 
 
 def encoded_fraud(spark, folder):
+    """The star join is made once, for the columns that models read."""
     t = fraud_queries.tables(spark, folder)
-    rows = fraud_features(fraud.extract(t, END))
+    rows = cut_lineage(fraud_features(fraud.extract(t, END)).select("id_transaction", *fraud.MODEL_FEATURES, "is_fraud", "sample_weight"))
     return label_encode(rows, label_codes(rows, fraud.CATEGORIES))
 
 

@@ -20,9 +20,10 @@ def class_counts(df: DataFrame, label: str) -> dict:
 def undersample(df: DataFrame, label: str, id_col: str, ratio: int = 4, seed: int = 42) -> DataFrame:
     """All positives and min(positives x ratio, negatives) random negatives.
 
-    The choice is a filter on a hash of the id: one scan, no sort, no union.
+    The choice is a filter on a hash of the id: one scan, no sort, no union.  Where `df` is a join, it is made once for labels
+    and ids alone; the filter needs only these, so Spark applies it before the join when the chosen rows are read.
     """
-    order = HashOrder(df, id_col, label, seed)
+    order = HashOrder(df, id_col, label, seed, store=True)
     positives = order.counts.get(1, 0)
     if positives == 0:
         raise ValueError("no positives in the period")

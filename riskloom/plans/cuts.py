@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
+
 BITS = 12
 FEW_ROWS = 50_000
 
@@ -21,10 +23,12 @@ FEW_ROWS = 50_000
 class HashOrder:
     """A random but repeatable order of the rows of each class."""
 
-    def __init__(self, df: DataFrame, id_col: str, label: str, seed: int = 42, few_rows: int = FEW_ROWS):
+    def __init__(self, df: DataFrame, id_col: str, label: str, seed: int = 42, few_rows: int = FEW_ROWS, store: bool = False):
+        """`store`: keep classes, hashes and ids in the shared folder, where `df` is dear to make again."""
         self.label, self.id_col, self.few_rows = label, id_col, few_rows
         self.hashed = F.xxhash64(F.col(id_col), F.lit(seed))
         self.rows = df.select(F.col(label).alias("s"), self.hashed.alias("h"), F.col(id_col).alias("id"))
+        self.rows = cut_lineage(self.rows) if store else self.rows
         slots = self.rows.groupBy("s", _slot(64 - BITS)).count().collect()  # at most classes x 4096 rows
         self.slots: dict = {}
         for r in sorted(slots, key=lambda r: r["slot"]):

@@ -204,3 +204,41 @@ def test_every_domain_records_its_trainings(spark, folder, tmp_path):
     assert {r["type"] for r in champion_table(spark, roots["delinquency"], "baselines").collect()} == {"categorical", "continuous"}
     assert champion_table(spark, roots["delinquency"], "columns").where("rol = 'TARGET'").count() == 1
     assert committed(spark, roots["delinquency"], "datasets").where("dataset_start IS NOT NULL").count() == 2
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    """`y` follows from which rows lack `a`; `b` is noise, `c` has no value at all."""
+    rows = [(i, None if i % 3 == 0 else float(i * 7919 % 1000), float(i * 31 % 17) if i % 5 else float("nan"), None, int(i % 3 == 0), 100.0 if i % 3 == 0 else 5.0) for i in range(600)]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, y int, amount double")
+
+
+def test_missing_values_are_a_branch(spark, gappy, tmp_path):
+    from riskloom.operators.models import asymmetric_boosting, batch_score, feature_importance, fit_booster, fit_forest, fit_regressor, load_and_score, save_model
+
+    names, few = ["a", "b", "c"], {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.5}
+    for model in (fit_booster(gappy, names, "y", few), fit_forest(gappy, names, "y", 5, 3)):
+        scored = batch_score(model, gappy)
+        assert scored.columns == [*gappy.columns, "score"]
+        assert all((r["score"] > 0.5) == (r["y"] == 1) for r in scored.collect())
+        shares = {r["feature"]: r["porcentaje"] for r in feature_importance(model, names, gappy).collect()}
+        assert shares["a"] > 80 and "c" not in shares
+    model = fit_regressor(gappy, names, "amount", few)
+    assert all((r["score"] > 3) == (r["y"] == 1) for r in batch_score(model, gappy).collect())
+    _, predict = asymmetric_boosting(gappy, names, "amount", 4, 0.5, 2)
+    assert all((r["prediction"] > 2.5) == (r["y"] == 1) for r in predict(gappy).collect())
+    save_model(model, str(tmp_path / "m"))
+    stored = {r["id"]: r["score"] for r in load_and_score(str(tmp_path / "m"), gappy).collect()}
+    assert stored == {r["id"]: r["score"] for r in batch_score(model, gappy).collect()}
+
+
+def test_side_of_a_split_is_learnt(spark):
+    """Missing rows behave like those with large values in one frame, like those with small values in the other."""
+    from riskloom.operators.models import batch_score, fit_booster
+
+    for like_large in (True, False):
+        rows = [(float(i % 10), int(i % 10 >= 5)) for i in range(400)] + [(None, int(like_large))] * 200
+        df = spark.createDataFrame(rows, "a double, y int")
+        stump = fit_booster(df, ["a"], "y", {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0})
+        assert all((r["score"] > 0.5) == (r["y"] == 1) for r in batch_score(stump, df).collect())
+        assert batch_score(stump, spark.createDataFrame([(None,), (2.0,)], "a double")).count() == 2

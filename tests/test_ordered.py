@@ -202,3 +202,15 @@ def test_quantiles_of_all_columns_take_as_many_jobs_as_of_one(spark):
         for n in names:
             assert every[n] == (None if expected[n] is None else pytest.approx(expected[n], rel=1e-12, abs=0)), n
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_stored_places_choose_the_same_rows(spark):
+    from riskloom.plans.cuts import HashOrder
+
+    df = spark.range(500).selectExpr("id", "int(id % 3) AS label")
+    chosen = []
+    for store in (False, True):
+        order = HashOrder(df, "id", "label", store=store)
+        (keep,) = order.first({0: 10, 1: 0, 2: 400})
+        chosen.append(sorted(r["id"] for r in df.where(keep).collect()))
+    assert chosen[0] == chosen[1] and len(chosen[0]) == 10 + 166
