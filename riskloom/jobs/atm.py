@@ -29,8 +29,8 @@ from riskloom.operators.models import (
     feature_importance,
     fit_regressor,
     fold_mape,
+    halving_search,
     load_and_score,
-    param_search,
     save_model,
 )
 from riskloom.operators.registry import atm_rule
@@ -296,7 +296,7 @@ def train(
 
         return fold_mape(folded, MODEL_FEATURES, "retiro", params, "fold", folds, fit)
 
-    _, params, best = best_trial(param_search(space or ATM_SPACE, cv_mape, trials, seed), maximise=False)
+    _, params, best = best_trial(halving_search(space or ATM_SPACE, cv_mape, trials, seed, maximise=False), maximise=False)
     marked = known.withColumn("is_val", F.col("split") == "val")
     model = fit_regressor(marked, MODEL_FEATURES, "retiro", params, "is_val", seed)
     scored = batch_score(model, test, "predicted_log").withColumn("predicted", F.expm1("predicted_log"))

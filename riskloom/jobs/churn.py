@@ -12,7 +12,7 @@ from riskloom.jobs.records import record_training
 from riskloom.operators.features import CHURN_FEATURES, GEOGRAPHIES, churn_features, scale, standard_scaler
 from riskloom.operators.joins import matured_feedback
 from riskloom.operators.metrics import dataset_profile, feedback_monitor
-from riskloom.operators.models import CHURN_SPACE, batch_score, best_trial, fit_booster, param_search
+from riskloom.operators.models import CHURN_SPACE, batch_score, best_trial, fit_booster, halving_search
 from riskloom.operators.neighbours import smote_oversample
 from riskloom.operators.registry import churn_rule, churn_score_gain
 from riskloom.operators.sampling import stratified_split
@@ -43,7 +43,7 @@ def train(
         scored = batch_score(fit_booster(balanced, names, "Exited", params, seed=seed), test)
         return classifier_metrics(scored, "Exited")["auc_roc"]
 
-    _, params, best = best_trial(param_search(space or CHURN_SPACE, auc, trials, seed))
+    _, params, best = best_trial(halving_search(space or CHURN_SPACE, auc, trials, seed))
     metrics = classifier_metrics(batch_score(fit_booster(balanced, names, "Exited", params, seed=seed), test), "Exited")
     sizes = split_sizes(scaled)
     champion = champion or {}

@@ -19,7 +19,7 @@ from riskloom.operators.models import (
     best_trial,
     fit_booster,
     fit_forest,
-    param_search,
+    halving_search,
     save_model,
     soft_vote,
 )
@@ -67,7 +67,7 @@ def train(
             scored = batch_score(fit_booster(marked, features, label, drawn, validation="is_val", seed=seed), test)
             return classifier_metrics(scored, label, weight=weight)["auc_roc"]
 
-        _, params, best = best_trial(param_search(space, auc, n, seed))
+        _, params, best = best_trial(halving_search(space, auc, n, seed))
         return {**params, "scale_pos_weight": balance}, best
 
     first_trials = max(trials // 2, 2)

@@ -17,7 +17,7 @@ from riskloom.operators.features import fraud_features, label_codes, label_encod
 from riskloom.operators.isolation import fit_isolation_forest
 from riskloom.operators.joins import fraud_star, high_risk, with_decay
 from riskloom.operators.metrics import dataset_profile
-from riskloom.operators.models import FRAUD_SPACE, batch_score, best_trial, fit_booster, fit_clusters, param_search
+from riskloom.operators.models import FRAUD_SPACE, batch_score, best_trial, fit_booster, fit_clusters, halving_search
 from riskloom.operators.registry import fraud_rule
 from riskloom.operators.sampling import stratified_split, undersample
 from riskloom.operators.scans import between_dates, date_range_gate, trailing_months
@@ -101,7 +101,7 @@ def train(
         scored = batch_score(fit_booster(fit_rows, features, "is_fraud", params, "sample_weight", seed=seed), test)
         return classifier_metrics(scored, "is_fraud")["f1_score"]
 
-    results = param_search(space or FRAUD_SPACE, f1, trials, seed)
+    results = halving_search(space or FRAUD_SPACE, f1, trials, seed)
     number, params, best = best_trial(results)
     model = fit_booster(fit_rows, features, "is_fraud", params, "sample_weight", seed=seed)
     metrics = classifier_metrics(batch_score(model, test), "is_fraud", weight="sample_weight", search_threshold=True)

@@ -242,3 +242,29 @@ def test_side_of_a_split_is_learnt(spark):
         stump = fit_booster(df, ["a"], "y", {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0})
         assert all((r["score"] > 0.5) == (r["y"] == 1) for r in batch_score(stump, df).collect())
         assert batch_score(stump, spark.createDataFrame([(None,), (2.0,)], "a double")).count() == 2
+
+
+@pytest.mark.parametrize("maximise", [True, False])
+def test_halving_ends_with_trials_that_have_had_all_rounds(maximise):
+    """The best trial is among those judged last, few rounds are spent, and small searches are plain ones."""
+    from riskloom.operators.models import best_trial, halving_search
+
+    space, spent = {"n_estimators": ("int", 100, 400), "learning_rate": ("float", 0.0, 1.0)}, []
+
+    def objective(p):
+        spent.append(p["n_estimators"])
+        value = p["learning_rate"] - 1.0 / p["n_estimators"]
+        return value if maximise else -value
+
+    found = halving_search(space, objective, 30, maximise=maximise, parallelism=1)
+    assert [r[0] for r in found] == list(range(30)) and spent[:30] == [10] * 30
+    number, params, value = best_trial(found, maximise)
+    assert params["learning_rate"] == max(r[1]["learning_rate"] for r in found)
+    assert found[number][3] == params["n_estimators"] and spent[-1] == params["n_estimators"]
+    assert sum(spent) < 0.25 * sum(r[1]["n_estimators"] for r in found)
+    small = {"n_estimators": ("int", 2, 9), "learning_rate": ("float", 0.0, 1.0)}
+    plain = param_search(small, objective, 7)
+    halved = halving_search(small, objective, 7, maximise=maximise)
+    assert [r[:3] for r in halved] == plain and all(r[3] == r[1]["n_estimators"] for r in halved)
+    (only,) = halving_search(space, objective, 1, maximise=maximise)
+    assert only[3] == only[1]["n_estimators"]
