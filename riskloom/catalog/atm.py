@@ -390,8 +390,7 @@ def rollup_query(spark, folder):
 )
 def merge_query(spark, folder):
     tx, state = frames(spark, folder, "atm_tx", "atm_state")
-    newest = latest_batch(tx, tx).select("id_transaction")
-    rows = replayed(spark, folder).join(newest, "id_transaction", "left_semi")
+    rows = latest_batch(balance_replay(tx, state, RELOAD, keep=["id_sync"]), tx)
     return status_merge(empty_status(state), entity_status_rollup(rows), 99)
 
 
@@ -404,8 +403,7 @@ def merge_query(spark, folder):
 )
 def summary_query(spark, folder):
     tx, state = frames(spark, folder, "atm_tx", "atm_state")
-    batches = tx.select("id_transaction", "id_sync")
-    return batch_run_summary(balance_replay(tx, state, RELOAD).join(batches, "id_transaction"), state)
+    return batch_run_summary(balance_replay(tx, state, RELOAD, keep=["id_sync"]), state)
 
 
 @query(

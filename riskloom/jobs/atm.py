@@ -229,7 +229,7 @@ def monitor_cycle(
     pairs = actual_vs_prediction(latest_batch(tx, logs), predictions, model_id)
     new = missing_predictions(pairs, documents, tx, atms, weathers, scorer)
     if folder:
-        append(fresh, f"{folder}/atm_features")
+        append(fresh, f"{folder}/atm_features", "reference_date")
         append(prediction_bounds(new, "new_value", margin), f"{folder}/daily_withdrawal_prediction")
     error = monitor_error(fill_missing(pairs, new), "amount", "predicted_value")
     current = unpack_features(trailing_days(documents, "reference_date", 30)).dropna(subset=MONITORED)

@@ -19,6 +19,7 @@ series never changes a result.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,10 +46,14 @@ def balance_replay(
     reload: float = RELOAD,
     series_rows: int = SERIES_ROWS,
     block: int | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Balance after each row, in (day, type, id) order per ATM; an unknown opening balance stays null until a reload."""
+    """Balance after each row, in (day, type, id) order per ATM; an unknown opening balance stays null until a reload.
+
+    `keep` names further whole-number columns that rows carry along.
+    """
     cap = round(reload * CENTS)
-    rows = tx.select("id_transaction", "id_atm", "transaction_date", "transaction_type", "amount").withColumns(
+    rows = tx.select("id_transaction", "id_atm", "transaction_date", "transaction_type", "amount", *(F.col(c).cast("long").alias(c) for c in keep)).withColumns(
         {"__cents": cents(F.col("amount")), "__day": F.unix_date("transaction_date")}
     )
     opening = state.select("id_atm", cents(F.col("current_balance")).alias("__open"))
@@ -62,7 +67,7 @@ def balance_replay(
         placed = series_position(rows, "id_atm", "transaction_date", ties)
         placed = placed.withColumn("__block", F.floor(F.col("__pos") / size)).drop("__pos")
         ready = join_null_safe(placed, _block_openings(placed, opening, cap, shelves), ["id_atm", "__block"])
-    return _by_shelf(ready, shelves).applyInPandas(lambda pdf: _replay(pdf, cap), OUTPUT)
+    return _by_shelf(ready, shelves).applyInPandas(lambda pdf: _replay(pdf, cap, list(keep)), OUTPUT + "".join(f", {c} long" for c in keep))
 
 
 def _by_shelf(df: DataFrame, shelves: int):
@@ -70,7 +75,7 @@ def _by_shelf(df: DataFrame, shelves: int):
     return df.groupBy(F.pmod(F.xxhash64("id_atm", "__block"), F.lit(shelves)).alias("__shelf"))
 
 
-def _replay(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
+def _replay(pdf: pd.DataFrame, cap: int, keep: list[str]) -> pd.DataFrame:
     pdf = pdf.sort_values(ORDER, na_position="first")
     key, balance = (), None
     after, reloaded = [], []
@@ -93,6 +98,8 @@ def _replay(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
     out = pdf[["id_transaction", "id_atm", "transaction_date", "transaction_type", "amount"]].astype({"id_transaction": "Int64", "id_atm": "Int64"})
     out["balance_after"] = pd.array(after, dtype="Float64")
     out["reload_flag"] = reloaded
+    for c in keep:
+        out[c] = pdf[c].astype("Int64")
     return out
 
 
