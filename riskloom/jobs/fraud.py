@@ -156,6 +156,6 @@ def clusters(
     predictions: DataFrame, tables: FraudTables, k: int = 5, min_samples: int = 50, since=None, seed: int = 42
 ) -> DataFrame | None:
     """Profiles of high-risk clusters; None when there are too few rows."""
-    rows = high_risk(predictions, tables.tx, tables.cards, tables.people, tables.places, tables.categories, since)
+    rows = cut_lineage(high_risk(predictions, tables.tx, tables.cards, tables.people, tables.places, tables.categories, since))
     found = fit_clusters(rows, CLUSTER_FEATURES, k, min_samples, seed)
-    return cluster_profile(*found) if found else None
+    return cluster_profile(cut_lineage(found[0]), found[1]) if found else None
