@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -27,6 +29,9 @@ from riskloom.llm.common import ship
 REMEMBERED_PIECES = 400_000
 REMEMBERED_BYTES = 64
 REMEMBERED_PAIRS = 500_000
+#: Of these, the pieces and pairs met first are kept for the next task of a worker; frequent ones are met early.
+KEPT_PIECES = 100_000
+KEPT_PAIRS = 200_000
 #: Bytes of text or ids that a task puts into one batch of results.
 BATCH_BYTES = 4_000_000
 
@@ -37,7 +42,8 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self.longest = max(self.sizes.values())
         #: Finds (token, its length) at every byte where a token ends, the longest first.
         self.endings = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -148,10 +154,13 @@ class Prefixes:
 
     def ids(self) -> list[int]:
         out, end = [], len(self.last)
+        last, sizes = self.last, self.vocabulary.sizes
         while end:
-            out.append(self.last[end - 1])
-            end -= len(self.vocabulary.tokens[out[-1]])
-        return out[::-1]
+            token = last[end - 1]
+            out.append(token)
+            end -= sizes[token]
+        out.reverse()
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -171,7 +180,7 @@ class Encoder(dict):
         raw = piece.encode()
         whole = self.vocabulary.ranks.get(raw)
         ids = [whole] if whole is not None else Prefixes(self.vocabulary, raw).ids()
-        found = np.asarray(ids, dtype="<u4").tobytes()
+        found = pack(f"<{len(ids)}I", *ids)
         if len(raw) <= REMEMBERED_BYTES:
             if len(self) >= REMEMBERED_PIECES:
                 self.clear()
@@ -179,9 +188,10 @@ class Encoder(dict):
         return found
 
     def forget(self) -> None:
-        """At the end of a task: an idle worker must not hold what its tasks remembered."""
-        self.clear()
-        self.vocabulary.apart.clear()
+        """At the end of a task: an idle worker must not hold all that its tasks remembered."""
+        for known, kept in ((self, KEPT_PIECES), (self.vocabulary.apart, KEPT_PAIRS)):
+            for name in list(islice(known, kept, None)):
+                del known[name]
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, self.pieces(text or "")))
