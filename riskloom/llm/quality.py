@@ -4,8 +4,10 @@ Every rule is a ratio of two counts of a text, in whole thousandths.  A group's
 histogram over these thousandths: sketches of parts merge by adding counts, the order does not matter, and
 a quantile read from one is off by less than one thousandth.  A group with few documents takes the merged
 sketch of its language, a language with few documents that of all.  A document is rejected where a ratio
-lies beyond the fence of its group: quartile plus or minus `reach` times the middle half, and at least
-`floor` away from the quartile, so that a narrow group does not reject ordinary documents.
+lies beyond the fence of its group: quartile plus or minus `reach` times the group's spread.  The spread is the
+middle half of the ratio or, where that is narrower, what one event (a symbol, a line, a repeated window) adds to the
+ratio in the group's short texts: the UNIT_PERCENT quantile of a second sketch, so that no group rejects a text for
+a single event and no constant decides.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: With fewer usable documents a group takes the sketch of the next larger one.
 GROUP_DOCUMENTS = 200
+#: The quantile of the ratio that one event makes which counts as the short texts' resolution.
+UNIT_PERCENT = 95
 #: Up to so many repeated windows each window is looked up in their list; beyond, windows are sorted.
 LISTED = 16
 
@@ -33,22 +37,22 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass(frozen=True)
 class Rule:
-    """`name` = `per` of 1000 parts; the side on which a document can fail; the least distance of a fence."""
+    """`name` = `top` in 1000 parts of `below`; spreads to the fence; what one event adds to `top`; the sides on which a document can fail."""
 
     name: str
     top: str
     below: str
     reach: float
-    floor: int
+    event: int
     high: bool = True
     low: bool = False
 
 
 RULES = (
-    Rule("symbol_share", "n_symbols", "word_chars", 3, 20),
-    Rule("dup_line_share", "n_dup_lines", "n_lines", 3, 600),
-    Rule("repeat_share", "n_repeat_words", "n_words", 3, 400),
-    Rule("word_length", "word_chars", "n_words", 4, 2000, True, True),
+    Rule("symbol_share", "n_symbols", "word_chars", 5, 1),
+    Rule("dup_line_share", "n_dup_lines", "n_lines", 1, 1),
+    Rule("repeat_share", "n_repeat_words", "n_words", 4, 6),
+    Rule("word_length", "word_chars", "n_words", 4, 0, True, True),
 )
 
 
@@ -114,19 +118,29 @@ def thousandths(rule: Rule) -> Column:
     return F.when(F.col(rule.below) > 0, F.floor(1000 * F.col(rule.top) / F.col(rule.below)).cast("long"))
 
 
+def unit_of(name: str) -> str:
+    """The name of the sketch of what one event adds to a ratio."""
+    return f"{name} unit"
+
+
+def one_event(rule: Rule) -> Column:
+    return F.when(F.col(rule.below) > 0, F.floor(F.lit(1000 * rule.event) / F.col(rule.below)).cast("long"))
+
+
 def sketches(counted: DataFrame, groups: Sequence[str], rules: Sequence[Rule] = RULES) -> DataFrame:
-    """One row per group, rule and thousandth with its number of documents: a sketch that merges by adding."""
+    """One row per group, rule (or a rule's unit) and thousandth with its number of documents: a sketch that merges by adding."""
     usable = counted.filter(~base_failed())
-    values = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), thousandths(r).alias("value")) for r in rules)))
+    named = [(r.name, thousandths(r)) for r in rules] + [(unit_of(r.name), one_event(r)) for r in rules if r.event]
+    values = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), value.alias("value")) for name, value in named)))
     return usable.select(*groups, values.alias("x")).select(*groups, "x.*").filter("value IS NOT NULL").groupBy(*groups, "rule", "value").agg(F.count("*").alias("n"))
 
 
 def quartiles(sketch: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Lower and upper quartile (nearest rank) of each group and rule, and its number of documents."""
+    """Quartiles and UNIT_PERCENT quantile (nearest rank) of each group and rule, and its number of documents."""
     part = Window.partitionBy(*groups, "rule")
     ranked = sketch.withColumn("upto", F.sum("n").over(part.orderBy("value"))).withColumn("total", F.sum("n").over(part))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("value")))
-    return ranked.groupBy(*groups, "rule").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("documents"))
+    at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("value")))
+    return ranked.groupBy(*groups, "rule").agg(at(25).alias("q1"), at(75).alias("q3"), at(UNIT_PERCENT).alias("top"), F.max("total").alias("documents"))
 
 
 def fences(counted: DataFrame, rules: Sequence[Rule] = RULES, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
@@ -137,7 +151,7 @@ def fences(counted: DataFrame, rules: Sequence[Rule] = RULES, group_documents: i
     per_source = stored(sketches(counted, ["lang", "source"], rules), "sketch")
     per_lang = per_source.groupBy("lang", "rule", "value").agg(F.sum("n").alias("n"))
     overall = per_lang.groupBy("rule", "value").agg(F.sum("n").alias("n"))
-    names = per_source.select("lang", "source").distinct().withColumn("rule", F.explode(F.array(*(F.lit(r.name) for r in rules))))
+    names = per_source.select("lang", "source").distinct().withColumn("rule", F.explode(F.array(*(F.lit(n) for r in rules for n in (r.name, unit_of(r.name))))))
     own = quartiles(per_source, ["lang", "source"])
     lang = quartiles(per_lang, ["lang"])
     every = quartiles(overall, [])
@@ -152,12 +166,13 @@ def fences(counted: DataFrame, rules: Sequence[Rule] = RULES, group_documents: i
     )
     enough = lambda side: F.coalesce(F.col(f"{side}_documents"), F.lit(0)) >= group_documents
     pick = lambda q: F.when(enough("own"), F.col(f"own_{q}")).when(enough("lang"), F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    picked = joined.select("lang", "source", "rule", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    picked = joined.select("lang", "source", "rule", *(pick(q).alias(q) for q in ("q1", "q3", "top")))
+    one = lambda rule, q: F.max(F.when(F.col("rule") == rule, F.col(q)))
     limits = []
     for r in rules:
-        mine = F.col("rule") == r.name
-        away = F.greatest(F.lit(float(r.floor)), r.reach * (F.col("q3") - F.col("q1")))
-        limits += [F.max(F.when(mine, F.col("q1") - away)).alias(f"{r.name}_low"), F.max(F.when(mine, F.col("q3") + away)).alias(f"{r.name}_high")]
+        q1, q3, unit = one(r.name, "q1"), one(r.name, "q3"), F.coalesce(one(unit_of(r.name), "top"), F.lit(0))
+        away = r.reach * F.greatest(q3 - q1, unit, F.lit(1))
+        limits += [(q1 - away).alias(f"{r.name}_low"), (q3 + away).alias(f"{r.name}_high")]
     return picked.groupBy("lang", "source").agg(*limits)
 
 

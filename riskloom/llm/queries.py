@@ -24,16 +24,17 @@ def query(name: str, sql: str | None = None):
 
 def _quality_sql() -> str:
     metrics = {r.name: f"CASE WHEN {r.below} > 0 THEN CAST((1000 * {r.top}) // {r.below} AS BIGINT) END" for r in quality.RULES}
+    metrics |= {quality.unit_of(r.name): f"CASE WHEN {r.below} > 0 THEN CAST({1000 * r.event} // {r.below} AS BIGINT) END" for r in quality.RULES if r.event}
     values = " UNION ALL ".join(f"SELECT rid, lang, source, '{n}' AS rule, {e} AS value FROM usable" for n, e in metrics.items())
-    quart = "min(CASE WHEN upto * 4 >= total * 1 THEN value END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN value END) AS q3, max(total) AS documents"
+    quantiles = {"q1": 25, "q3": 75, "top": quality.UNIT_PERCENT}
+    quart = ", ".join(f"min(CASE WHEN upto * 100 >= total * {p} THEN value END) AS {q}" for q, p in quantiles.items()) + ", max(total) AS documents"
     ranked = "SELECT *, sum(n) OVER (PARTITION BY {keys}rule ORDER BY value) AS upto, sum(n) OVER (PARTITION BY {keys}rule) AS total FROM {sketch}"
-    floors = " ".join(f"WHEN '{r.name}' THEN {r.floor}" for r in quality.RULES)
     reach = " ".join(f"WHEN '{r.name}' THEN {r.reach}" for r in quality.RULES)
     high = ", ".join(f"'{r.name}'" for r in quality.RULES if r.high)
     low = ", ".join(f"'{r.name}'" for r in quality.RULES if r.low)
     picks = ", ".join(
         f"CASE WHEN coalesce(o.documents, 0) >= {quality.GROUP_DOCUMENTS} THEN o.{q} WHEN coalesce(l.documents, 0) >= {quality.GROUP_DOCUMENTS} THEN l.{q} ELSE a.{q} END AS {q}"
-        for q in ("q1", "q3")
+        for q in quantiles
     )
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
@@ -60,7 +61,8 @@ def _quality_sql() -> str:
     a AS (SELECT rule, {quart} FROM ({ranked.format(keys="", sketch="sa")}) x GROUP BY ALL),
     picked AS (SELECT o.lang, o.source, o.rule, {picks} FROM o
                LEFT JOIN l ON l.lang IS NOT DISTINCT FROM o.lang AND l.rule = o.rule LEFT JOIN a ON a.rule = o.rule),
-    fence AS (SELECT *, greatest(CASE rule {floors} END, CASE rule {reach} END * (q3 - q1)) AS away FROM picked),
+    fence AS (SELECT p.*, CASE p.rule {reach} END * greatest(p.q3 - p.q1, coalesce(u.top, 0), 1) AS away
+              FROM picked p LEFT JOIN picked u ON u.rule = p.rule || ' unit' AND u.lang IS NOT DISTINCT FROM p.lang AND u.source IS NOT DISTINCT FROM p.source),
     bad AS (SELECT DISTINCT v.rid FROM vals v JOIN fence f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source
             AND f.rule = v.rule WHERE (f.rule IN ({high}) AND v.value > q3 + away) OR (f.rule IN ({low}) AND v.value < q1 - away))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -115,6 +115,16 @@ def test_thresholds_follow_the_group(spark):
     assert all(kept[i] for i in [*range(250), *range(1000, 1250)]) and not kept[2000]
 
 
+def test_spread_comes_from_the_group_and_not_from_a_constant(spark):
+    def text(words, signs, k):
+        return " ".join(f"word{k}{j}" + ("$" if j < signs else "") for j in range(words))
+
+    rows = [(i, text(60, 0, i), "en", "short") for i in range(250)] + [(1000 + i, text(2000, 0, i), "en", "long") for i in range(250)]
+    rows += [(2000 + k, text(60, 4, 7), "en", source) for k, source in enumerate(("short", "long"))]
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[i] for i in [*range(250), *range(1000, 1250), 2000]) and not kept[2001]
+
+
 def test_quality_follows_the_labels(spark, folder):
     folder = folder.replace("0.001", "0.01")
     found = QUERIES["op3_quality_rules"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
