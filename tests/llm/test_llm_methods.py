@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -247,6 +248,9 @@ def test_template_that_the_seed_lacks(spark):
     [
         ("plain &lt;text&gt;", "plain <text>"), ("<p>a<p>b", "a\nb"), ("<ul><li>a<li>b</ul>c", "a\nb\nc"), ("<p>one<span class='ad'>buy</span> two", "one two"), ("<script>'</p>'</script><p>v", "v"),
         ("<article><header><h1>T</h1></header><p>x</p><section id=comments><p>c</p></section><form>f</form></article><p>y", "T\nx"), ("<a href='open>closed <p>hi</p>", "closed\nhi"), ("<!-- open <p>x", ""),
+        ("<article><h2 id=discussion>D</h2><p>x</p><h2 id='related-work'>R</h2><p id=share>y</p></article>", "D\nx\nR\ny"), ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>", "Let x=2 hold."),
+        ("<article><section id='comments-on-law'><p>a</p></section><div class='notice-of-motion'><p>b</p></div></article>", "a\nb"), ("<object data=x>seen</object> <svg><text>t</text></svg>", "seen"),
+        ("<div class='comment-list'>c</div><div class='wide site-footer'>f</div><section id=discussion><p>k</p></section><div class='cookie-banner x'>z</div><div id=sidebar2>s</div>", "k"),
         ("<div hidden>h</div><main>k</main><footer>z", "k"), ("<header>site</header><p>s", "s"),
     ],
 )
@@ -258,6 +262,42 @@ def test_deep_and_wide_pages_end():
     assert html_text.main_text(html_text.Page("<div>" * 30_000 + "x"), None, set(), {}) == "x"
     seed, page = html_text.Page("<body>" + "<p>w</p>" * 300), html_text.Page("<body><nav>a</nav>" + "<p>w</p>" * 9000)
     assert len(html_text.matched(seed, page)) == 302
+    assert len(html_text.matched(html_text.Page("<div>" * 30_000 + "x"), html_text.Page("<div>" * 20_000 + "<p>y"))) == 20_001
+
+
+def test_long_lists_of_unlike_items_are_aligned():
+    rng = random.Random(1)
+    ends = ("", "<p>y</p>", "<div>q<p>z</p></div>", "<ul><li>1<li>2</ul>")
+    source = lambda: "<ul>" + "".join(f"<li><div><h3>t</h3><p>x</p>{rng.choice(ends)}</div></li>" for _ in range(3000)) + "</ul>"
+    start = time.process_time()
+    assert len(html_text.matched(html_text.Page(source()), html_text.Page(source()))) > 3000 * 4
+    assert time.process_time() - start < 10
+
+
+def test_alignment_is_as_large_as_can_be(monkeypatch):
+    rng = random.Random(1)
+
+    def tree(depth):
+        tag = rng.choice(["div", "ul", "section", "p"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4)) if depth) + f"</{tag}>"
+
+    def most(a, b, x=0, y=0):
+        if a.labels[x] != b.labels[y]:
+            return 0
+        rows = [[0] * (len(b.children[y]) + 1)]
+        for c in a.children[x]:
+            rows.append([0])
+            for j, d in enumerate(b.children[y]):
+                rows[-1].append(max(rows[-2][j + 1], rows[-1][j], rows[-2][j] + most(a, b, c, d)))
+        return 1 + rows[-1][-1]
+
+    for cells in (400, 0):
+        monkeypatch.setattr(html_text, "PLAIN_CELLS", cells)
+        for _ in range(200):
+            a, b = html_text.Page(tree(3) + tree(2)), html_text.Page(tree(3) + tree(3))
+            pairs = html_text.matched(a, b)
+            assert len(pairs) == most(a, b) and len(set(pairs.values())) == len(pairs)
+            assert all(a.labels[x] == b.labels[y] and (not x or pairs[a.parents[x]] == b.parents[y]) for x, y in pairs.items())
 
 
 # Suffix tree
