@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from riskloom.catalog.base import bins_sql, counts_sql, frames, query, rounded, values_sql
+from riskloom.functions.hashes import text_hash_sql
 from riskloom.functions.numeric import floor_target
 from riskloom.jobs import atm
 from riskloom.operators.atm_series import (
@@ -327,7 +328,7 @@ def loss_query(spark, folder):
     return rounded(asymmetric_loss(pairs(spark, folder), "amount", "predicted_value"), 2)
 
 
-@query("weather_by_date")
+@query("weather_by_date", f"SELECT DISTINCT transaction_date, CAST({text_hash_sql(42, 'transaction_date')} % 3 + 1 AS INT) AS id_weather FROM atm_tx")
 def weather_query(spark, folder):
     (tx,) = frames(spark, folder, "atm_tx")
     return weather_by_date(tx.drop("id_weather"), "transaction_date").select("transaction_date", "id_weather").distinct()

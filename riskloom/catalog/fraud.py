@@ -71,12 +71,13 @@ def raw_transactions(spark, folder):
     return fraud.raw_transactions(tables(spark, folder), START, END)
 
 
-@query(
-    "fraud_extract",
-    f"""WITH {STAR} SELECT {STAR_COLUMNS},
-            round(exp(-{LAM!r} * date_sub('day', trans_date_trans_time, TIMESTAMP '{END}')), 9) AS sample_weight
-        FROM star WHERE trans_date_trans_time BETWEEN TIMESTAMP '{END}' - INTERVAL 730 DAY AND TIMESTAMP '{END}'""",
-)
+def extract_sql(end: str) -> str:
+    return f"""SELECT {STAR_COLUMNS},
+            round(exp(-{LAM!r} * date_sub('day', trans_date_trans_time, TIMESTAMP '{end}')), 9) AS sample_weight
+        FROM star WHERE trans_date_trans_time BETWEEN TIMESTAMP '{end}' - INTERVAL 730 DAY AND TIMESTAMP '{end}'"""
+
+
+@query("fraud_extract", f"WITH {STAR} {extract_sql(END)}")
 def fraud_extract(spark, folder):
     return rounded(fraud.extract(tables(spark, folder), END), 9, "sample_weight")
 

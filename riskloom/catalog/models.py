@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from riskloom.catalog import churn as churn_queries
 from riskloom.catalog import fraud as fraud_queries
-from riskloom.catalog.base import frames, query
+from riskloom.catalog.base import frames, query, rounded
 from riskloom.functions.dates import decay_rate, decay_weight
+from riskloom.functions.hashes import text_hash_sql
 from riskloom.jobs import atm, churn, delinquency, fraud
 from riskloom.operators.clusters import CLUSTER_FEATURES
 from riskloom.operators.features import churn_features, fraud_features, label_codes, label_encode, scale, standard_scaler
@@ -64,13 +65,25 @@ def atm_rows(spark, folder):
     return atm.training_rows(*frames(spark, folder, "atm_tx", "atms", "weathers"))
 
 
-@query("undersample")
+@query(
+    "undersample",
+    f"""WITH {fraud_queries.STAR}, extracted AS ({fraud_queries.extract_sql(END)}),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY {text_hash_sql(42, "id_transaction")}, id_transaction) AS place FROM extracted)
+        SELECT {fraud_queries.STAR_COLUMNS}, sample_weight FROM placed
+        WHERE is_fraud = 1 OR is_fraud = 0 AND place <= 2 * (SELECT count(*) FROM extracted WHERE is_fraud = 1)""",
+)
 def undersample_query(spark, folder):
     t = fraud_queries.tables(spark, folder)
-    return undersample(fraud.extract(t, END), "is_fraud", "id_transaction", ratio=2)
+    return rounded(undersample(fraud.extract(t, END), "is_fraud", "id_transaction", ratio=2), 9, "sample_weight")
 
 
-@query("stratified_split")
+@query(
+    "stratified_split",
+    f"""WITH placed AS (
+            SELECT id_row, {LABEL}, row_number() OVER (PARTITION BY {LABEL} ORDER BY {text_hash_sql(42, "id_row")}, id_row) AS place,
+                   CAST(round(0.2 * count(*) OVER (PARTITION BY {LABEL})) AS BIGINT) AS part FROM delinquency)
+        SELECT id_row, {LABEL}, CASE WHEN place <= part THEN 'test' WHEN place <= 2 * part THEN 'val' ELSE 'train' END AS split FROM placed""",
+)
 def split_query(spark, folder):
     (rows,) = frames(spark, folder, "delinquency")
     return stratified_split(rows, LABEL, "id_row", [("test", 0.2), ("val", 0.2)]).select("id_row", LABEL, "split")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import days_before, months_before, timestamp_ntz
+from riskloom.functions.hashes import text_hash
 from riskloom.functions.numeric import no_nan
 
 
@@ -136,4 +137,4 @@ def next_version(audits: DataFrame, name_col: str, pattern: str) -> DataFrame:
 
 def weather_by_date(df: DataFrame, date_col: str, seed: int = 42) -> DataFrame:
     """A weather id 1..3, random but equal for all rows of a day."""
-    return df.withColumn("id_weather", (F.pmod(F.xxhash64(date_col, F.lit(seed)), F.lit(3)) + 1).cast("int"))
+    return df.withColumn("id_weather", (F.pmod(text_hash(seed, F.col(date_col)), F.lit(3)) + 1).cast("int"))

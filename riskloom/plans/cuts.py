@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.functions.hashes import HASH_BITS, text_hash
 from riskloom.session import cut_lineage
 
 BITS = 12
@@ -26,10 +27,10 @@ class HashOrder:
     def __init__(self, df: DataFrame, id_col: str, label: str, seed: int = 42, few_rows: int = FEW_ROWS, store: bool = False):
         """`store`: keep classes, hashes and ids in the shared folder, where `df` is dear to make again."""
         self.label, self.id_col, self.few_rows = label, id_col, few_rows
-        self.hashed = F.xxhash64(F.col(id_col), F.lit(seed))
+        self.hashed = text_hash(seed, F.col(id_col))
         self.rows = df.select(F.col(label).alias("s"), self.hashed.alias("h"), F.col(id_col).alias("id"))
         self.rows = cut_lineage(self.rows) if store else self.rows
-        slots = self.rows.groupBy("s", _slot(64 - BITS)).count().collect()  # at most classes x 4096 rows
+        slots = self.rows.groupBy("s", _slot(HASH_BITS - BITS)).count().collect()  # at most classes x 4096 rows
         self.slots: dict = {}
         for r in sorted(slots, key=lambda r: r["slot"]):
             self.slots.setdefault(r["s"], []).append((r["slot"], r["count"]))
@@ -67,7 +68,7 @@ class HashOrder:
         if small:
             spots = [(F.col("s") == k[0]) & (F.col("slot") == p[0]) & (F.col("place") == p[1]) for k, p in small.items()]
             slots = [(F.col("s") == k[0]) & (F.col("slot") == p[0]) for k, p in small.items()]
-            held = self.rows.withColumn("slot", _slot(64 - BITS)).where(_any(slots))
+            held = self.rows.withColumn("slot", _slot(HASH_BITS - BITS)).where(_any(slots))
             inside = W.partitionBy("s", "slot").orderBy("h", "id")  # at most few_rows rows
             hits = held.withColumn("place", F.row_number().over(inside)).where(_any(spots)).collect()
             at = {(r["s"], r["slot"], r["place"]): (r["h"], r["id"]) for r in hits}
@@ -76,7 +77,7 @@ class HashOrder:
 
     def _narrow(self, s, place: tuple) -> tuple:
         """A slot too large to sort at once: count its next bits, until few rows are left."""
-        rows, shift = self.rows.where(F.col("s") == s), 64 - BITS
+        rows, shift = self.rows.where(F.col("s") == s), HASH_BITS - BITS
         while True:
             slot, n, size = place
             rows = rows.where(F.shiftright("h", shift) == slot)

@@ -263,3 +263,13 @@ def test_nan_is_no_value(spark):
     assert null_profile(spoilt, ["a"]).first()["null_pct"] == pytest.approx(1 / 3)
     text = spark.createDataFrame([("1",), ("NaN",), ("x",)], "a string")
     assert [r["a"] for r in coerce_numeric(text, ["a"]).collect()] == [1.0, None, None]
+
+
+def test_hash_is_the_digest_of_seed_and_value(spark):
+    from hashlib import md5
+
+    from riskloom.functions.hashes import text_hash
+
+    rows = [(0,), (7,), (-12,), (10**15,), (None,)]
+    found = {r["i"]: r["h"] for r in spark.createDataFrame(rows, "i long").select("i", text_hash(42, F.col("i")).alias("h")).collect()}
+    assert found == {i: int(md5(("42" if i is None else f"42:{i}").encode()).hexdigest()[:15], 16) for (i,) in rows}
