@@ -17,10 +17,8 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +39,8 @@ SLOT_SHARE = 0.9
 TAG_SHARE = 0.5
 #: Children of two nodes are aligned in plain lists up to so many pairs, beyond in arrays.
 PLAIN_CELLS = 400
-#: With more pairs of different subtrees, unequal ones weigh by their label alone; with more pairs of children, runs of equal labels are aligned.
-MOST_SHAPES, MOST_CELLS = 10_000, 200_000_000
+#: Cells of an alignment whose choices are held at once; of a larger one, single rows are kept and the choices between them made again.
+HELD_CELLS = 200_000_000
 #: Wrappers up to so many characters together are offered for broadcast.
 WRAPPER_CHARS = 4_000_000
 
@@ -304,13 +302,14 @@ class Alignment:
     """Simple tree matching of page b with page a: equal labels, parents matched and order kept, as many nodes as can be.
 
     Subtrees are compared once for each pair of different shapes, equal ones are matched whole, and equal children at
-    both ends of a list are matched before the rest is aligned.
+    both ends of a list are matched before the rest is aligned.  There is no limit to the pairs: time and memory grow with
+    the pairs of different shapes that hold elements and meet under one label, so at most with the product of the pages.
     """
 
     def __init__(self, a: Page, b: Page, shapes: tuple[list[int], dict], wholes: list[int]):
         self.a, self.b, self.whole, self.x_shape = a, b, wholes, shapes[0]
         self.y_shape = b.shapes(shapes[1])[0]
-        self.sizes: dict[tuple[int, int], int] = {}
+        self.sizes: dict[int, dict[int, int]] = {}
 
     def ends(self, x: int, y: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
         """Equal children at the beginnings and ends, matched, and the children between."""
@@ -322,73 +321,108 @@ class Alignment:
             high_x, high_y = high_x - 1, high_y - 1
         return [*zip(xs[:low], ys[:low]), *zip(xs[high_x:], ys[high_y:])], xs[low:high_x], ys[low:high_y]
 
-    def shape_pairs(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
-        """A pair of nodes for every pair of different shapes under one label; none if there are too many."""
-        by_x, by_y = {self.x_shape[x]: x for x in xs}, {self.y_shape[y]: y for y in ys}
-        if len(by_x) * len(by_y) > MOST_SHAPES:
-            return []
-        return [(x, y) for x in by_x.values() for y in by_y.values() if self.a.labels[x] == self.b.labels[y]]
+    def shape_pairs(self, xs: list[int], ys: list[int]) -> Iterator[tuple[int, int]]:
+        """A pair of nodes for every pair of different shapes under one label, where both hold elements."""
+        by_x = {self.x_shape[x]: x for x in xs if self.a.children[x]}
+        by_y = {self.y_shape[y]: y for y in ys if self.b.children[y]}
+        named: dict[str, list[int]] = {}
+        for y in by_y.values():
+            named.setdefault(self.b.labels[y], []).append(y)
+        for shape, x in by_x.items():
+            yield from ((x, y) for y in named.get(self.a.labels[x], ()) if shape != self.y_shape[y])
 
     def size(self, x: int, y: int) -> int:
-        """Nodes matched in two subtrees, as far as it has been settled; else whole for equal ones and one for equal labels."""
+        """Nodes matched in two subtrees that have been settled; of others, only those without elements have equal labels."""
         if self.a.labels[x] != self.b.labels[y]:
             return 0
-        key = self.x_shape[x], self.y_shape[y]
-        return self.whole[x] if key[0] == key[1] else self.sizes.get(key, 1)
+        shape = self.x_shape[x]
+        return self.whole[x] if shape == self.y_shape[y] else self.sizes.get(shape, {}).get(self.y_shape[y], 1)
 
     def settle(self) -> None:
         """The sizes of all pairs of shapes that meet below the roots, the lower ones first."""
-        todo, opened = [(0, 0)], set()
-        while todo:
-            x, y = todo[-1]
-            key = self.x_shape[x], self.y_shape[y]
-            if key[0] == key[1] or key in self.sizes:
-                todo.pop()
-                continue
+
+        def opened(x: int, y: int) -> tuple:
             same, xs, ys = self.ends(x, y)
-            if key not in opened:
-                opened.add(key)
-                todo += [p for p in self.shape_pairs(xs, ys) if (self.x_shape[p[0]], self.y_shape[p[1]]) not in self.sizes]
+            return x, y, same, xs, ys, self.shape_pairs(xs, ys)
+
+        todo = [opened(0, 0)] if self.x_shape[0] != self.y_shape[0] else []
+        while todo:
+            x, y, same, xs, ys, below = todo[-1]
+            lower = next((p for p in below if self.y_shape[p[1]] not in self.sizes.get(self.x_shape[p[0]], ())), None)
+            if lower:
+                todo.append(opened(*lower))
                 continue
-            self.sizes[key] = 1 + sum(self.whole[c] for c, _ in same) + sum(self.size(*p) for p in self.aligned(xs, ys))
+            self.sizes.setdefault(self.x_shape[x], {})[self.y_shape[y]] = 1 + sum(self.whole[c] for c, _ in same) + self.most(xs, ys)
             todo.pop()
 
+    def rows(self, xs: list[int], ys: list[int]) -> Callable[[np.ndarray, int], np.ndarray]:
+        """A function from the sums that the first i children reach with each number of ys to those of one more child."""
+        y_kinds, y_at, y_kind = np.unique([self.y_shape[y] for y in ys], return_index=True, return_inverse=True)
+        known: dict[int, np.ndarray] = {}
+
+        def after(last: np.ndarray, i: int) -> np.ndarray:
+            shape = self.x_shape[xs[i]]
+            if shape not in known:
+                known[shape] = np.array([self.size(xs[i], ys[j]) for j in y_at], dtype=np.int32)
+            row = last.copy()
+            np.maximum(row[1:], last[:-1] + known[shape][y_kind], out=row[1:])
+            return np.maximum.accumulate(row)
+
+        return after
+
+    def most(self, xs: list[int], ys: list[int]) -> int:
+        """The sum of sizes that an alignment of these children reaches."""
+        if not xs or not ys:
+            return 0
+        if len(xs) * len(ys) > PLAIN_CELLS:
+            after, sums = self.rows(xs, ys), np.zeros(len(ys) + 1, dtype=np.int64)
+            for i in range(len(xs)):
+                sums = after(sums, i)
+            return int(sums[-1])
+        labels, shapes, last = [self.b.labels[y] for y in ys], [self.y_shape[y] for y in ys], [0] * (len(ys) + 1)
+        for x in xs:
+            label, shape, top, row = self.a.labels[x], self.x_shape[x], 0, [0]
+            sizes = self.sizes.get(shape, {})
+            for j, other in enumerate(shapes):
+                if labels[j] == label:
+                    top = max(top, last[j] + (self.whole[x] if other == shape else sizes.get(other, 1)))
+                if last[j + 1] > top:
+                    top = last[j + 1]
+                row.append(top)
+            last = row
+        return last[-1]
+
     def aligned(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
         """Pairs of children in order whose sizes add up to the most."""
         if not xs or not ys:
             return []
         if len(xs) * len(ys) <= PLAIN_CELLS:
             return self.aligned_plainly(xs, ys)
-        if len(xs) * len(ys) > MOST_CELLS:
-            return self.aligned_runs(xs, ys)
-        x_kinds, x_at = np.unique([self.x_shape[x] for x in xs], return_index=True)
-        y_kinds, y_at, y_kind = np.unique([self.y_shape[y] for y in ys], return_index=True, return_inverse=True)
-        x_kind = np.searchsorted(x_kinds, [self.x_shape[x] for x in xs])
-        if len(x_kinds) * len(y_kinds) <= MOST_SHAPES:
-            table = np.array([[self.size(xs[i], ys[j]) for j in y_at] for i in x_at], dtype=np.int64)
-            weights = lambda i: table[x_kind[i]][y_kind]
-        else:
-            labels = {n: k for k, n in enumerate({*(self.a.labels[x] for x in xs), *(self.b.labels[y] for y in ys)})}
-            y_label, y_shape = np.array([labels[self.b.labels[y]] for y in ys]), np.array([self.y_shape[y] for y in ys])
-            weights = lambda i: np.where(y_shape == self.x_shape[xs[i]], self.whole[xs[i]], y_label == labels[self.a.labels[xs[i]]])
-        last, ups, lefts = np.zeros(len(ys) + 1, dtype=np.int64), [], []
-        for i in range(len(xs)):
-            row = last.copy()
-            np.maximum(row[1:], last[:-1] + weights(i), out=row[1:])
-            row = np.maximum.accumulate(row)
-            ups.append(np.packbits(row == last))
-            lefts.append(np.packbits(row[1:] == row[:-1]))
-            last = row
+        after = self.rows(xs, ys)
+        step = max(1, HELD_CELLS // len(ys))
+        last = np.zeros(len(ys) + 1, dtype=np.int64)
+        starts = [last]
+        for i in range((len(xs) - 1) // step * step):
+            last = after(last, i)
+            if (i + 1) % step == 0:
+                starts.append(last)
         bit = lambda bits, k: bits[k >> 3] >> (7 - (k & 7)) & 1
         out, i, j = [], len(xs), len(ys)
-        while i and j:
-            if bit(ups[i - 1], j):
-                i -= 1
-            elif bit(lefts[i - 1], j - 1):
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                out.append((xs[i], ys[j]))
+        while starts and j:
+            first, last, ups, lefts = (len(starts) - 1) * step, starts.pop(), [], []
+            for k in range(first, i):
+                row = after(last, k)
+                ups.append(np.packbits(row == last))
+                lefts.append(np.packbits(row[1:] == row[:-1]))
+                last = row
+            while i > first and j:
+                if bit(ups[i - 1 - first], j):
+                    i -= 1
+                elif bit(lefts[i - 1 - first], j - 1):
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((xs[i], ys[j]))
         return out
 
     def aligned_plainly(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
@@ -409,21 +443,6 @@ class Alignment:
                 out.append((xs[i], ys[j]))
         return out
 
-    def aligned_runs(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
-        """Runs of one label, in order; the children of two runs are matched one by one."""
-        cut = lambda page, nodes: [[n for n in g] for _, g in groupby(nodes, key=lambda n: page.labels[n])]
-        runs_y, out, at = cut(self.b, ys), [], 0
-        places: dict[str, list[int]] = {}
-        for k, run in enumerate(runs_y):
-            places.setdefault(self.b.labels[run[0]], []).append(k)
-        for run in cut(self.a, xs):
-            mine = places.get(self.a.labels[run[0]], [])
-            k = bisect_left(mine, at)
-            if k < len(mine):
-                out += zip(run, runs_y[mine[k]])
-                at = mine[k] + 1
-        return out
-
     def pairs(self) -> dict[int, int]:
         """Nodes of b by node of a."""
         if self.a.labels[0] != self.b.labels[0]:

@@ -300,6 +300,31 @@ def test_alignment_is_as_large_as_can_be(monkeypatch):
             assert all(a.labels[x] == b.labels[y] and (not x or pairs[a.parents[x]] == b.parents[y]) for x, y in pairs.items())
 
 
+def test_alignment_does_not_depend_on_how_much_there_is(monkeypatch):
+    """Many unlike items weigh as few do: by all that matches in them, and a large alignment is that of a small one."""
+    rng = random.Random(2)
+    item = lambda bits, text: "<li><div>" + "".join("<p>x</p>" if b == "1" else "<div>x</div>" for b in f"{bits:07b}") + f"</div>{text}</li>"
+    page = lambda kinds: html_text.Page("<ul>" + "".join(item(k, "<table><tr><td>y</table>" * rng.randint(0, 2)) for k in kinds) + "</ul>")
+    a, b = page(rng.sample(range(128), 120)), page(rng.sample(range(128), 120))
+
+    def most(x, y, known={}):
+        if a.labels[x] != b.labels[y]:
+            return 0
+        if (x, y) not in known:
+            rows = [[0] * (len(b.children[y]) + 1)]
+            for c in a.children[x]:
+                rows.append([0])
+                for j, d in enumerate(b.children[y]):
+                    rows[-1].append(max(rows[-2][j + 1], rows[-1][j], rows[-2][j] + most(c, d)))
+            known[x, y] = 1 + rows[-1][-1]
+        return known[x, y]
+
+    whole = html_text.matched(a, b)
+    assert len(whole) == most(0, 0)
+    monkeypatch.setattr(html_text, "HELD_CELLS", 1000)
+    assert html_text.matched(a, b) == whole
+
+
 # Suffix tree
 
 
