@@ -268,3 +268,26 @@ def test_halving_ends_with_trials_that_have_had_all_rounds(maximise):
     assert [r[:3] for r in halved] == plain and all(r[3] == r[1]["n_estimators"] for r in halved)
     (only,) = halving_search(space, objective, 1, maximise=maximise)
     assert only[3] == only[1]["n_estimators"]
+
+
+def test_modelling_rows_are_made_once(spark, folder):
+    """Learners read them in every round, so they hang on no scan of the line items; they are those of the plain joins."""
+    from riskloom.catalog import models as m
+    from riskloom.sources.standins import stand_in
+
+    rows = m.atm_rows(spark, folder)
+    assert rows.inputFiles() == []
+    plain = atm.training_rows(*(stand_in(spark, folder, n) for n in ("atm_tx", "atms", "weathers")))
+    assert rows.columns == plain.columns and sorted(rows.collect()) == sorted(plain.collect())
+
+
+def test_boosting_writes_nothing_after_its_last_round(spark, monkeypatch):
+    from riskloom.operators import models
+
+    written = []
+    monkeypatch.setattr(models, "cut_lineage", lambda df: written.append(df.columns) or df)
+    rows = spark.range(400).selectExpr("id", "CAST(id % 20 AS DOUBLE) AS x", "CAST(id % 20 * 3 + id % 7 AS DOUBLE) AS y", "id % 5 = 0 AS held", "'long text' AS other")
+    trees, predict = models.asymmetric_boosting(rows, ["x"], "y", rounds=3)
+    assert (written, len(trees), predict(rows).count()) == ([], 3, 400)
+    models.asymmetric_boosting(rows, ["x"], "y", rounds=2, validation="held")
+    assert [sorted(c) for c in written] == [["__f", "__y", "features", "held"]]
