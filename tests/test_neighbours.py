@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.isolation import fit_isolation_forest
-from riskloom.operators.neighbours import grow_boxes, locate, nearest, smote_oversample
+from riskloom.operators.neighbours import best_cut, grow_boxes, locate, nearest, smote_oversample, usual_reach
 
 
 @pytest.mark.parametrize("box_points", [10**6, 20])
@@ -33,6 +33,24 @@ def test_boxes_split_columns_of_few_values():
     assert grow_boxes(np.ones((50, 3)), 8) == [(-1, 0)]
 
 
+def test_boxes_are_cut_where_neighbours_are_not_parted():
+    """A cut through a gap beats one through the middle of a crowd, so that few points ask other boxes."""
+    rng = np.random.default_rng(8)
+    points = np.column_stack([rng.random(4000) < 0.45, rng.normal(size=4000), rng.normal(size=4000)]).astype(float) * [5, 1, 1]
+    reach = usual_reach(points, 6, len(points))
+    gaps = np.sort(np.sqrt(((points[:100, None, :] - points[None, :, :]) ** 2).sum(axis=2)), axis=1)
+    assert gaps[:, 6].min() < reach < gaps[:, 6].max()
+    assert best_cut(points)[0] != 0 and best_cut(points, reach) == (0, 5.0)
+    assert usual_reach(points[:1], 6, 1) == 0 == usual_reach(np.full((9, 2), np.nan), 6, 9)
+
+    def asking(nodes):
+        where = locate(nodes, points)
+        boxes = [points[where == b] for b in np.unique(where)]
+        return sum((np.linalg.norm(np.maximum(np.maximum(b.min(axis=0) - points, points - b.max(axis=0)), 0), axis=1) <= reach).sum() for b in boxes)
+
+    assert asking(grow_boxes(points, 4, reach)) < 0.95 * asking(grow_boxes(points, 4))
+
+
 def test_nearest_is_exact_on_columns_of_few_values(spark):
     points = np.unique(flags(np.random.default_rng(6), 500), axis=0)
     df = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)], "id long, v array<double>, copies long")
