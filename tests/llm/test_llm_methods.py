@@ -343,6 +343,15 @@ def test_counts_and_scores(spark, folder):
     assert gain > 0
 
 
+def test_contexts_are_kept_by_what_they_tell(spark):
+    """In a corpus of a million tokens a context that is seen forty times is kept if its next symbols diverge."""
+    rows = [(7, 1, 40, 0.01), (8, 1, 20, 0.5), (8, 2, 20, 0.5), (9, 1, 19, 0.01)]
+    runs = spark.createDataFrame(rows, "context long, next long, n long, expected double")
+    assert suffix_tree.retained(runs, 1_000_000) == [(7, 40)]
+    words = [f"w{i}" for i in range(1000)]
+    assert suffix_tree.Symbols([*words, suffix_tree.END], [50] * 1000 + [100], 2_000_000, 1000).size == 1000
+
+
 def test_chances_of_a_state_add_up(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(x for _ in range(60) for x in rng.choice([("a", "b", "c"), ("a", "d", "e"), ("f",), (f"r{rng.randrange(999)}",)]))) for i in range(200)]
