@@ -291,3 +291,31 @@ def test_boosting_writes_nothing_after_its_last_round(spark, monkeypatch):
     assert (written, len(trees), predict(rows).count()) == ([], 3, 400)
     models.asymmetric_boosting(rows, ["x"], "y", rounds=2, validation="held")
     assert [sorted(c) for c in written] == [["__f", "__y", "features", "held"]]
+
+
+def test_trees_read_few_partitions(spark):
+    """A stored frame of many small partitions is joined for the learner, with the rows it had; a frame of few stays as it is."""
+    from pyspark.sql import functions as F
+
+    from riskloom.operators.models import PARTS_PER_CORE, fit_booster, fit_forest, fit_regressor, in_few_parts
+
+    context = spark.sparkContext
+    most = PARTS_PER_CORE * context.defaultParallelism
+    rows = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    many = rows.repartition(3 * most, "id").persist()
+    few = in_few_parts(many)
+    assert few.rdd.getNumPartitions() == most
+    assert sorted(few.collect()) == sorted(rows.collect())
+    assert in_few_parts(many, part_rows=400 // (2 * most)).rdd.getNumPartitions() >= 2 * most
+    own = rows.repartition(most)
+    assert in_few_parts(own) is own
+    settings = {"n_estimators": 1, "max_depth": 2}
+    for k, fit in enumerate((lambda: fit_booster(many, ["a"], "y", settings), lambda: fit_regressor(many, ["a"], "y", settings), lambda: fit_forest(many, ["a"], "y", 2, 2))):
+        context.setJobGroup(f"fit-{k}", "trees")
+        fit()
+        tracker = context.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"fit-{k}") for s in tracker.getJobInfo(j).stageIds]
+        tasks = [s.numTasks for s in stages if s and "RandomForest" in s.name]
+        assert tasks and max(tasks) <= most
+    context.setLocalProperty("spark.jobGroup.id", None)
+    many.unpersist()
