@@ -10,6 +10,7 @@ import brute
 import numpy as np
 import oracle
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -352,6 +353,42 @@ def test_contexts_are_kept_by_what_they_tell(spark):
     assert suffix_tree.Symbols([*words, suffix_tree.END], [50] * 1000 + [100], 2_000_000, 1000).size == 1000
 
 
+def test_texts_are_split_as_words_and_runs_counted(spark):
+    rng = random.Random(2)
+    texts = [None, "", " \n", *("".join(rng.choice(["a", "B", "É", "ſ", "\x1c", "\x85", "\xa0", " ", "\t", "\x0b", "\r\n"]) for _ in range(rng.randint(1, 80))) for _ in range(300))]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    words, sizes = suffix_tree.split(pa.array(texts))
+    assert (words.cast(pa.binary()).to_pylist(), sizes.tolist()) == ([w for ws in plain for w in ws], [len(ws) for ws in plain])
+
+    docs = spark.createDataFrame([(t, i % 7 == 0) for i, t in enumerate(texts)], "text string, held_out boolean")
+    symbols = suffix_tree.Symbols(["a", "b", "ab", suffix_tree.END], [9, 9, 9, 9], 99, 9)
+    coded = suffix_tree.coded(docs, spark.sparkContext.broadcast(symbols))
+    runs = [[symbols.start, *(symbols.place.get(w, symbols.other) for w in ws), symbols.end] for i, ws in enumerate(plain) if i % 7]
+    pairs = Counter(p for run in runs for p in zip(run, run[1:]))
+    triples = Counter(p for run in runs for p in zip(run, run[1:], run[2:]))
+    some = sorted({p for p in pairs if symbols.end not in p})[::2]
+    key = lambda *run: sum(s * symbols.count**k for k, s in enumerate(reversed(run)))
+    counted = lambda *given: {r["key"]: r["n"] for r in suffix_tree.run_counts(coded, symbols.count, symbols.kind, *given).collect()}
+    assert counted() == {key(*p): n for p, n in pairs.items()}
+    assert counted(np.array([key(*p) for p in some])) == {key(*p): n for p, n in triples.items() if p[:2] in some}
+    rare = lambda ws: Counter(w.decode() for w in ws if w not in symbols.place)
+    assert [dict(zip(r["words"], r["times"])) for r in coded.collect()] == [rare(ws) for ws in plain]
+
+
+def test_texts_are_read_for_the_counts_and_once_more(spark):
+    """Runs and scores come from the stored symbols: splitting every text in each pass took most of the time."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text_of(i):
+        read.add(1)
+        return f"some words and w{i}"
+
+    docs = spark.range(1, 101).select(F.col("id").alias("doc_id"), text_of.asNondeterministic()("id").alias("text")).repartition(2)
+    assert suffix_tree.score(docs).count() == 100
+    assert read.value <= 200
+
+
 def test_chances_of_a_state_add_up(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(x for _ in range(60) for x in rng.choice([("a", "b", "c"), ("a", "d", "e"), ("f",), (f"r{rng.randrange(999)}",)]))) for i in range(200)]
