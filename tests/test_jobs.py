@@ -319,3 +319,58 @@ def test_trees_read_few_partitions(spark):
         assert tasks and max(tasks) <= most
     context.setLocalProperty("spark.jobGroup.id", None)
     many.unpersist()
+
+
+def test_rows_with_a_repeated_id_meet_all_its_weathers(spark):
+    """Weather is looked up before the features are made; what comes out is the plain join after them."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from riskloom.operators.atm_series import atm_features
+
+    day = lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(days=i)
+    rows = [(i // 2 if i < 30 else None if i % 9 == 0 else i, i % 2, day(i), "DEPOSIT" if i % 11 == 0 else "WITHDRAWAL", float(i * 37 % 100), None if i % 7 == 0 else i % 3) for i in range(120)]
+    tx = spark.createDataFrame(rows, "id_transaction long, id_atm long, transaction_date date, transaction_type string, amount double, id_weather int")
+    atms = spark.createDataFrame([(0, 1), (1, 2)], "id_atm long, id_location_type int")
+    weathers = spark.createDataFrame([(0, 5), (1, 6), (1, 7)], "id_weather int, impact int")
+    known = atm_features(tx.where("transaction_type = 'WITHDRAWAL'").select("id_transaction", "id_atm", "transaction_date", "amount"))
+    plain = known.join(tx.select("id_transaction", "id_weather"), "id_transaction").join(weathers, "id_weather").groupBy("id_transaction", "id_atm", "lag_11", F.col("impact").alias("ambiente")).count()
+    found = atm.training_rows(tx, atms, weathers)
+    assert found.groupBy("id_transaction").count().where("count > 1").count() > 0
+    assert sorted(found.groupBy("id_transaction", "id_atm", "lag_11", "ambiente").count().collect()) == sorted(plain.collect())
+
+
+def test_training_leaves_only_what_may_still_be_read(spark, tmp_path):
+    """Stored rows of earlier rounds go as learning does, and those of the job with its end: the disk does not follow the rounds."""
+    import os
+
+    from riskloom import session
+    from riskloom.operators import models
+
+    def files(root):
+        return {os.path.join(at, f) for at, _, fs in os.walk(root) for f in fs if f.startswith("part-")}
+
+    root = session.shared_folder(spark)
+    tx = spark.range(900).selectExpr(
+        "id AS id_transaction", "id % 3 AS id_atm", "date_add(DATE '2024-01-01', CAST(id / 3 AS INT)) AS transaction_date", "CAST(id % 17 * 10 + 5 AS DOUBLE) AS retiro",
+        *[f"CAST(id * {k + 3} % 29 AS DOUBLE) AS {f}" for k, f in enumerate(atm.MODEL_FEATURES)],
+    )
+    source = f"{tmp_path}/rows"
+    tx.write.parquet(source)
+    most, kept = [], models.cut_lineage
+
+    def counted(df):
+        made = kept(df)
+        most.append(len(files(root) - before))
+        return made
+
+    before = files(root)
+    models.cut_lineage = counted
+    try:
+        models.asymmetric_boosting(spark.read.parquet(source), atm.MODEL_FEATURES, "retiro", 20, 0.3, 2)
+    finally:
+        models.cut_lineage = kept
+    assert len(most) == 3 and max(most) <= 2 * most[0] and files(root) <= before  # nothing is stored after the last round
+    atm.train(spark.read.parquet(source), trials=1, space={"n_estimators": ("int", 6, 6), "learning_rate": ("float", 0.3, 0.3), "max_depth": ("int", 2, 2)}, folds=2)
+    assert files(root) <= before and spark.read.parquet(source).count() == 900

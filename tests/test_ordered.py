@@ -1,5 +1,8 @@
 """Block-wise order, sums, quantiles and subsets against plain pandas, hot values included."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -214,3 +217,20 @@ def test_stored_places_choose_the_same_rows(spark):
         (keep,) = order.first({0: 10, 1: 0, 2: 400})
         chosen.append(sorted(r["id"] for r in df.where(keep).collect()))
     assert chosen[0] == chosen[1] and len(chosen[0]) == 10 + 166
+
+
+@pytest.mark.parametrize("block_rows", [10, 1_000_000])
+@pytest.mark.parametrize("few_keys", [False, True])
+def test_folds_without_positions(spark, block_rows, few_keys):
+    """Folds come from the first row of each, with the rows they have by position; equal rows around a limit are numbered."""
+    rng = random.Random(3)
+    rows = [(None if i % 13 == 0 else rng.randrange(9), None if i % 11 == 0 else rng.randrange(4), 0 if few_keys else i) for i in range(203)]
+    df = spark.createDataFrame(rows, "a int, b long, id long")
+    order, whole = ["a", "b", "id"], lambda d: Counter(tuple(r) for r in d.select("a", "b", "id", "fold").collect())
+    numbered, found = time_series_folds(df, order, 5, block_rows), time_series_folds(df, order, 5, block_rows, position=False)
+    assert found.columns == ["a", "b", "id", "fold"] and found.schema["fold"].dataType == numbered.schema["fold"].dataType
+    assert whole(found) == whole(numbered)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == few_keys
+    few = time_series_folds(df.limit(4), order, 5, block_rows, position=False)
+    assert [r["fold"] for r in few.collect()] == [0] * 4
