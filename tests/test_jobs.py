@@ -374,3 +374,39 @@ def test_training_leaves_only_what_may_still_be_read(spark, tmp_path):
     assert len(most) == 3 and max(most) <= 2 * most[0] and files(root) <= before  # nothing is stored after the last round
     atm.train(spark.read.parquet(source), trials=1, space={"n_estimators": ("int", 6, 6), "learning_rate": ("float", 0.3, 0.3), "max_depth": ("int", 2, 2)}, folds=2)
     assert files(root) <= before and spark.read.parquet(source).count() == 900
+
+
+def test_atm_training_is_that_of_the_service(spark, folder, monkeypatch):
+    """The query gives no smaller search; the job's own defaults are 50 trials over five folds and the service's ranges and patience."""
+    import inspect
+
+    from riskloom.catalog import models as m
+    from riskloom.operators import models
+
+    given = []
+    monkeypatch.setattr(m, "atm_rows", lambda *a, **k: "rows")
+    monkeypatch.setattr(m.atm, "train", lambda *a, **k: given.append((a, k)))
+    QUERIES["atm_train"](spark, folder)
+    monkeypatch.undo()
+    assert given == [(("rows",), {})]
+    defaults = {n: p.default for n, p in inspect.signature(atm.train).parameters.items()}
+    assert (defaults["trials"], defaults["folds"], defaults["space"], defaults["test_days"], defaults["val_days"]) == (50, 5, None, 60, 15)
+    assert models.ATM_SPACE["n_estimators"] == ("int", 500, 2500) and (models.SEARCH_PATIENCE, models.FINAL_PATIENCE) == (50, 100)
+
+
+def test_slow_learning_goes_on_until_patience_ends_it(spark):
+    """A round of a slow learner gains less than a hundredth of the error, and still learning goes on; what follows the least error is dropped."""
+    from riskloom.operators.models import fit_regressor, least_error, per_row
+
+    assert least_error([3.0, 2.0, 2.5, 1.0, 1.5, 1.4], 2) == (4, True)
+    assert least_error([3.0, 2.0, 2.5, 2.1, 1.0], 2) == (2, True)
+    assert least_error([3.0, 2.0, 2.5], 2) == (2, False) and least_error([float("nan")] * 3, 5) == (3, False)
+    rows = spark.range(600).selectExpr("CAST(id % 40 AS DOUBLE) AS a", "exp(id % 40 / 10.0 + id * 7919 % 13 / 13.0) AS y", "id % 5 = 0 AS held", "false AS none")
+    params = {"n_estimators": 30, "learning_rate": 0.01, "max_depth": 2, "min_child_weight": 3, **per_row({"gamma": 2.5}, 480)}
+    slow = fit_regressor(rows, ["a"], "y", params, "held").stages[-1]
+    assert len(slow.trees) == 30 and slow.trees[0].depth == 2
+    quick = fit_regressor(rows, ["a"], "y", {**params, "learning_rate": 1.0, "n_estimators": 40}, "held", patience=3).stages[-1]
+    errors = fit_regressor(rows.where("NOT held"), ["a"], "y", {**params, "learning_rate": 1.0, "n_estimators": 40}).stages[-1]
+    assert 1 <= len(quick.trees) < len(errors.trees) == 40
+    assert [t.toDebugString.split("\n")[1:] for t in quick.trees] == [t.toDebugString.split("\n")[1:] for t in errors.trees[: len(quick.trees)]]
+    assert len(fit_regressor(rows, ["a"], "y", {**params, "n_estimators": 3}, "none").stages[-1].trees) == 3
