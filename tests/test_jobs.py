@@ -410,3 +410,21 @@ def test_slow_learning_goes_on_until_patience_ends_it(spark):
     assert 1 <= len(quick.trees) < len(errors.trees) == 40
     assert [t.toDebugString.split("\n")[1:] for t in quick.trees] == [t.toDebugString.split("\n")[1:] for t in errors.trees[: len(quick.trees)]]
     assert len(fit_regressor(rows, ["a"], "y", {**params, "n_estimators": 3}, "none").stages[-1].trees) == 3
+
+
+def test_forecast_is_fitted_in_full(spark, folder, monkeypatch):
+    """The learner gets the rounds of the service, and its early end is the patience's, not a round's small gain."""
+    from riskloom.catalog import models as m
+    from riskloom.operators.models import fit_regressor
+
+    given = []
+
+    def fit(rows, features, target, params, *rest):
+        given.append((params, rest))
+        return fit_regressor(rows, features, target, {**params, "n_estimators": 3}, *rest)
+
+    monkeypatch.setattr(m, "fit_regressor", fit)
+    assert QUERIES["gbt_withdrawal_forecast"](spark, folder).count() > 0
+    ((params, rest),) = given
+    assert (params["n_estimators"], params["max_depth"], rest) == (1500, 7, ("is_val",))
+    assert 0.02 < params["learning_rate"] < 0.03 and 0 < params["gamma"] < 0.01
