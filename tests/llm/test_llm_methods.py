@@ -389,6 +389,29 @@ def test_texts_are_read_for_the_counts_and_once_more(spark):
     assert read.value <= 200
 
 
+def test_contexts_do_not_depend_on_the_size_of_the_corpus(spark):
+    """What is seen twenty times and diverges is kept among a billion tokens as among a million: shares of the corpus left it out."""
+    rows = [(7, 1, 40, 0.01), (8, 1, 20, 0.5), (8, 2, 20, 0.5), (9, 1, 19, 0.01)]
+    runs = spark.createDataFrame(rows, "context long, next long, n long, expected double")
+    assert suffix_tree.retained(runs, 1_000_000_000) == [(7, 40)]
+
+
+def test_a_tree_in_parts_scores_as_a_whole_one(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(x for _ in range(rng.randint(0, 60)) for x in rng.choice([("a", "b", "c"), ("a", "d", "e"), ("f", "a"), (f"r{rng.randrange(99)}",)]))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (300, None), (None, "a b c")], "doc_id long, text string")
+    scores = lambda: sorted((str(r["doc_id"]), round(r["base_score"], 9), round(r["score"], 9)) for r in suffix_tree.score(docs).collect())
+    seen, scored = [], suffix_tree.scored_locally
+    monkeypatch.setattr(suffix_tree, "scored_locally", lambda *a: seen.append(a[-1]) or scored(*a))
+    whole = scores()
+    assert len(seen) == 1 and len({s for _, _, s in whole}) > 200
+    monkeypatch.setattr(suffix_tree, "TREE_ROWS", 60)
+    assert scores() == whole
+    parts = seen[1:]
+    assert len(parts) > 4 and parts[0][0] == 0 and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    assert suffix_tree.ranges([(0, 5), (3, 5), (4, 9), (8, 1)], 10, 10) == [(0, 4), (4, 10)]
+
+
 def test_chances_of_a_state_add_up(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(x for _ in range(60) for x in rng.choice([("a", "b", "c"), ("a", "d", "e"), ("f",), (f"r{rng.randrange(999)}",)]))) for i in range(200)]
